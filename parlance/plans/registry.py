@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import dashboards, speech, texts, writes
+
+_PARTS = (dashboards, speech, texts, writes)
+QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+SQL: dict[str, str] = {name: text for part in _PARTS for name, text in part.SQL.items()}
