@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,34 @@ def salted_groups(df: DataFrame, keys: list[str], spread: str, salt: str = "salt
     return df.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(max(8, partitions(df.sparkSession)))).cast("int"))
 
 
+def bit_table(marks: DataFrame, col: str, bits: int) -> np.ndarray:
+    """A table of ``bits`` bits (a power of two of 32,768 at least) with the bits in ``marks[col]`` set, as bytes.
+
+    The bits are put together in Spark, 4 KB for each 32,768 of them; what
+    comes to the driver is bounded by ``bits``.
+    """
+    at = F.col(col).cast("bigint")
+    maps = marks.groupBy(F.call_function("div", at, F.lit(32_768).cast("bigint")).alias("block")).agg(F.call_function("bitmap_construct_agg", at % 32_768).alias("map"))
+    table = np.zeros(bits // 8, np.uint8)
+    for row in maps.collect():
+        table[row.block * 4096 : (row.block + 1) * 4096] = np.frombuffer(bytes(row.map), np.uint8)
+    return table
+
+
+#: The most bits of a filter that is sent to all tasks (128 MB).
+MOST_BITS = 2**30
+
+
+def filter_bits(items: int, most: int = MOST_BITS) -> int:
+    """Bits for a filter of ``items``: 16 for each, 2 ** 20 at least, ``most`` at most (then it lets more through)."""
+    return min(most, max(2**20, 1 << (16 * items).bit_length()))
+
+
+def places(c: Column, bits: int) -> list[Column]:
+    """A value's two bits in a filter."""
+    return [F.xxhash64(c, F.lit(k)).bitwiseAND(F.lit(bits - 1)) for k in (1, 2)]
+
+
 def feistel_sides(n: int) -> tuple[int, int]:
     """a and b with a * b >= n, as near to n and to one another as may be."""
     a = max(1, math.isqrt(max(n, 1) - 1) + 1) if n > 1 else 1

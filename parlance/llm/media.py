@@ -15,7 +15,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import MOST_BITS, bit_table, filter_bits, scratch, written
 from .minhash import mix
 
 #: Payloads are filled up with zero bytes to a multiple of this many units.
@@ -35,7 +35,7 @@ class Cuts:
     least: int = 512
     mean: int = 2048
     most: int = 8192
-    most_bits: int = 2**30
+    most_bits: int = MOST_BITS
 
 
 _GEAR = (mix(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -204,13 +204,10 @@ def stored_media(docs: DataFrame, cuts: Cuts = Cuts(), id_col: str = "doc_id", t
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     digests = texts.select("text").mapInArrow(_digests(cuts), "digest binary")
     twice = written(digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "twice")
-    bits = min(cuts.most_bits, max(2**20, 1 << (16 * twice.count()).bit_length()))
+    bits = filter_bits(twice.count(), cuts.most_bits)
     places = [F.conv(F.substring(F.hex("digest"), at, 14), 16, 10).cast("bigint").bitwiseAND(F.lit(bits - 1)) for at in (1, 17)]
     marks = twice.select(F.explode(F.array(*places)).alias("bit"))
-    maps = marks.groupBy(F.call_function("div", F.col("bit"), F.lit(32_768).cast("bigint")).alias("block")).agg(F.call_function("bitmap_construct_agg", F.col("bit") % 32_768).alias("map"))
-    table = np.zeros(bits // 8, np.uint8)
-    for row in maps.collect():  # 4 KB for each 32,768 bits of a table of bounded size
-        table[row.block * 4096 : (row.block + 1) * 4096] = np.frombuffer(bytes(row.map), np.uint8)
+    table = bit_table(marks, "bit", bits)
     schema = f"kind int, cid bigint, id {texts.schema['id'].dataType.simpleString()}, manifest binary, shared array<int>, packed binary"
     folder = scratch(spark, "media")
     texts.mapInArrow(_stored(cuts, spark.sparkContext.broadcast(table), bits), schema).write.partitionBy("kind").option("compression", "uncompressed").parquet(folder)

@@ -9,18 +9,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, written
+from .common import bit_table, filter_bits, fresh, places, written
 
 #: Bands and bins in a band. Two sets of Jaccard 0.8 share no band with a chance of (1 - 0.8 ** 6) ** 40 = 5e-6.
 BANDS, ROWS = 40, 6
 #: Parts that a hot bucket or group is cut into: bits of a long.
 SALTS = 60
 #: Distinct words whose hashes a Python worker keeps.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -107,30 +108,49 @@ def bands(sig: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
 def _signed(width: int, n_bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count, digest, keys = [], [], []
+            count, digest, keys, bits = [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), width)
+                sig = signature(s, n_bands * rows) if len(s) else None
                 count.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                keys.append(bands(signature(s, n_bands * rows), n_bands, rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "digest", "bands"])
+                keys.append(bands(sig, n_bands, rows) if len(s) else None)
+                bits.append(sketch(sig) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["id", "n", "digest", "bands", "sketch"])
 
     return run
 
 
-def _spokes(width: int):
+#: Bits of the sketch that may differ, of BANDS * ROWS. At Jaccard 0.8 a bit differs with a chance of 0.1: 24 of 240, and over 50 with one of 1e-7.
+SKETCH_LIMIT = 50 / 240
+
+
+def sketch(sig: np.ndarray) -> list[int]:
+    """One bit of each bin, scrambled with the bin's number, in 64-bit integers."""
+    bit = (mix(sig + np.arange(len(sig), dtype=np.uint64) * _M2) & np.uint64(1)).astype(np.uint8)
+    raw = np.packbits(bit)
+    return np.frombuffer(raw.tobytes().ljust(-(-len(raw) // 8) * 8, b"\0"), np.int64).tolist()
+
+
+def _sets(width: int, table: Broadcast):
+    """(id, elements) of the rows whose two bits are set in the table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
         for batch in batches:
-            hub, doc, sets = [], [], []
-            for i, text, hubs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                s = shingles(text.as_py(), width).view(np.int64)
-                hub += hubs
-                doc += [i] * len(hubs)
-                sets += [s] * len(hubs)
-                if sum(map(len, sets)) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(hub, batch.schema.field(0).type), pa.array(doc, batch.schema.field(0).type), pa.array(sets, pa.list_(pa.int64()))], ["hub", "doc", "elements"])
-                    hub, doc, sets = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(hub, batch.schema.field(0).type), pa.array(doc, batch.schema.field(0).type), pa.array(sets, pa.list_(pa.int64()))], ["hub", "doc", "elements"])
+            wanted = np.ones(batch.num_rows, bool)
+            for c in (2, 3):
+                at = batch.column(c).to_numpy(zero_copy_only=False)
+                wanted &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            ids, sets, size = [], [], 0
+            for k in np.flatnonzero(wanted).tolist():
+                ids.append(batch.column(0)[k].as_py())
+                sets.append(shingles(batch.column(1)[k].as_py(), width).view(np.int64))
+                size += len(sets[-1])
+                if size > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(sets, pa.list_(pa.int64()))], ["id", "elements"])
+                    ids, sets, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(sets, pa.list_(pa.int64()))], ["id", "elements"])
 
     return run
 
@@ -147,27 +167,38 @@ def _spread(df: DataFrame, mask: str = "mask") -> DataFrame:
 def confirmed(texts: DataFrame, pairs: DataFrame, width: int, threshold: int) -> DataFrame:
     """The pairs (doc, hub) whose full sets have 100 * intersection >= threshold * union.
 
-    Each document is read and shingled once; its set goes to each of its hubs
-    (at most one for a band). A hub's set is joined to its spokes, whose
-    partitions the adaptive skew join may split.
+    The texts are read again where they lie: a filter of bounded size tells
+    the tasks which documents to shingle (some too many do no harm). A hub's
+    set is joined to its spokes, whose partitions the adaptive skew join may
+    split.
     """
-    ends = pairs.select("doc", "hub").union(pairs.select(F.col("hub").alias("doc"), "hub"))
-    hubs = ends.groupBy("doc").agg(F.collect_set("hub").alias("hubs"))
-    kind = texts.schema["id"].dataType
-    todo = texts.join(hubs, F.col("id") == F.col("doc")).select("id", "text", "hubs")
-    schema = T.StructType([T.StructField("hub", kind), T.StructField("doc", kind), T.StructField("elements", T.ArrayType(T.LongType()))])
-    spokes = written(todo.mapInArrow(_spokes(width), schema), "spokes")
-    hub = spokes.where("hub = doc").select("hub", F.col("elements").alias("of_hub"))
+    spark, kind = texts.sparkSession, texts.schema["id"].dataType
+    ends = written(pairs.select("doc").union(pairs.select("hub")).distinct(), "ends")
+    bits = filter_bits(ends.count())
+    table = bit_table(ends.select(F.explode(F.array(*places(F.col("doc"), bits))).alias("bit")), "bit", bits)
+    schema = T.StructType([T.StructField("id", kind), T.StructField("elements", T.ArrayType(T.LongType()))])
+    marked = texts.where("id IS NOT NULL").select("id", "text", *[p.alias(f"bit{k}") for k, p in enumerate(places(F.col("id"), bits))])
+    sets = marked.mapInArrow(_sets(width, spark.sparkContext.broadcast(table)), schema)
+    # one set for each id
+    sets = written(sets.join(ends.hint("merge"), F.col("id") == F.col("doc"), "left_semi").dropDuplicates(["id"]), "sets")
+    spokes = pairs.hint("merge").join(sets.select(F.col("id").alias("doc"), "elements"), "doc")
+    hubs = sets.select(F.col("id").alias("hub"), F.col("elements").alias("of_hub"))
     both = F.size(F.array_intersect("elements", "of_hub"))
     return (
-        spokes.where("hub <> doc")
-        .join(hub, "hub")
+        spokes.hint("merge")
+        .join(hubs, "hub")
         .select("doc", "hub", both.alias("both"), (F.size("elements") + F.size("of_hub")).alias("sum"))
         .where(F.lit(100).cast("bigint") * F.col("both") >= F.lit(threshold).cast("bigint") * (F.col("sum") - F.col("both")))
         .select("doc", "hub")
     )
 
 
+def _alike(a: str, b: str, n_a: str, n_b: str, bins: int, threshold: int):
+    """Whether two documents' sizes and sketches let their similarity reach the threshold."""
+    differ = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(-(-bins // 64))), F.lit(0))
+    return (differ <= int(SKETCH_LIMIT * bins)) & (F.lit(100) * F.least(n_a, n_b) >= F.lit(threshold) * F.greatest(n_a, n_b))
+
+
 def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``id`` and ``label``, the least id of its component, for every end of ``edges`` (doc, hub).
 
@@ -196,11 +227,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        the least id of them goes on.
     2. In each bucket (band key) the least id is the hub; a document's
        candidates are its hubs, so a bucket of m documents makes m - 1 pairs.
-    3. Pairs are confirmed on full sets; confirmed pairs make components.
+    3. Pairs whose sizes and sketches allow the similarity are confirmed on
+       full sets; confirmed pairs make components.
     4. A bucket whose documents then lie in several components may hide links
-       between spokes that the hub doesn't have. Such buckets take 1, 2, 4 ...
-       further hubs until each pair in a bucket has been compared, differs too
-       much in size, or lies in one component.
+       between spokes that the hub doesn't have. There each document outside
+       the bucket's largest component is held against those of all other
+       components, inside the join; only pairs whose sizes and sketches allow
+       the similarity come out, and they too are confirmed on full sets.
 
     Texts without words have no shingles, component of their own, and are kept.
     Rows that repeat an id are one document (with several texts, one of them
@@ -209,50 +242,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
     signed = written(texts.mapInArrow(_signed(width, n_bands, rows), schema), "signed")
 
     # copies: the least id of each digest, found by salted groups
     salted = signed.where("digest IS NOT NULL AND id IS NOT NULL").select("digest", "id", _salt("id").alias("salt"))
     copies = salted.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.expr("bit_or(shiftleft(1L, salt))").alias("mask"))
     copies = _spread(copies.where("first <> last").select("digest", "first", "mask"))
-    nodes = signed.withColumn("salt", _salt("id")).join(copies, ["digest", "salt"], "left").withColumn("rep", F.coalesce("first", "id"))
-    nodes = written(nodes.select("id", "n", "rep", F.when((F.col("rep") == F.col("id")) & (F.col("n") > 0), F.struct("digest", "bands")).alias("own")), "nodes")
+    nodes = signed.withColumn("salt", _salt("id")).hint("merge").join(copies, ["digest", "salt"], "left").withColumn("rep", F.coalesce("first", "id"))
+    nodes = written(nodes.select("id", "n", "rep", F.when((F.col("rep") == F.col("id")) & (F.col("n") > 0), F.struct("bands", "sketch")).alias("own")), "nodes")
 
-    # stars: the least id of each bucket; an id with several texts goes on with one of them
-    reps = nodes.where("own IS NOT NULL").select("id", "n", "own.bands")
-    rows_ = reps.select("id", "n", F.explode("bands").alias("bucket"), _salt("id").alias("salt"))
-    hubs = rows_.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.expr("bit_or(shiftleft(1L, salt))").alias("mask"))
+    # stars: the least id of each bucket
+    reps = nodes.where("own IS NOT NULL").select("id", F.explode("own.bands").alias("bucket"), _salt("id").alias("salt"))
+    hubs = reps.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.expr("bit_or(shiftleft(1L, salt))").alias("mask"))
     hubs = _spread(hubs.where("hub <> last").drop("last"))
-    stars = written(rows_.join(hubs, ["bucket", "salt"]).select("bucket", "id", "n", "hub"), "stars")
+    stars = written(reps.hint("merge").join(hubs, ["bucket", "salt"]).select("bucket", "id", "hub"), "stars")
+    # sizes and sketches of the documents that share a bucket; an id with several texts goes on with one of them
+    known = nodes.where("own IS NOT NULL").select("id", "n", "own.sketch").hint("merge").join(stars.select("id").distinct(), "id", "left_semi")
+    known = written(known.dropDuplicates(["id"]), "known")
+    bins = n_bands * rows
     pairs = stars.where("id <> hub").select(F.col("id").alias("doc"), "hub").distinct()
+    pairs = pairs.hint("merge").join(known.select(F.col("id").alias("doc"), "n", "sketch"), "doc").hint("merge").join(known.select(F.col("id").alias("hub"), F.col("n").alias("n_hub"), F.col("sketch").alias("of_hub")), "hub")
+    pairs = written(pairs.where(_alike("sketch", "of_hub", "n", "n_hub", bins, threshold)).select("doc", "hub"), "pairs")
     edges = written(confirmed(texts, pairs, width, threshold), "links")
-    done, width_of = pairs, 1
     labels = components(edges)
-    while True:
-        # buckets that still hold several components: further hubs
-        member = stars.join(labels.withColumnRenamed("id", "v"), F.col("id") == F.col("v"), "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
-        member = written(member.withColumn("salt", _salt("id")), "members")
-        mixed = member.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.expr("bit_or(shiftleft(1L, salt))").alias("mask"), F.count("*").alias("m"))
-        mixed = mixed.where("low <> high").where(F.col("m") > width_of)
-        first = Window.partitionBy("bucket", "salt").orderBy("id")
-        heads = member.join(mixed.select("bucket"), "bucket", "left_semi").withColumn("r", F.row_number().over(first)).where(F.col("r") <= 2 * width_of + 1)
-        heads = heads.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))).where((F.col("r") > width_of) & (F.col("r") <= 2 * width_of + 1))
-        heads = heads.select("bucket", F.col("id").alias("hub"), F.col("n").alias("n_hub"), F.col("label").alias("of_hub")).join(mixed.select("bucket", "mask"), "bucket")
-        more = member.join(_spread(heads), ["bucket", "salt"]).where("id > hub AND label <> of_hub")
-        more = more.where(F.lit(100) * F.least("n", "n_hub") >= F.lit(threshold) * F.greatest("n", "n_hub"))
-        more = more.select(F.col("id").alias("doc"), "hub").distinct().join(done, ["doc", "hub"], "left_anti")
-        more = written(more, "more")
-        if not more.isEmpty():
-            edges = written(edges.union(confirmed(texts, more, width, threshold)), "links")
-            labels = components(edges)
-        elif mixed.isEmpty():
-            break
-        done, width_of = written(done.union(more), "done"), 2 * width_of + 1
-
-    found = nodes.select("id", "n", "rep").join(labels.withColumnRenamed("id", "v"), F.col("rep") == F.col("v"), "left")
+
+    # buckets that hold several components: every document outside the bucket's largest one against all the others
+    member = stars.hint("merge").join(known, "id").hint("merge").join(labels.withColumnRenamed("id", "v"), F.col("id") == F.col("v"), "left")
+    member = written(member.select("bucket", "id", "n", "sketch", F.coalesce("label", "id").alias("label"), _salt("id").alias("salt")), "members")
+    mixed = member.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.expr("bit_or(shiftleft(1L, salt))").alias("mask")).where("low <> high")
+    sizes = member.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("bucket", "label").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
+    heads = member.join(mixed.select("bucket", "mask"), "bucket").join(main, "bucket").where("label <> main")
+    heads = _spread(heads.select("bucket", F.col("id").alias("hub"), F.col("n").alias("n_hub"), F.col("sketch").alias("of_hub"), F.col("label").alias("hub_label"), "main", "mask"))
+    m = member.alias("m")
+    same = (F.col("m.bucket") == F.col("h.bucket")) & (F.col("m.salt") == F.col("h.salt")) & (F.col("m.label") != F.col("h.hub_label"))
+    # two documents that are both outside the largest component meet once
+    same = same & ((F.col("m.label") == F.col("h.main")) | (F.col("m.id") > F.col("h.hub"))) & _alike("m.sketch", "h.of_hub", "m.n", "h.n_hub", bins, threshold)
+    more = m.hint("merge").join(heads.alias("h"), same).select(F.greatest("m.id", "h.hub").alias("doc"), F.least("m.id", "h.hub").alias("hub")).distinct()
+    more = written(more.join(pairs, ["doc", "hub"], "left_anti"), "more")
+    if not more.isEmpty():
+        found = written(confirmed(texts, more, width, threshold), "links")
+        if not found.isEmpty():
+            labels = components(edges.union(found))
+
+    out = nodes.select("id", "n", "rep").hint("merge").join(labels.withColumnRenamed("id", "v"), F.col("rep") == F.col("v"), "left")
     component = F.coalesce("label", "rep")
-    return found.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
