@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+
 
 # Public licence notices, by family. Digits stand for any number.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -245,8 +247,9 @@ def licences(docs: DataFrame, scan: Scan = Scan(), model: Classifier | None = No
     class is one of the model's, and a probability under ``probability`` (at a
     temperature fitted to held-out rows) is unknown too. A null or empty text
     has no paragraphs. The first of equally good paragraphs counts. Other
-    columns pass through.
+    columns pass through; the new one gets a number if there is one of its name.
     """
+    (found,) = fresh(docs.columns, found)
     model = model or fitted(docs, scan, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample and the templates
     fields, at = T.StructType.fromDDL(FOUND), docs.columns.index(text_col)

@@ -53,7 +53,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no line shared, but loses the lines that others share. Other columns,
     whatever their names, pass through; an empty table gives an empty table.
     """
-    th, drop, doc, lines = fresh([*docs.columns, n_lines, n_dropped], "th", "drop", "doc", "lines")
+    n_lines, n_dropped, th, drop, doc, lines = fresh(docs.columns, n_lines, n_dropped, "th", "drop", "doc", "lines")
     found = shared_lines(docs, id_col, text_col, min_chars, min_docs).select(F.col("doc").alias(doc), F.col("th").alias(f"{th}_"), F.col("drop").alias(drop))
     all_lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     # the runs of kept lines between one dropped position and the next

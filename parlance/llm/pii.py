@@ -145,9 +145,10 @@ def pseudonymised(docs: DataFrame, key: str = "pii-1", text_col: str = "text", c
     they are spaced, get equal pseudonyms in all documents, and whoever has the
     key can go back. E-mail names and hex secrets are no numbers: they become
     keyed digests of the same length. All else in a text, and a null or empty
-    text, stays as it is. Other columns pass through.
+    text, stays as it is. Other columns pass through; the new one gets a number if
+    there is one of its name.
     """
-    found, kinds, gaps, new = fresh([*docs.columns, counts], "found", "kinds", "gaps", "new")
+    counts, found, kinds, gaps, new = fresh(docs.columns, counts, "found", "kinds", "gaps", "new")
     every = "|".join(FORMS.values())
     text = F.col(text_col)
     may = text.rlike("[0-9@]|[0-9a-fA-F]{32}")

@@ -185,8 +185,10 @@ def quality(docs: DataFrame, rules: Rules = RULES, text_col: str = "text", lang_
     to the reference of the document's language over all of ``docs``. Too short
     a document, or a language with too small a reference, is not judged by
     divergence (null distances). A null text has no words and fails; null
-    languages share one reference. Other columns pass through.
+    languages share one reference. Other columns pass through; the new one gets
+    a number if there is one of its name.
     """
+    (verdict,) = fresh(docs.columns, verdict)
     known = references(docs, rules, text_col, lang_col)
     places = {lang: ref[1] for lang, ref in known.items()}
 

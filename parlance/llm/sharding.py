@@ -43,7 +43,7 @@ def interleaved(docs: DataFrame, shards: int = 8, seed: str = "shards-1", id_col
     """id, source and text digest of every row with its shard and its slot in the shard.
 
     Rows of a source are ranked in a seeded shuffle; rank r of n stands at
-    (2 r + 1) / (2 n); all rows are sorted by that fraction and cut into runs
+    (r + u) / n, u being the source's own seeded fraction; all rows are sorted by that fraction and cut into runs
     whose lengths differ by one at most, so each shard holds every source in
     the corpus's own proportion to within a row or two. Ties at a fraction go
     by source, then by the shuffle. Null sources are a source of their own; a
@@ -66,9 +66,11 @@ def interleaved(docs: DataFrame, shards: int = 8, seed: str = "shards-1", id_col
     ranked = running(rows.withColumn("bucket", first), [src], "bucket", [F.col(key), F.col("id"), F.col(crc), F.col(size)]).drop("bucket")
     of = rows.groupBy(src).agg(F.count("*").alias("n"))  # a row for each source
     cells = 16**digits
+    # where in its first step a source begins: else sources of one size would come in clumps
+    start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(src))), 1, 8), 16, 10).cast("double") / 2**32
     placed = ranked.join(of, src).select(
         "id", src, size, crc, key,
-        ((2 * F.col("before") + 1) / (2 * F.col("n"))).alias("at"),
+        ((F.col("before") + start) / F.col("n")).alias("at"),
     ).withColumn("cell", F.least(F.floor(F.col("at") * cells), F.lit(cells - 1)).cast("int"))
     placed = running(placed, [], "cell", [F.col("at"), F.col(src), F.col(key), F.col("id"), F.col(crc), F.col(size)])
     at = F.col("before")
