@@ -181,3 +181,57 @@ def prompt_lines(segments: DataFrame) -> DataFrame:
 
     line = F.concat(F.lit("["), F.col("sequence").cast("string"), F.lit("] ("), mm_ss(F.col("start_ms")), F.lit(") "), speaker_label(F.col("speaker_role"), F.col("speaker_id")), F.lit(": "), F.col("raw_text"))
     return segments.select("call_id", "sequence", line.alias("line")).withColumn("tokens", estimated_tokens(F.col("line")))
+
+
+def words_of_tokens(tokens: DataFrame) -> DataFrame:
+    """A recogniser's tokens as words: a token that begins with a blank begins a word.
+
+    Columns needed: call_id, ordinal, token, start_ms, end_ms, probability. A
+    word has its tokens' texts in a row without blanks at its ends, the span of
+    all of them and their mean probability; words without text are dropped.
+    """
+    w = _in_order("call_id", "ordinal")
+    rows = tokens.withColumn("new", F.when(F.col("token").rlike(r"^[ \n\t]"), 1).otherwise(0))
+    rows = rows.withColumn("word_no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.btrim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "token"))), lambda x: x["token"]), ""), F.lit(" \n\t"))
+    out = rows.groupBy("call_id", "word_no").agg(text.alias("word"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.greatest(F.least(F.avg("probability"), F.lit(1.0)), F.lit(0.0)).alias("confidence"))
+    return out.where("word <> ''")
+
+
+def counting_windows(regions: DataFrame, size: int = 2000, hop: int = 1000, most: int = 256) -> DataFrame:
+    """Longer windows for counting speakers; of a call's n windows every ceil(n / ``most``)th is taken."""
+    rows = sliding_windows(regions, size, hop)
+    w = Window.partitionBy("call_id")
+    rows = rows.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("window_start", "window_end")) - 1)
+    return rows.where(F.col("r") % F.ceil(F.col("n") / most) == 0).drop("n", "r")
+
+
+def fixed_chunks(calls: DataFrame, length_ms: int = 10_000) -> DataFrame:
+    """Chunks of equal length over each call's ``duration_ms``, with how much of the last one is real."""
+    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("duration_ms") - 1, F.lit(0)), F.lit(length_ms).cast("bigint"))
+    rows = calls.where("duration_ms > 0").select("call_id", "duration_ms", F.posexplode(starts).alias("chunk", "start_ms"))
+    return rows.select("call_id", "chunk", "start_ms", F.least(F.col("duration_ms") - F.col("start_ms"), F.lit(length_ms)).alias("real_ms"))
+
+
+def renumbered(rows: DataFrame, group: str, label: str, order: str) -> DataFrame:
+    """Labels numbered within each group by where they first appear."""
+    first = F.min(order).over(Window.partitionBy(group, label))
+    return rows.withColumn("first_", first).withColumn("number", F.dense_rank().over(Window.partitionBy(group).orderBy("first_")) - 1).drop("first_")
+
+
+def diarized(windows: DataFrame, labels: DataFrame, gap_ms: int = TURN_GAP_MS) -> DataFrame:
+    """Turns from labelled windows (call_id, id, window_start, window_end) and (call_id, id, cluster)."""
+    turns = windows.join(labels, ["call_id", "id"]).select("call_id", F.col("id").alias("turn"), F.col("cluster").alias("speaker_id"), F.col("window_start").alias("start_ms"), F.col("window_end").alias("end_ms"))
+    return merged_turns(turns, gap_ms)
+
+
+def stereo_turns(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Speech regions of two channels (call_id, start_ms, end_ms) as turns of speakers 0 and 1, in order of time."""
+    both = left.select("call_id", F.lit(0).alias("speaker_id"), "start_ms", "end_ms").unionByName(right.select("call_id", F.lit(1).alias("speaker_id"), "start_ms", "end_ms"))
+    return both.withColumn("turn", F.row_number().over(_in_order("call_id", "start_ms", "speaker_id")) - 1)
+
+
+def valid_transcripts(segments: DataFrame) -> DataFrame:
+    """Calls whose segments all have ids, speakers of 16 bits and times in order; a call without segments is not valid."""
+    bad = F.col("sequence").isNull() | (F.coalesce("speaker_id", F.lit(0)) < 0) | (F.coalesce("speaker_id", F.lit(0)) > 65_535) | (F.col("end_ms") < F.col("start_ms"))
+    return segments.groupBy("call_id").agg(F.count("*").alias("n_segments"), F.count_if(F.coalesce(bad, F.lit(True))).alias("n_bad")).where("n_bad = 0").drop("n_bad")

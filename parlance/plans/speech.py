@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import emotions as E
 from parlance.operators import clustering, joins, language, plugins
+from parlance.operators import entities as N
 from parlance.operators import conversation as C
 from parlance.operators import signal as G
 from parlance.sources import views as V
@@ -84,7 +85,40 @@ def _grouped(s, d):
     return V.voice_prints(s, d).select("id", F.call_function("div", F.col("id"), F.lit(40).cast("bigint")).alias("call_id"), "embedding")
 
 
+def _tokens(s, d):
+    """Words cut into a recogniser's tokens: up to three characters with a blank in front, then the rest."""
+    w = V.words(s, d).withColumn("n", F.col("sequence") * 200_000 + F.col("pos") * 2)
+    first = w.select("call_id", F.col("n").alias("ordinal"), F.concat(F.lit(" "), F.substring("word", 1, 3)).alias("token"), "start_ms", (F.col("start_ms") + 200).alias("end_ms"), F.lit(0.9).alias("probability"))
+    rest = w.where("length(word) > 3").select("call_id", (F.col("n") + 1).alias("ordinal"), F.expr("substring(word, 4)").alias("token"), (F.col("start_ms") + 200).alias("start_ms"), "end_ms", F.lit(0.5).alias("probability"))
+    return first.unionByName(rest)
+
+
+def _diarized(s, d):
+    """Windows of a second for every voice print of a call, labelled by clustering, merged to turns."""
+    rows = _grouped(s, d)
+    windows = rows.select("call_id", "id", ((F.col("id") % 40) * 400).alias("window_start"), ((F.col("id") % 40) * 400 + 800).alias("window_end"))
+    return C.diarized(windows, clustering.by_call(rows, "call_id", lambda x: clustering.clustered(x, None, 3)))
+
+
+def _entities(s, d):
+    """Analyses with entities in JSON."""
+    j = F.expr("concat('{\"entities\": [{\"entity_type\": \"', CASE call_id % 4 WHEN 0 THEN 'Location' WHEN 1 THEN 'person' WHEN 2 THEN 'Phone number' ELSE 'address' END, '\", \"value\": \"v', call_id, '\"}]}')")
+    return V.analyses(s, d).select("call_id", "title", F.when(F.col("resolved"), "Resolved.").alias("summary"), F.expr("CASE WHEN call_id % 5 = 0 THEN 'Schedule a visit' END").alias("reason"), j.alias("analysis_json"))
+
+
+_ENTITIES = "ents AS (SELECT call_id, title, resolved, CASE call_id % 4 WHEN 0 THEN 'Location' WHEN 1 THEN 'person' WHEN 2 THEN 'Phone number' ELSE 'address' END AS kind, CASE WHEN call_id % 5 = 0 THEN 'Schedule a visit' END AS reason FROM analyses)"
+
 QUERIES = {
+    "words_of_tokens": lambda s, d: C.words_of_tokens(_tokens(s, d)).select("call_id", "word_no", "word", "start_ms", "end_ms", F.round("confidence", 6).alias("confidence")),
+    "counting_windows": lambda s, d: C.counting_windows(V.segments(s, d).select("call_id", "sequence", "start_ms", "end_ms"), most=64),
+    "fixed_chunks": lambda s, d: C.fixed_chunks(V.calls(s, d).where("duration_ms IS NOT NULL").select(F.col("id").alias("call_id"), "duration_ms")),
+    "renumber_labels": lambda s, d: C.renumbered(_grouped(s, d).join(V.voice_prints(s, d).select("id", "label"), "id"), "call_id", "label", "id").select("id", "call_id", "label", F.col("number").cast("bigint").alias("number")),
+    "diarize_windows": _diarized,
+    "stereo_turns": lambda s, d: C.stereo_turns(V.turns(s, d).where("speaker_id = 0"), V.turns(s, d).where("speaker_id = 1")).select("call_id", "speaker_id", "start_ms", "end_ms", F.col("turn").cast("bigint").alias("turn")),
+    "valid_transcripts": lambda s, d: C.valid_transcripts(V.segments(s, d).withColumn("speaker_id", F.expr("CASE WHEN call_id % 10 = 3 AND sequence = 2 THEN 70000 ELSE speaker_id END"))),
+    "segment_classes": lambda s, d: V.voice_prints(s, d).select("id", F.array_join(G.active_speakers(F.slice("embedding", 1, 7)).cast("array<string>"), "+").alias("speakers"), G.upper_median(F.transform(F.slice("embedding", 1, 5), lambda x: F.floor(F.abs(x) * 10))).cast("bigint").alias("median")),
+    "calendar_entities": lambda s, d: _entities(s, d).select("call_id", N.first_place(N.entities(F.col("analysis_json"))).alias("place"), N.is_calendar_event(N.entities(F.col("analysis_json")), F.col("reason")).alias("is_event"), N.badge(F.expr("CASE call_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'pending' END")).alias("badge")),
+    "call_messages": lambda s, d: N.message(_entities(s, d)),
     "conversation_metrics": lambda s, d: C.conversation_metrics(V.segments(s, d)),
     "segment_words": lambda s, d: C.segmented(_words(s, d)),
     "merge_turns": lambda s, d: C.merged_turns(V.turns(s, d), 2500),
@@ -135,6 +169,15 @@ _ALIGN = """p AS (SELECT w.call_id, w.sequence, w.pos, w.word, t.speaker_id AS t
 _PAIRS = "p AS (SELECT r.call_id, r.speaker_id AS ref_speaker, h.speaker_id AS hyp_speaker, sum(least(r.end_ms, h.end_ms) - greatest(r.start_ms, h.start_ms))::BIGINT AS overlap_ms FROM segments r JOIN turns h ON h.call_id = r.call_id AND greatest(r.start_ms, h.start_ms) < least(r.end_ms, h.end_ms) GROUP BY ALL)"
 
 SQL = {
+    "words_of_tokens": sql(V.SEGMENTS, V.WORDS, body="SELECT call_id, row_number() OVER (PARTITION BY call_id ORDER BY sequence, pos) AS word_no, word, start_ms, end_ms - CASE WHEN length(word) > 3 THEN 0 ELSE 200 END AS end_ms, CASE WHEN length(word) > 3 THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence FROM words"),
+    "counting_windows": sql(V.SEGMENTS, "t AS (SELECT call_id, sequence, start_ms, end_ms, CASE WHEN end_ms - 2000 <= start_ms THEN 0 ELSE (end_ms - 2000 - start_ms) // 1000 END AS k FROM segments)", "u AS (SELECT *, CASE WHEN end_ms - 2000 > start_ms AND start_ms + 1000 * k + 2000 < end_ms THEN k + 1 ELSE k END AS last FROM t)", 'v AS (SELECT call_id, sequence, end_ms, start_ms, unnest(range(last + 1)) AS "window" FROM u)', 'x AS (SELECT call_id, sequence, "window", start_ms + 1000 * "window" AS window_start, least(start_ms + 1000 * "window" + 2000, end_ms) AS window_end FROM v WHERE least(start_ms + 1000 * "window" + 2000, end_ms) - start_ms - 1000 * "window" > 50)', "y AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY window_start, window_end) - 1 AS r, count(*) OVER (PARTITION BY call_id) AS n FROM x)", body='SELECT call_id, sequence, "window", window_start, window_end FROM y WHERE r % ceil(n / 64)::BIGINT = 0'),
+    "fixed_chunks": sql(V.CALLS, "t AS (SELECT id AS call_id, duration_ms, unnest(range((duration_ms + 9999) // 10000)) AS chunk FROM calls WHERE duration_ms > 0)", body="SELECT call_id, chunk, chunk * 10000 AS start_ms, least(duration_ms - chunk * 10000, 10000) AS real_ms FROM t"),
+    "renumber_labels": sql(V.VOICE_PRINTS, "t AS (SELECT id, id // 40 AS call_id, label, min(id) OVER (PARTITION BY id // 40, label) AS f FROM voice_prints)", body="SELECT id, call_id, label, dense_rank() OVER (PARTITION BY call_id ORDER BY f) - 1 AS number FROM t"),
+    "stereo_turns": sql(V.SEGMENTS, V.TURNS, body="SELECT call_id, speaker_id, start_ms, end_ms, row_number() OVER (PARTITION BY call_id ORDER BY start_ms, speaker_id) - 1 AS turn FROM turns WHERE speaker_id IN (0, 1)"),
+    "valid_transcripts": sql(V.SEGMENTS, body="SELECT call_id, count(*) AS n_segments FROM segments GROUP BY 1 HAVING NOT bool_or(call_id % 10 = 3 AND sequence = 2)"),
+    "segment_classes": sql(V.VOICE_PRINTS, "t AS (SELECT id, embedding[1:7] AS e, list_sort(list_transform(embedding[1:5], lambda x: floor(abs(x) * 10)::BIGINT)) AS m FROM voice_prints)", body="SELECT id, ['', '0', '1', '2', '0+1', '0+2', '1+2'][list_position(e, list_max(e))] AS speakers, greatest(m[3], 1) AS median FROM t"),
+    "calendar_entities": sql(V.ANALYSES, _ENTITIES, body="SELECT call_id, CASE WHEN call_id % 4 IN (0, 3) THEN 'v' || call_id END AS place, call_id % 4 IN (0, 3) OR reason IS NOT NULL AS is_event, CASE call_id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'error' ELSE 'waiting' END AS badge FROM ents"),
+    "call_messages": sql(V.ANALYSES, _ENTITIES, body="SELECT call_id, concat_ws(chr(10) || chr(10), '*' || title || '*', CASE WHEN resolved THEN 'Resolved.' END, 'Reason: ' || reason, CASE WHEN call_id % 4 <> 1 THEN 'Details:' || chr(10) || '- ' || kind || ': v' || call_id END) AS message FROM ents"),
     "conversation_metrics": sql(V.SEGMENTS, _RUNS, body="SELECT a.*, am::BIGINT AS agent_monologue_ms, cm::BIGINT AS customer_monologue_ms, round(agent_ms / greatest(agent_ms + customer_ms, 1), 6) AS agent_ratio, round(customer_ms / greatest(agent_ms + customer_ms, 1), 6) AS customer_ratio, CASE WHEN agent_ms > 0 THEN round(agent_words * 60000.0 / agent_ms, 4) ELSE 0 END::DOUBLE AS agent_wpm, CASE WHEN customer_ms > 0 THEN round(customer_words * 60000.0 / customer_ms, 4) ELSE 0 END::DOUBLE AS customer_wpm FROM a JOIN l USING (call_id)"),
     "segment_words": sql(V.SEGMENTS, V.WORDS, _WORDS_SQL, _SEGMENTED, body="SELECT call_id, sequence::BIGINT AS sequence, arg_min(speaker_id, ordinal) AS speaker_id, arg_min(language, ordinal) AS language, min(start_ms) AS start_ms, arg_max(end_ms, ordinal) AS end_ms, count(*) AS n_words, string_agg(word, ' ' ORDER BY ordinal) AS text FROM s2 GROUP BY 1, 2"),
     "merge_turns": sql(V.SEGMENTS, V.TURNS, "t1 AS (SELECT *, CASE WHEN lag(speaker_id) OVER (PARTITION BY call_id ORDER BY start_ms, turn) = speaker_id THEN 0 ELSE 1 END AS ch FROM turns)", "t2 AS (SELECT *, sum(ch) OVER (PARTITION BY call_id ORDER BY start_ms, turn ROWS UNBOUNDED PRECEDING) AS run FROM t1)", "t3 AS (SELECT *, CASE WHEN start_ms <= max(end_ms) OVER (PARTITION BY call_id, run ORDER BY start_ms, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2500 THEN 0 ELSE 1 END AS new FROM t2)", "t4 AS (SELECT *, sum(new) OVER (PARTITION BY call_id ORDER BY start_ms, turn ROWS UNBOUNDED PRECEDING)::BIGINT AS part FROM t3)", body="SELECT call_id, part, min(speaker_id) AS speaker_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_turns FROM t4 GROUP BY 1, 2"),

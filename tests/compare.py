@@ -17,7 +17,7 @@ def connection(folder: str):
 def _cell(x) -> str:
     if isinstance(x, (list, np.ndarray)):
         return str([_cell(y) for y in x])
-    if x is None or (np.isscalar(x) and pd.isna(x)) or x is pd.NaT:
+    if x is None or x is pd.NA or (np.isscalar(x) and pd.isna(x)) or x is pd.NaT:
         return ""
     if isinstance(x, (bool, np.bool_)):
         return str(bool(x))
