@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import bounded_sample, fresh
 
 
 # Public licence notices, by family. Digits stand for any number.
@@ -234,7 +234,8 @@ FOUND = "n_paragraphs bigint, n_predicted bigint, n_confirmed bigint, families s
 
 def fitted(docs: DataFrame, scan: Scan = Scan(), id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """A classifier whose unknown class has seen a bounded sample of ``docs``."""
-    sample = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).cast("string").alias("i"), F.substring(F.col(text_col).cast("string"), 1, 20_000).alias("t")).orderBy("h", "i", "t").limit(scan.sample)
+    sample = docs.select(F.col(id_col).cast("string").alias("i"), F.substring(F.col(text_col).cast("string"), 1, 20_000).alias("t"))
+    sample = bounded_sample(sample, scan.sample, F.col("i"), F.col("t"))
     return Classifier(training_rows([r.t for r in sample.collect()], scan), scan.seed)
 
 
