@@ -20,6 +20,8 @@ from .common import bit_table, filter_bits, fresh, places, written
 BANDS, ROWS = 40, 6
 #: Parts that a hot bucket or group is cut into: bits of a long.
 SALTS = 60
+#: Documents of a bucket that are held against others in one part.
+PART_ROWS = 512
 #: Distinct words whose hashes a Python worker keeps.
 WORDS_KEPT = 250_000
 
@@ -164,33 +166,37 @@ def _spread(df: DataFrame, mask: str = "mask") -> DataFrame:
     return df.withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.call_function("getbit", F.col(mask), s) == 1))).drop(mask)
 
 
-def confirmed(texts: DataFrame, pairs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """The pairs (doc, hub) whose full sets have 100 * intersection >= threshold * union.
+def sets_of(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, elements), a written table: the full shingle sets of the documents in ``ids``, one for each id.
 
     The texts are read again where they lie: a filter of bounded size tells
-    the tasks which documents to shingle (some too many do no harm). A hub's
-    set is joined to its spokes, whose partitions the adaptive skew join may
-    split.
+    the tasks which documents to shingle (some too many do no harm).
     """
     spark, kind = texts.sparkSession, texts.schema["id"].dataType
-    ends = written(pairs.select("doc").union(pairs.select("hub")).distinct(), "ends")
-    bits = filter_bits(ends.count())
-    table = bit_table(ends.select(F.explode(F.array(*places(F.col("doc"), bits))).alias("bit")), "bit", bits)
+    ids = written(ids.select(F.col("id").alias("want")).distinct(), "wanted")
+    bits = filter_bits(ids.count())
+    table = bit_table(ids.select(F.explode(F.array(*places(F.col("want"), bits))).alias("bit")), "bit", bits)
     schema = T.StructType([T.StructField("id", kind), T.StructField("elements", T.ArrayType(T.LongType()))])
     marked = texts.where("id IS NOT NULL").select("id", "text", *[p.alias(f"bit{k}") for k, p in enumerate(places(F.col("id"), bits))])
     sets = marked.mapInArrow(_sets(width, spark.sparkContext.broadcast(table)), schema)
-    # one set for each id
-    sets = written(sets.join(ends.hint("merge"), F.col("id") == F.col("doc"), "left_semi").dropDuplicates(["id"]), "sets")
+    return written(sets.join(ids.hint("merge"), F.col("id") == F.col("want"), "left_semi").dropDuplicates(["id"]), "sets")
+
+
+def _similar(a: str, b: str, threshold: int):
+    """Whether 100 * intersection >= threshold * union, of two sets."""
+    both = F.size(F.array_intersect(a, b)).cast("bigint")
+    return F.lit(100) * both >= F.lit(threshold) * (F.size(a) + F.size(b) - both)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (doc, hub) whose full sets reach the threshold.
+
+    A hub's set is joined to its spokes, whose partitions the adaptive skew
+    join may split.
+    """
     spokes = pairs.hint("merge").join(sets.select(F.col("id").alias("doc"), "elements"), "doc")
     hubs = sets.select(F.col("id").alias("hub"), F.col("elements").alias("of_hub"))
-    both = F.size(F.array_intersect("elements", "of_hub"))
-    return (
-        spokes.hint("merge")
-        .join(hubs, "hub")
-        .select("doc", "hub", both.alias("both"), (F.size("elements") + F.size("of_hub")).alias("sum"))
-        .where(F.lit(100).cast("bigint") * F.col("both") >= F.lit(threshold).cast("bigint") * (F.col("sum") - F.col("both")))
-        .select("doc", "hub")
-    )
+    return spokes.hint("merge").join(hubs, "hub").where(_similar("elements", "of_hub", threshold)).select("doc", "hub")
 
 
 def _alike(a: str, b: str, n_a: str, n_b: str, bins: int, threshold: int):
@@ -232,8 +238,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     4. A bucket whose documents then lie in several components may hide links
        between spokes that the hub doesn't have. There each document outside
        the bucket's largest component is held against those of all other
-       components, inside the join; only pairs whose sizes and sketches allow
-       the similarity come out, and they too are confirmed on full sets.
+       components, by size, sketch and full set inside a join that only links
+       come out of. This is the exact way for what stars can't see; it takes
+       time with the square of such a bucket where nothing in it is linked.
 
     Texts without words have no shingles, component of their own, and are kept.
     Rows that repeat an id are one document (with several texts, one of them
@@ -264,27 +271,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = stars.where("id <> hub").select(F.col("id").alias("doc"), "hub").distinct()
     pairs = pairs.hint("merge").join(known.select(F.col("id").alias("doc"), "n", "sketch"), "doc").hint("merge").join(known.select(F.col("id").alias("hub"), F.col("n").alias("n_hub"), F.col("sketch").alias("of_hub")), "hub")
     pairs = written(pairs.where(_alike("sketch", "of_hub", "n", "n_hub", bins, threshold)).select("doc", "hub"), "pairs")
-    edges = written(confirmed(texts, pairs, width, threshold), "links")
+    ends = pairs.select(F.col("doc").alias("id")).union(pairs.select(F.col("hub").alias("id")))
+    edges = written(confirmed(pairs, sets_of(texts, ends, width), threshold), "links")
     labels = components(edges)
 
     # buckets that hold several components: every document outside the bucket's largest one against all the others
     member = stars.hint("merge").join(known, "id").hint("merge").join(labels.withColumnRenamed("id", "v"), F.col("id") == F.col("v"), "left")
-    member = written(member.select("bucket", "id", "n", "sketch", F.coalesce("label", "id").alias("label"), _salt("id").alias("salt")), "members")
-    mixed = member.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.expr("bit_or(shiftleft(1L, salt))").alias("mask")).where("low <> high")
-    sizes = member.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("bucket", "label").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-    heads = member.join(mixed.select("bucket", "mask"), "bucket").join(main, "bucket").where("label <> main")
-    heads = _spread(heads.select("bucket", F.col("id").alias("hub"), F.col("n").alias("n_hub"), F.col("sketch").alias("of_hub"), F.col("label").alias("hub_label"), "main", "mask"))
-    m = member.alias("m")
-    same = (F.col("m.bucket") == F.col("h.bucket")) & (F.col("m.salt") == F.col("h.salt")) & (F.col("m.label") != F.col("h.hub_label"))
-    # two documents that are both outside the largest component meet once
-    same = same & ((F.col("m.label") == F.col("h.main")) | (F.col("m.id") > F.col("h.hub"))) & _alike("m.sketch", "h.of_hub", "m.n", "h.n_hub", bins, threshold)
-    more = m.hint("merge").join(heads.alias("h"), same).select(F.greatest("m.id", "h.hub").alias("doc"), F.least("m.id", "h.hub").alias("hub")).distinct()
-    more = written(more.join(pairs, ["doc", "hub"], "left_anti"), "more")
-    if not more.isEmpty():
-        found = written(confirmed(texts, more, width, threshold), "links")
-        if not found.isEmpty():
-            labels = components(edges.union(found))
+    member = written(member.select("bucket", "id", "n", "sketch", F.coalesce("label", "id").alias("label")), "members")
+    mixed = member.groupBy("bucket", "label").agg(F.count("*").alias("m")).groupBy("bucket")
+    mixed = mixed.agg(F.sum("m").alias("m"), F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("k")).where("k > 1")
+    rest = member.hint("merge").join(mixed.select("bucket", "main", F.ceil(F.col("m") / PART_ROWS).cast("int").alias("parts")), "bucket")
+    rest = written(rest.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "rest")
+    heads = rest.where("label <> main").drop("part").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def near(m: str, h: str):
+        same = (F.col(f"{m}.bucket") == F.col(f"{h}.bucket")) & (F.col(f"{m}.part") == F.col(f"{h}.part")) & (F.col(f"{m}.label") != F.col(f"{h}.label"))
+        # two documents that are both outside the largest component meet once
+        same = same & ((F.col(f"{m}.label") == F.col(f"{m}.main")) | (F.col(f"{m}.id") > F.col(f"{h}.id")))
+        return same & _alike(f"{m}.sketch", f"{h}.sketch", f"{m}.n", f"{h}.n", bins, threshold)
+
+    # first who has anybody near at all; then full sets decide inside the join, so that only links come out of it
+    live = written(rest.alias("m").hint("merge").join(heads.alias("h"), near("m", "h"), "left_semi"), "live")
+    live_heads = written(heads.alias("h").hint("merge").join(rest.alias("m"), near("m", "h"), "left_semi"), "live_heads")
+    if not live.isEmpty():
+        sets = sets_of(texts, live.select("id").union(live_heads.select("id")), width)
+        m = live.hint("merge").join(sets, "id").alias("m")
+        h = live_heads.hint("merge").join(sets, "id").alias("h")
+        links = m.hint("merge").join(h, near("m", "h") & _similar("m.elements", "h.elements", threshold))
+        links = written(links.select(F.col("m.id").alias("doc"), F.col("h.id").alias("hub")).distinct(), "more_links")
+        if not links.isEmpty():
+            labels = components(edges.union(links))
 
     out = nodes.select("id", "n", "rep").hint("merge").join(labels.withColumnRenamed("id", "v"), F.col("rep") == F.col("v"), "left")
     component = F.coalesce("label", "rep")
