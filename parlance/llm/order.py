@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, permuted, scratch, written
+from .common import bounded_sample, partitions, permuted, scratch, written
 
 #: Distinct words whose ids a Python worker keeps.
 WORDS_KEPT = 400_000
@@ -95,12 +95,43 @@ def encoder(model: str) -> Encoder:
     return Encoder(model)
 
 
-def _packed(layout: Layout, model: str):
+#: Documents that the sequences' compression is fitted to, and the dictionary's bytes. Both bound what is sent.
+SAMPLE, DICTIONARY = 1500, 112_640
+
+
+def _dictionary(texts: DataFrame, layout: Layout, model: str) -> bytes:
+    """A compression dictionary for sequences from a bounded sample of documents; empty if there are too few.
+
+    It saves scratch space only: any dictionary gives the same shards.
+    """
+    sample = bounded_sample(texts.select(F.substring("text", 1, 20_000).alias("text")), SAMPLE, F.col("text"))
+    encode, size = encoder(model), 2 * layout.length
+    run = b"".join(encode(r.text or "") for r in sample.collect())
+    cut = [run[i : i + size] for i in range(0, len(run) - size + 1, size)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, cut).as_bytes() if len(run) >= 8 * DICTIONARY else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+#: The sequences' compression level in the scratch table and the shuffle.
+LEVEL = 6
+
+
+def _fitted(fitted: bytes) -> dict:
+    if not fitted:
+        return {}
+    found = zstandard.ZstdCompressionDict(fitted)
+    found.precompute_compress(level=LEVEL)
+    return {"dict_data": found}
+
+
+def _packed(layout: Layout, model: str, fitted: bytes):
     """Documents to sequences: ids and end marks in a row, cut every ``length`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, size = encoder(model), 2 * layout.length
-        end, press = np.array([layout.end], "<u2").tobytes(), zstandard.ZstdCompressor(level=3)
+        end, press = np.array([layout.end], "<u2").tobytes(), zstandard.ZstdCompressor(level=LEVEL, **_fitted(fitted))
         part, number, rest = TaskContext.get().partitionId(), 0, b""
 
         def rows(run_of: bytes) -> pa.RecordBatch:
@@ -132,12 +163,15 @@ def _packed(layout: Layout, model: str):
     return run
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for start in range(0, batch.num_rows, 1024):
-            part = batch.slice(start, 1024)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([press.decompress(x.as_py()) for x in part.column(1)], pa.binary())], ["shard", "record"])
+def _unpacked(fitted: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor(**_fitted(fitted))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([press.decompress(x.as_py()) for x in part.column(1)], pa.binary())], ["shard", "record"])
+
+    return run
 
 
 def materialised(docs: DataFrame, out: str | None = None, layout: Layout = Layout(), text_col: str = "text") -> tuple[str, int]:
@@ -157,7 +191,8 @@ def materialised(docs: DataFrame, out: str | None = None, layout: Layout = Layou
     """
     spark, model = docs.sparkSession, layout.model or default_model()
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    made = written(texts.mapInArrow(_packed(layout, model), "part int, number bigint, packed binary"), "sequences", compression="uncompressed")
+    fitted = _dictionary(texts, layout, model)
+    made = written(texts.mapInArrow(_packed(layout, model, fitted), "part int, number bigint, packed binary"), "sequences", compression="uncompressed")
     sizes = made.groupBy("part").agg(F.count("*").alias("n"))
     sizes = sizes.select("part", F.coalesce(F.sum("n").over(Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), "n")
     n = int(sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n)
@@ -170,7 +205,7 @@ def materialised(docs: DataFrame, out: str | None = None, layout: Layout = Layou
     placed = placed.withColumn("shard", F.call_function("div", F.col("slot"), F.lit(layout.per_shard).cast("bigint")).cast("int"))
     shards = -(-n // layout.per_shard)
     placed = placed.repartitionByRange(min(shards, 4 * partitions(spark)), "shard").sortWithinPartitions("shard", "slot").select("shard", "packed")
-    records = placed.mapInArrow(_unpacked, "shard int, record binary")
+    records = placed.mapInArrow(_unpacked(fitted), "shard int, record binary")
     records.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(out)
     return out, n
 
