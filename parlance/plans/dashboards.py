@@ -33,6 +33,7 @@ QUERIES = {
     "analytics_dashboard": lambda s, d: C.dashboard(V.calls(s, d), V.analyses(s, d), V.transcripts(s, d)),
     "call_lookup": lambda s, d: _day(V.calls(s, d).where("id = 7"), "created_at"),
     "call_by_external_id": lambda s, d: _day(V.calls(s, d).where("organization_id = 2 AND external_id = 'call-' || id AND id < 50"), "created_at"),
+    "call_by_external_id_whole": lambda s, d: _day(V.calls(s, d).where("organization_id = 2 AND external_id = 'call-254'"), "created_at"),
     "call_list_page": lambda s, d: _day(C.listed(V.calls(s, d), C.CallFilter(organization_id=2, status="completed", created_from="1993-01-01", created_to="1997-12-31", limit=50, offset=10)), "created_at"),
     "call_list_display": lambda s, d: _day(_display(s, d, C.DisplayFilter(status="completed", language="en", text="call-1", limit=20)), "created_at"),
     "call_list_any_language": lambda s, d: _day(_display(s, d, C.DisplayFilter(language="ar", date="90d", limit=25, offset=5)), "created_at"),
@@ -74,6 +75,7 @@ SQL = {
         body="SELECT 'hours' AS name, round(coalesce(sum(duration_ms), 0) / 3600000.0, 4)::DOUBLE AS value FROM calls UNION ALL SELECT 'completion_pct', round(100.0 * count(*) FILTER (WHERE status = 'completed') / count(*), 4) FROM calls UNION ALL SELECT 'intent:' || customer_intent, round(100.0 * n / sum(n) OVER ()) FROM t UNION ALL SELECT 'lang:he', he FROM l UNION ALL SELECT 'lang:ru', ru FROM l UNION ALL SELECT 'lang:en', 100 - he - ru FROM l"),
     "call_lookup": sql(V.CALLS, body="SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at) FROM calls WHERE id = 7"),
     "call_by_external_id": sql(V.CALLS, body="SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at) FROM calls WHERE organization_id = 2 AND id < 50"),
+    "call_by_external_id_whole": sql(V.CALLS, body="SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at) FROM calls WHERE organization_id = 2 AND external_id = 'call-254'"),
     "call_list_page": sql(V.CALLS, body="SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at) FROM (SELECT * FROM calls WHERE organization_id = 2 AND status = 'completed' AND created_at >= TIMESTAMP '1993-01-01' AND created_at <= TIMESTAMP '1997-12-31' ORDER BY is_favorite DESC, created_at DESC, id LIMIT 50 OFFSET 10)"),
     "call_list_display": sql(V.CALLS, V.TRANSCRIPTS, body=f"{_DISPLAY} WHERE status = 'completed' AND primary_language IN ('en', 'english') AND external_id LIKE '%call-1%' ORDER BY is_favorite DESC, c.created_at DESC, id LIMIT 20"),
     "call_list_any_language": sql(V.CALLS, V.TRANSCRIPTS, body=f"{_DISPLAY} ORDER BY is_favorite DESC, c.created_at DESC, id LIMIT 25 OFFSET 5"),

@@ -79,8 +79,8 @@ def _json_values(s, d):
 _VALUES = "vals AS (SELECT event_id AS id, CASE event_id % 8 WHEN 0 THEN 'true' WHEN 1 THEN 'Yes' WHEN 2 THEN 'no' WHEN 3 THEN '+0.75' WHEN 4 THEN '0' WHEN 5 THEN 'N/A' END AS v, json_extract_string(props, '$.k') AS k FROM events)"
 
 
-def _events(s, d):
-    rows = V.calls(s, d).where("id < 200").select(F.col("id").alias("call_id"), F.concat(F.lit("Call\n"), "external_id").alias("title"), F.col("status").alias("summary"), F.expr("CASE WHEN id % 2 = 0 THEN 'Room 1' END").alias("location"), F.expr("CASE WHEN id % 3 = 0 THEN created_at END").alias("start"))
+def _events(s, d, where="true"):
+    rows = V.calls(s, d).where(where).select(F.col("id").alias("call_id"), F.concat(F.lit("Call\n"), "external_id").alias("title"), F.col("status").alias("summary"), F.expr("CASE WHEN id % 2 = 0 THEN 'Room 1' END").alias("location"), F.expr("CASE WHEN id % 3 = 0 THEN created_at END").alias("start"))
     return X.ics(rows, NOW)
 
 
@@ -118,7 +118,8 @@ QUERIES = {
     "export_full_text": lambda s, d: X.full_text(V.segments(s, d)),
     "export_json": lambda s, d: X.nested(V.segments(s, d)),
     "export_rttm": lambda s, d: X.rttm(V.turns(s, d)),
-    "export_ics": _events,
+    "export_ics": lambda s, d: _events(s, d, "id < 200"),
+    "export_ics_whole": _events,
     "rttm_parse": lambda s, d: X.parsed_rttm(X.rttm(V.turns(s, d))),
     "web_hook_payload": lambda s, d: X.web_hook(V.calls(s, d), V.analyses(s, d)).select("id", F.get_json_object("payload", "$.title").alias("title"), F.get_json_object("payload", "$.resolved").alias("resolved")),
 }
@@ -168,3 +169,7 @@ SQL = {
     "rttm_parse": sql(V.SEGMENTS, V.TURNS, body="SELECT call_id::VARCHAR AS uri, 'speaker_' || speaker_id AS speaker, start_ms, end_ms FROM turns"),
     "web_hook_payload": sql(V.CALLS, V.ANALYSES, body="SELECT id, title, CASE WHEN resolved THEN 'true' ELSE 'false' END AS resolved FROM calls JOIN analyses ON call_id = id"),
 }
+#: The SQL of a query that is cut, without its cut.
+SQL |= {
+    "export_ics_whole": SQL["export_ics"].replace(" WHERE id < 200", ""),
+}
