@@ -91,6 +91,7 @@ QUERIES = {
     "agent_greeting": lambda s, d: V.segments(s, d).select("call_id", "sequence", T.is_greeting(F.expr("CASE WHEN sequence % 4 = 0 THEN concat('HOW CAN I HELP ', raw_text) ELSE raw_text END")).alias("greets")),
     "parse_filename": _parsed,
     "degenerate_text": lambda s, d: _docs(s, d).select("doc_id", T.is_degenerate(F.substring_index("text", "\n", -1)).alias("degenerate")),
+    "degenerate_text_whole": lambda s, d: _docs(s, d).select("doc_id", T.is_degenerate(F.col("text")).alias("degenerate")),
     "foreign_script": lambda s, d: _docs(s, d).select("doc_id", T.has_foreign_script(F.expr("CASE WHEN doc_id % 5 = 0 THEN concat(substring_index(text, '\n', 1), ' 漢字漢字') ELSE text END")).alias("foreign")),
     "heuristic_summary": lambda s, d: V.transcripts(s, d).select("call_id", T.fallback_title(F.col("primary_language")).alias("title"), F.lit(True).alias("resolved"), F.lit(0.0).alias("sentiment_score")),
     "classifier_flags": lambda s, d: V.segments(s, d).withColumn("t", F.expr("CASE WHEN sequence % 5 = 0 THEN concat(raw_text, ' Please CANCEL it') WHEN sequence % 5 = 1 THEN concat(raw_text, ' bad service') ELSE raw_text END")).select("call_id", "sequence", T.flag("cancellation", F.col("t")).alias("cancellation"), T.flag("complaint", F.col("t")).alias("complaint")),
@@ -172,4 +173,5 @@ SQL = {
 #: The SQL of a query that is cut, without its cut.
 SQL |= {
     "export_ics_whole": SQL["export_ics"].replace(" WHERE id < 200", ""),
+    "degenerate_text_whole": SQL["degenerate_text"].replace("string_split(text, chr(10))[-1]", "text"),
 }

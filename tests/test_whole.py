@@ -1,5 +1,7 @@
 """Queries of the whole job, beside those whose SQL holds a cut."""
 
+import re
+
 from parlance.plans import registry
 
 from .conftest import SF
@@ -16,3 +18,16 @@ def test_every_call_gets_its_event(spark):
 
 def test_a_call_beyond_the_first_fifty_is_found(spark):
     assert list(got(spark, "call_by_external_id_whole").id) == [254]
+
+
+def plain_degenerate(text):
+    ws = text.split()
+    plain = {re.sub(r"^[\W_]+|[\W_]+$", "", w).lower() for w in ws}
+    return len(ws) >= 4 and 3 * len(plain) <= len(ws)
+
+
+def test_whole_documents_are_judged(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    flags = {r.doc_id: r.degenerate for r in got(spark, "degenerate_text_whole").itertuples()}
+    assert flags == {i: plain_degenerate(t) for i, t in texts.items()}
+    assert any(f and not plain_degenerate(texts[i].split("\n")[-1]) for i, f in flags.items())
