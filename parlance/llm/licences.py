@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -112,10 +114,11 @@ TEMPLATE_GRAMS = {f: [grams(words(t), 3) for t in ts] for f, ts in TEMPLATES.ite
 PAIRS = set().union(*[grams(words(t), 2) for ts in TEMPLATES.values() for t in ts])
 
 
-def similarity(ws: list[bytes], family: str) -> float:
-    """The largest share of a template's word triples that ``ws`` has."""
-    own = grams(ws, 3)
-    return max(len(own & g) / len(g) for g in TEMPLATE_GRAMS[family])
+def evidence(ws: list[bytes], family: str) -> tuple[float, int]:
+    """The largest share of a template's word triples that ``ws`` has, and where the first of them stands."""
+    own = list(zip(ws, ws[1:], ws[2:], strict=False))
+    at = [[i for i, g in enumerate(own) if g in want] for want in TEMPLATE_GRAMS[family]]
+    return max(((len({own[i] for i in k}) / len(g), k[0] if k else 0) for k, g in zip(at, TEMPLATE_GRAMS[family], strict=True)), key=lambda e: (e[0], -e[1]))
 
 
 def shared_pairs(ws: list[bytes]) -> int:
@@ -191,39 +194,58 @@ def training_rows(texts: list[str], scan: Scan = Scan()) -> list[tuple[list[byte
     return rows
 
 
-def windows(ws: list[bytes], size: int) -> list[list[bytes]]:
-    """A paragraph's words, cut into windows that overlap by half if it is long."""
-    if len(ws) <= size:
-        return [ws]
-    return [ws[i : i + size] for i in range(0, len(ws) - size // 2, size // 2)]
+def windows(lo: int, hi: int, size: int) -> list[tuple[int, int]]:
+    """The words from lo to hi, cut into windows that overlap by half if they are many."""
+    if hi - lo <= size:
+        return [(lo, hi)]
+    return [(i, min(i + size, hi)) for i in range(lo, hi - size // 2, size // 2)]
+
+
+def paragraphs(raw: bytes) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """Runs of lines with words, as (line's number, words); lines without any part them. A word broken at its hyphen is one."""
+    run: list = []
+    for number, line in enumerate(raw.split(b"\n")):
+        if ws := line.split():
+            if run and run[-1][1] and run[-1][1][-1].endswith(b"-") and run[-1][1][-1].strip(b"-"):
+                run[-1][1][-1] += ws.pop(0)
+            run.append((number, ws))
+        elif run:
+            yield run
+            run = []
+    if run:
+        yield run
 
 
 def scanned(text: str | None, model: Classifier, scan: Scan = Scan()) -> tuple:
     """(n_paragraphs, n_predicted, n_confirmed, families, family, probability, similarity, paragraph) of a text."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower().translate(_DIGITS, _DROP)
     count, predicted, hits = 0, 0, []
-    for number, line in enumerate(raw.split(b"\n")):
-        ws = line.split()
-        if not ws:
-            continue
+    for lines in paragraphs(raw):
         count += 1
+        ws = [w for _, line in lines for w in line]
         # fewer shared pairs can't be confirmed: a triple of a template has two of them
         if shared_pairs(ws) < scan.shared and not any(w[:1] == b"0" for w in ws):
             continue
         ws = [b"0" if w.isdigit() else w for w in ws]
-        if shared_pairs(ws) < scan.shared:
+        near = list(accumulate(map(PAIRS.__contains__, zip(ws, ws[1:], strict=False)), initial=0))
+        if near[-1] < scan.shared:
             continue
-        best = None
-        for part in windows(ws, scan.window):
-            p = model.probabilities(part)
+        ends = list(accumulate(len(line) for _, line in lines))
+        parts = windows(0, len(ws), scan.window)
+        if len(lines) > 1:  # a short notice is not thinned out by the lines around it
+            parts += [part for lo, hi in zip([0, *ends], ends, strict=False) for part in windows(lo, hi, scan.window)]
+        best: dict = {}
+        for lo, hi in dict.fromkeys(parts):
+            if near[hi - 1] - near[lo] < scan.shared:
+                continue
+            p = model.probabilities(ws[lo:hi])
             c = int(p.argmax())
             if c != UNKNOWN and p[c] >= scan.probability:
-                found = (similarity(part, FAMILIES[c]), float(p[c]), FAMILIES[c])
-                best = max(best, found) if best else found
-        if best:
-            predicted += 1
-            if best[0] >= scan.similarity:
-                hits.append((*best, number))
+                share, first = evidence(ws[lo:hi], FAMILIES[c])
+                found = (share, float(p[c]), FAMILIES[c], lines[bisect(ends, lo + first)][0])
+                best[found[2]] = max(best.get(found[2], found), found, key=lambda h: (h[0], h[1], -h[3]))
+        predicted += bool(best)
+        hits += [h for h in best.values() if h[0] >= scan.similarity]
     top = max(hits, key=lambda h: (h[0], h[1], -h[3]), default=(None, None, None, None))
     families = ",".join(sorted({h[2] for h in hits})) or None
     return count, predicted, len(hits), families, top[2], None if top[1] is None else round(top[1], 3), None if top[0] is None else round(top[0], 6), top[3]
@@ -242,9 +264,11 @@ def fitted(docs: DataFrame, scan: Scan = Scan(), id_col: str = "doc_id", text_co
 def licences(docs: DataFrame, scan: Scan = Scan(), model: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text", found: str = "licence") -> DataFrame:
     """``docs`` with a struct column ``licence`` (the fields of FOUND).
 
-    Every paragraph (line) of every whole text is classified, long ones in
-    overlapping windows; a predicted family stands only if the window has
-    ``similarity`` of the word triples of one of its templates. The unknown
+    Every paragraph (lines up to one without words) of every whole text is
+    classified, long ones in overlapping windows, and each of its lines too; a
+    predicted family stands only if the window has ``similarity`` of the word
+    triples of one of its templates; ``paragraph`` is the number of the line in
+    which the first of them stands. The unknown
     class is one of the model's, and a probability under ``probability`` (at a
     temperature fitted to held-out rows) is unknown too. A null or empty text
     has no paragraphs. The first of equally good paragraphs counts. Other

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -82,6 +83,18 @@ def test_licences(spark):
     assert licences.licences(frame(spark, []), model=model).count() == 0
 
 
+def test_wrapped_licences(spark):
+    model = licences.fitted(frame(spark, [(i, " ".join(f"plain{(i * k) % 91}" for k in range(40))) for i in range(1, 60)]))
+    notices = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts if len(t) > 70]
+    rows = []
+    for k, (_, t) in enumerate(notices):
+        wrapped = textwrap.fill(t, 60)
+        rows += [(3 * k, wrapped), (3 * k + 1, "Some words.\n\n# " + wrapped.replace("\n", "\n# ") + "\n#\nmore"), (3 * k + 2, "A title\nby no one\n" + wrapped + "\nand the code that follows")]
+    got = {r.doc_id: r.licence for r in licences.licences(frame(spark, rows), model=model).collect()}
+    assert [got[k].family for k in range(len(rows))] == [f for f, _ in notices for _ in range(3)]
+    assert all((got[3 * k].paragraph, got[3 * k + 1].paragraph, got[3 * k + 1].n_paragraphs) == (0, 2, 3) for k in range(len(notices)))
+
+
 def test_media(spark):
     rng = np.random.default_rng(4)
     body = "".join(chr(c) for c in rng.integers(97, 122, 20_000))
