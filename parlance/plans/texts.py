@@ -101,6 +101,7 @@ QUERIES = {
     "token_estimate": lambda s, d: _docs(s, d).select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens")),
     "normal_names": lambda s, d: _docs(s, d).select("doc_id", T.language_code(F.expr("CASE doc_id % 6 WHEN 0 THEN 'Hebrew' WHEN 1 THEN 'RUS' WHEN 2 THEN 'und' WHEN 3 THEN NULL ELSE lang END")).alias("lang"), T.status_name(F.expr("CASE WHEN doc_id % 2 = 0 THEN 'Completed' ELSE 'odd' END")).alias("status"), T.role_name(F.expr("CASE WHEN doc_id % 2 = 0 THEN 'AGENT' ELSE source END")).alias("role")),
     "fts_postings": _postings,
+    "fts_postings_whole": lambda s, d: S.postings(V.search_documents(s, d), COLUMNS),
     "fts_match": lambda s, d: S.matches(V.search_documents(s, d), QUERY, COLUMNS),
     "fts_rank_bm25": lambda s, d: S.bm25(V.search_documents(s, d), QUERY, COLUMNS).withColumn("score", F.round("score", 6)),
     "fts_snippet": lambda s, d: V.search_documents(s, d).select("call_id", S.snippet(F.col("transcript"), "thanti", 4).alias("snippet")).where("snippet IS NOT NULL AND snippet <> ''"),
@@ -173,5 +174,6 @@ SQL = {
 #: The SQL of a query that is cut, without its cut.
 SQL |= {
     "export_ics_whole": SQL["export_ics"].replace(" WHERE id < 200", ""),
+    "fts_postings_whole": SQL["fts_postings"].replace('SELECT "column", term, count(DISTINCT call_id) AS df, count(*)', 'SELECT call_id, "column", term, count(*)').replace("GROUP BY 1, 2 HAVING count(DISTINCT call_id) >= 20", "GROUP BY 1, 2, 3"),
     "degenerate_text_whole": SQL["degenerate_text"].replace("string_split(text, chr(10))[-1]", "text"),
 }

@@ -31,3 +31,10 @@ def test_whole_documents_are_judged(spark):
     flags = {r.doc_id: r.degenerate for r in got(spark, "degenerate_text_whole").itertuples()}
     assert flags == {i: plain_degenerate(t) for i, t in texts.items()}
     assert any(f and not plain_degenerate(texts[i].split("\n")[-1]) for i, f in flags.items())
+
+
+def test_rare_terms_have_postings(spark):
+    p = got(spark, "fts_postings_whole")
+    df = p.groupby(["column", "term"]).call_id.nunique()
+    assert df.min() == 1 and (df < 20).sum() > (df >= 20).sum()
+    assert list(p.columns) == ["call_id", "column", "term", "tf", "first_pos"] and not p.duplicated(["call_id", "column", "term"]).any()
