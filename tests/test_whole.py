@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from parlance.plans import registry
 
 from .conftest import SF
@@ -38,3 +40,19 @@ def test_rare_terms_have_postings(spark):
     df = p.groupby(["column", "term"]).call_id.nunique()
     assert df.min() == 1 and (df < 20).sum() > (df >= 20).sum()
     assert list(p.columns) == ["call_id", "column", "term", "tf", "first_pos"] and not p.duplicated(["call_id", "column", "term"]).any()
+
+
+@pytest.mark.parametrize("name, column", [("normalize_text_whole", "text"), ("html_strings_whole", "html")])
+def test_later_lines_are_read(spark, name, column):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = got(spark, name).set_index("call_id")[column]
+    last = {i: re.findall(r"[A-Za-z]+", t.split("\n")[-1])[-1:] for i, t in texts.items() if "\n" in t}
+    assert sum(map(bool, last.values())) > 100 and all(w in out[i] for i, ws in last.items() for w in ws)
+    assert set(out.index) == set(texts)
+
+
+def test_phrases_follow_whole_texts(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    flags = got(spark, "foreign_script_whole").set_index("doc_id").foreign
+    assert all(flags[i] == (i % 5 == 0 and 4 > 0.02 * (4 + sum(map(str.isalpha, t)))) for i, t in texts.items())
+    assert set(got(spark, "detect_direction_whole").direction) == {"ltr", "rtl"} and set(got(spark, "detect_script_language_whole").call_id) == set(texts)
