@@ -114,11 +114,11 @@ TEMPLATE_GRAMS = {f: [grams(words(t), 3) for t in ts] for f, ts in TEMPLATES.ite
 PAIRS = set().union(*[grams(words(t), 2) for ts in TEMPLATES.values() for t in ts])
 
 
-def evidence(ws: list[bytes], family: str) -> tuple[float, int]:
-    """The largest share of a template's word triples that ``ws`` has, and where the first of them stands."""
-    own = list(zip(ws, ws[1:], ws[2:], strict=False))
-    at = [[i for i, g in enumerate(own) if g in want] for want in TEMPLATE_GRAMS[family]]
-    return max(((len({own[i] for i in k}) / len(g), k[0] if k else 0) for k, g in zip(at, TEMPLATE_GRAMS[family], strict=True)), key=lambda e: (e[0], -e[1]))
+def evidence(ws: list[bytes], family: str, taken: frozenset | set = frozenset()) -> tuple[float, list[int]]:
+    """The largest share of a template's word triples that ``ws`` has at places not ``taken``, and the places."""
+    own = list(enumerate(zip(ws, ws[1:], ws[2:], strict=False)))
+    at = [[i for i, g in own if g in want and i not in taken] for want in TEMPLATE_GRAMS[family]]
+    return max(((len({own[i][1] for i in k}) / len(g), k) for k, g in zip(at, TEMPLATE_GRAMS[family], strict=True)), key=lambda e: e[0])
 
 
 def shared_pairs(ws: list[bytes]) -> int:
@@ -216,6 +216,29 @@ def paragraphs(raw: bytes) -> Iterator[list[tuple[int, list[bytes]]]]:
         yield run
 
 
+def notices(ws: list[bytes], found: list[tuple], least: float) -> list[tuple]:
+    """(similarity, probability, family, first word, window) of each notice in a paragraph, from its (similarity, probability, family, window).
+
+    The best come first; a triple that speaks for one family speaks for no
+    other, and overlapping windows of a family are one notice.
+    """
+    taken: dict = {}
+    kept = []
+    for _, p, family, lo, hi in sorted(found, key=lambda f: (-f[0], -f[1], *f[2:])):
+        others = {i - lo for i in range(lo, hi) if taken.get(i, family) != family}
+        share, at = evidence(ws[lo:hi], family, others)
+        if share >= least:
+            taken |= {lo + i: family for i in at}
+            kept.append((share, p, family, lo + at[0], lo, hi))
+    out: list = []
+    for k in sorted(kept, key=lambda k: (k[2], k[4], k[5])):
+        if out and out[-1][2] == k[2] and k[4] < out[-1][5]:
+            out[-1] = (*max(out[-1], k, key=lambda h: (h[0], h[1], -h[3]))[:4], out[-1][4], max(out[-1][5], k[5]))
+        else:
+            out.append(k)
+    return out
+
+
 def scanned(text: str | None, model: Classifier, scan: Scan = Scan()) -> tuple:
     """(n_paragraphs, n_predicted, n_confirmed, families, family, probability, similarity, paragraph) of a text."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower().translate(_DIGITS, _DROP)
@@ -234,18 +257,16 @@ def scanned(text: str | None, model: Classifier, scan: Scan = Scan()) -> tuple:
         parts = windows(0, len(ws), scan.window)
         if len(lines) > 1:  # a short notice is not thinned out by the lines around it
             parts += [part for lo, hi in zip([0, *ends], ends, strict=False) for part in windows(lo, hi, scan.window)]
-        best: dict = {}
+        found = []
         for lo, hi in dict.fromkeys(parts):
             if near[hi - 1] - near[lo] < scan.shared:
                 continue
             p = model.probabilities(ws[lo:hi])
-            c = int(p.argmax())
-            if c != UNKNOWN and p[c] >= scan.probability:
-                share, first = evidence(ws[lo:hi], FAMILIES[c])
-                found = (share, float(p[c]), FAMILIES[c], lines[bisect(ends, lo + first)][0])
-                best[found[2]] = max(best.get(found[2], found), found, key=lambda h: (h[0], h[1], -h[3]))
-        predicted += bool(best)
-        hits += [h for h in best.values() if h[0] >= scan.similarity]
+            for c in np.flatnonzero(p[:UNKNOWN] >= scan.probability * (p[:UNKNOWN] + p[UNKNOWN])):
+                found.append((evidence(ws[lo:hi], FAMILIES[c])[0], float(p[c]), FAMILIES[c], lo, hi))
+        predicted += bool(found)
+        for share, p, family, first, _, _ in notices(ws, [f for f in found if f[0] >= scan.similarity], scan.similarity):
+            hits.append((share, p, family, lines[bisect(ends, first)][0]))
     top = max(hits, key=lambda h: (h[0], h[1], -h[3]), default=(None, None, None, None))
     families = ",".join(sorted({h[2] for h in hits})) or None
     return count, predicted, len(hits), families, top[2], None if top[1] is None else round(top[1], 3), None if top[0] is None else round(top[0], 6), top[3]
@@ -265,13 +286,14 @@ def licences(docs: DataFrame, scan: Scan = Scan(), model: Classifier | None = No
     """``docs`` with a struct column ``licence`` (the fields of FOUND).
 
     Every paragraph (lines up to one without words) of every whole text is
-    classified, long ones in overlapping windows, and each of its lines too; a
-    predicted family stands only if the window has ``similarity`` of the word
-    triples of one of its templates; ``paragraph`` is the number of the line in
-    which the first of them stands. The unknown
-    class is one of the model's, and a probability under ``probability`` (at a
-    temperature fitted to held-out rows) is unknown too. A null or empty text
-    has no paragraphs. The first of equally good paragraphs counts. Other
+    classified, long ones in overlapping windows, and each of its lines too. The
+    unknown class is one of the model's; every family is predicted that has
+    ``probability`` (at a temperature fitted to held-out rows) against it alone.
+    It stands only if the window has ``similarity`` of the word triples of one
+    of its templates, without those of a better family. All notices count,
+    overlapping windows of a family as one; the other fields are of the first of
+    the best, ``paragraph`` is the number of the line in which it begins. A null
+    or empty text has no paragraphs. Other
     columns pass through; the new one gets a number if there is one of its name.
     """
     (found,) = fresh(docs.columns, found)

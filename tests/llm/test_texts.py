@@ -95,6 +95,22 @@ def test_wrapped_licences(spark):
     assert all((got[3 * k].paragraph, got[3 * k + 1].paragraph, got[3 * k + 1].n_paragraphs) == (0, 2, 3) for k in range(len(notices)))
 
 
+def test_several_licences(spark):
+    model = licences.fitted(frame(spark, [(i, " ".join(f"plain{(i * k) % 91}" for k in range(40))) for i in range(1, 60)]))
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    texts = {
+        "GPL,MIT": [f"{mit} {LONG} {gpl}", f"{gpl} {LONG} {mit}", f"{mit} {gpl}", f"{mit}\n{gpl}"],
+        "Apache,MIT": ["Licensed under the MIT license or the Apache License, Version 2.0, as you like."],
+        "CC-BY-NC": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+        "LGPL": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+        "MIT": [f"{mit} {LONG} {mit}"],
+    }
+    rows = [(k, text, want) for k, (want, text) in enumerate((w, t) for w, ts in texts.items() for t in ts)]
+    got = {r.doc_id: r.licence for r in licences.licences(frame(spark, [r[:2] for r in rows]), model=model).collect()}
+    assert [got[k].families for k, _, _ in rows] == [want for _, _, want in rows]
+    assert [got[k].n_confirmed for k, _, _ in rows] == [2, 2, 2, 2, 2, 1, 1, 2]
+
+
 def test_media(spark):
     rng = np.random.default_rng(4)
     body = "".join(chr(c) for c in rng.integers(97, 122, 20_000))
