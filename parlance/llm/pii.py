@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from .common import feistel, fresh, permuted
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: A digit with what may stand before it in a phone number: one separator, or a bracket with one.
+_NEXT = r"(?:[ ./\u00a0\u202f-]|[ -]?\(|\)[ -]?\(?)?[0-9]"
+#: Where all numbers of a country are of one length, what follows them is none of theirs.
+_CLOSED = rf"(?:1|7|91)(?:{_NEXT}){{10}}|(?:33|34|41|48|351|420)(?:{_NEXT}){{9}}|(?:45|47)(?:{_NEXT}){{8}}"
+#: The country codes of E.164: those of one and two digits, and three digits for all others.
+COUNTRY = "[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
 #: The forms looked for, in the order in which they are tried at a place. All repeats are bounded or start at a run's start.
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32})(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ -]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9])",
+    "phone": rf"(?<![0-9+])\+(?:{_CLOSED})(?![0-9])|(?<![0-9+])\+[0-9](?:{_NEXT}){{6,14}}(?![0-9])",
     "iso_date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "dot_date": r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])",
     "slash_date": r"(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
@@ -82,10 +88,11 @@ def address(m: Column, key: str) -> Column:
 
 
 def phone(m: Column, key: str) -> Column:
-    """The country code stays; the digits behind it are permuted, whatever stands between them."""
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ (-])|^\+[0-9]", 0)
-    rest = m.substr(F.length(code) + 1, F.length(m))
-    return F.concat(code, F.transform(F.array(permuted_digits(digits_of(rest), f"{key}:phone")), lambda x: refilled(rest, x))[0])
+    """The country code (and a zero in brackets behind it) stays; the digits behind it are permuted, whatever stands between them."""
+    code = lambda d: F.when(m.contains("(0)"), F.regexp_extract(d, f"^(?:{COUNTRY})0?", 0)).otherwise(F.regexp_extract(d, f"^(?:{COUNTRY})", 0))
+    new = lambda d, c: F.concat(c, permuted_digits(d.substr(F.length(c) + 1, F.length(d)), f"{key}:phone"))
+    parts = F.transform(F.array(digits_of(m)), lambda d: F.struct(d.alias("d"), code(d).alias("c")))
+    return F.transform(F.transform(parts, lambda x: new(x["d"], x["c"])), lambda x: refilled(m, x))[0]
 
 
 def day(m: Column, form: str) -> Column:
@@ -138,7 +145,7 @@ def _only(kind: str):
 def pseudonymised(docs: DataFrame, key: str = "pii-1", text_col: str = "text", counts: str = "private") -> DataFrame:
     """``docs`` with pseudonyms in the text, and a struct column of counts by kind.
 
-    A card number must have a right Luhn sum, a date must exist (1900 to 2099),
+    A phone number is a plus and 7 to 15 digits in any grouping. A card number must have a right Luhn sum, a date must exist (1900 to 2099),
     an address must have four octets, a social security number a possible
     area; others stay as they are. Each is permuted among all values of its
     format with a Feistel network under ``key``, so that equal values, however

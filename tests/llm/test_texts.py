@@ -63,6 +63,27 @@ def test_pseudonyms(spark):
     assert pii.pseudonymised(frame(spark, [])).count() == 0
 
 
+def test_phones_of_any_grouping(spark):
+    same = {
+        "33": ["+33 1 23 45 67 89", "+33123456789", "+33.1.23.45.67.89", "+33 (0)1 23 45 67 89", "+33\u00a01\u00a023\u00a045\u00a067\u00a089"],
+        "49": ["+49 170 1234567", "+491701234567", "+49-170-1234567", "+49 (0) 170/1234567", "+49 (170) 123 45 67"],
+        "1": ["+1 (389) 555-5010", "+13895555010", "+1-389-555-5010"],
+        "972": ["+972 50 123 4567", "+972501234567"],
+        "290": ["+290 2345", "+2902345"],
+    }
+    texts = [(c, x) for c, xs in same.items() for x in xs]
+    rows = [(k, f"call {x}, or not") for k, (_, x) in enumerate(texts)]
+    rows += [(100, "call +33 1 23 45 67 89 12 times"), (101, "not +123456 nor +1234567890123456")]
+    got = {r.doc_id: r for r in pii.pseudonymised(frame(spark, rows)).collect()}
+    new = {}
+    for k, (c, x) in enumerate(texts):
+        form = got[k].text.removeprefix("call ").removesuffix(", or not")
+        assert got[k].private.phone == 1 and re.sub("[0-9]", "0", form) == re.sub("[0-9]", "0", x) and form != x
+        new.setdefault(c, set()).add(re.sub(r"\D", "", form.replace("(0)", "")))
+    assert all(len(v) == 1 and min(v).startswith(c) for c, v in new.items())
+    assert got[100].text.endswith(" 12 times") and got[100].text[5:22] == got[0].text[5:22] and got[101].text == rows[-1][1]
+
+
 def test_pseudonyms_are_one_to_one(spark):
     df = spark.range(2000).select(F.lpad((F.col("id") * 7 % 10000).cast("string"), 4, "0").alias("d")).distinct()
     got = df.select(pii.permuted_digits(F.col("d"), "k").alias("p"))
