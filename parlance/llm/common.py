@@ -2,15 +2,18 @@
 
 Scratch tables live in the folder that ``spark.checkpoint.dir`` names, which a
 cluster shares between the driver and all executors; a lost executor therefore
-never takes a table with it.
+never takes a table with it. Tables that only a step needs are removed after
+it; the rest go when the driver's JVM ends.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,25 +26,74 @@ WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Each application's scratch folder.
+_ROOTS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared scratch folder.
+
+    Where none is set, local mode (tests) gets a temporary folder; on a cluster
+    that is an error, since every executor would write to a disk of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="parlance-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a scratch table or folder."""
-    return f"{shared_dir(spark)}/parlance-{uuid.uuid4().hex}/{name}"
+    """A new path for a scratch table or folder; the application's scratch goes when its JVM ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        _ROOTS[app] = f"{shared_dir(spark)}/parlance-{uuid.uuid4().hex}"
+        place, files = _folder(spark, _ROOTS[app])
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+    return f"{_ROOTS[app]}/{uuid.uuid4().hex}-{name}"
+
+
+#: With it, a query's shuffle files go at its end and don't wait for the driver's garbage collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def saving(spark: SparkSession) -> Iterator[None]:
+    """Around a write whose shuffles nothing reads again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a written table: cuts the lineage and lets several readers share it."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with saving(spark):
+        df.write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        place, files = _folder(df.sparkSession, df.scratch_path)
+        files.delete(place, True)
 
 
 def bounded_sample(df: DataFrame, rows: int, *by: Column) -> DataFrame:
@@ -128,24 +180,30 @@ def _round(key: str, r: Column, half: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def feistel(x: Column, a: int | Column, b: int | Column, key: str, rounds: int = 8, inverse: bool = False) -> Column:
-    """A keyed permutation of 0 to a * b - 1 as one expression.
+def feistel_pair(left: Column, right: Column, a: int | Column, b: int | Column, key: str, rounds: int = 8, inverse: bool = False) -> Column:
+    """A keyed permutation of all pairs (l below a, r below b), as a struct (l, r).
 
-    ``x`` is split into l (below a) and r (below b); even rounds add F(r) to l,
-    odd rounds add F(l) to r. ``aggregate`` keeps the expression linear in the
-    number of rounds.
+    Even rounds add F(r) to l, odd rounds add F(l) to r. ``aggregate`` keeps the
+    expression linear in the number of rounds.
     """
     a, b = (F.lit(v).cast("bigint") if isinstance(v, int) else v for v in (a, b))
     sign = -1 if inverse else 1
     steps = F.array(*[F.lit(i) for i in (reversed(range(rounds)) if inverse else range(rounds))])
-    start = F.struct(F.call_function("div", x, b).alias("l"), F.pmod(x, b).cast("bigint").alias("r"))
+    start = F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r"))
 
     def step(acc: Column, i: Column) -> Column:
         even = F.struct(F.pmod(acc["l"] + sign * (_round(key, i, acc["r"]) % a), a).cast("bigint").alias("l"), acc["r"].alias("r"))
         odd = F.struct(acc["l"].alias("l"), F.pmod(acc["r"] + sign * (_round(key, i, acc["l"]) % b), b).cast("bigint").alias("r"))
         return F.when(i % 2 == 0, even).otherwise(odd)
 
-    return F.aggregate(steps, start, step, lambda acc: acc["l"] * b + acc["r"])
+    return F.aggregate(steps, start, step)
+
+
+def feistel(x: Column, a: int | Column, b: int | Column, key: str, rounds: int = 8, inverse: bool = False) -> Column:
+    """A keyed permutation of 0 to a * b - 1 as one expression: of the pairs that x makes."""
+    a, b = (F.lit(v).cast("bigint") if isinstance(v, int) else v for v in (a, b))
+    pair = feistel_pair(F.call_function("div", x.cast("bigint"), b), F.pmod(x, b), a, b, key, rounds, inverse)
+    return F.transform(F.array(pair), lambda p: p["l"] * b + p["r"])[0]
 
 
 #: Steps of a cycle walk that an expression may take. Every step leaves the range with a chance under 1/sqrt(n).
