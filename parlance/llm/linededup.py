@@ -53,14 +53,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no line shared, but loses the lines that others share. Other columns,
     whatever their names, pass through; an empty table gives an empty table.
     """
-    n_lines, n_dropped, th, drop, doc, lines = fresh(docs.columns, n_lines, n_dropped, "th", "drop", "doc", "lines")
-    found = shared_lines(docs, id_col, text_col, min_chars, min_docs).select(F.col("doc").alias(doc), F.col("th").alias(f"{th}_"), F.col("drop").alias(drop))
+    n_lines, n_dropped, th, of, drop, doc, lines = fresh(docs.columns, n_lines, n_dropped, "th", "of", "drop", "doc", "lines")
+    found = shared_lines(docs, id_col, text_col, min_chars, min_docs).select(F.col("doc").alias(doc), F.col("th").alias(of), F.col("drop").alias(drop))
     all_lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     # the runs of kept lines between one dropped position and the next
     edges = F.concat(F.array(F.lit(-1)), F.col(drop), F.array(F.size(lines)))
     runs = F.transform(F.arrays_zip(F.slice(edges, 1, F.size(drop) + 1).alias("a"), F.slice(edges, 2, F.size(drop) + 1).alias("b")), lambda e: F.slice(F.col(lines), e["a"] + 2, e["b"] - e["a"] - 1))
     kept = F.when(F.col(drop).isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.flatten(runs), "\n"))
-    joined = docs.withColumn(th, F.xxhash64(F.col(text_col))).join(found, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(th) == F.col(f"{th}_")), "left")
+    joined = docs.withColumn(th, F.xxhash64(F.col(text_col))).join(found, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(th) == F.col(of)), "left")
     return joined.withColumn(lines, all_lines).select(
         *[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
         F.size(lines).cast("bigint").alias(n_lines),

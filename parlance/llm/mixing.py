@@ -61,7 +61,9 @@ def budgets(leaves: DataFrame, mix: Mix = MIX, levels: tuple[str, ...] = LEVELS)
     goes to its siblings, and only what all of them together can't use is
     missing at the parent, whose own siblings then get it. Lambda comes from
     running sums over the children in order of capacity / weight. A weight of
-    zero gives nothing. Leaves are few (the tree's size, not the corpus's);
+    zero gives nothing. The unit is the word, not a tokenizer's token: native
+    code can't tokenize, and a word count stands in proportion to it within a
+    language. Leaves are few (the tree's size, not the corpus's);
     every sum is a window over one parent's children.
     """
     capacity = F.col("words") * F.lit(mix.max_epochs)
@@ -121,15 +123,20 @@ def chosen(docs: DataFrame, mix: Mix = MIX, domain: Column | None = None, id_col
 
 
 def mixed(docs: DataFrame, mix: Mix = MIX, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``docs`` itself with every row as often as the mix takes it; the columns are those of ``docs``."""
-    key, th, d, lang, src, copies, epoch = fresh(docs.columns, "key", "th", "d", "l", "s", "copies", "epoch")
+    """``docs`` itself with every row as often as the mix takes it; the columns are those of ``docs``.
+
+    Rows are told apart by id, text and leaf, as in ``chosen``, which says what
+    nulls, repeated rows, texts without words and an empty table give.
+    """
+    names = fresh(docs.columns, "key", "th", "d", "l", "s", "copies", "epoch")
+    key, th, d, lang, src, copies, epoch = names
     take = chosen(docs, mix, domain, id_col, text_col, lang_col, source_col).where("copies > 0")
-    take = take.select(*[F.col(x).alias(f"{y}__") for x, y in zip(("id", "th", *LEVELS, "copies"), (key, th, d, lang, src, copies), strict=True)])
+    take = take.select(*[F.col(x).alias(y) for x, y in zip(("id", "th", *LEVELS, "copies"), names, strict=False)])
     domain = domain_of(F.col(source_col)) if domain is None else domain
-    on = F.col(id_col).eqNullSafe(F.col(f"{key}__")) & (F.xxhash64(F.col(text_col)) == F.col(f"{th}__"))
+    on = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text_col)) == F.col(th))
     for mine, other in ((domain, d), (F.col(lang_col), lang), (F.col(source_col), src)):
-        on = on & mine.cast("string").eqNullSafe(F.col(f"{other}__"))
-    return docs.join(take, on).withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(f"{copies}__")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+        on = on & mine.cast("string").eqNullSafe(F.col(other))
+    return docs.join(take, on).withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
