@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
+from array import array
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,10 +23,16 @@ from .common import fresh
 SPACE = "▁"
 #: Distinct chunks whose best segmentations a Python worker keeps.
 CHUNKS_KEPT = 700_000
-#: Longer chunks are searched one by one.
+#: Characters of chunks that a worker keeps.
+CHARS_KEPT = 16_000_000
+#: Longer chunks are solved one by one instead of many at once, by the same rules.
 LONGEST_CHUNK = 40
-#: What a character costs that no piece has; it becomes its UTF-8 bytes' pieces.
-BYTES_SCORE = -1e6
+#: What stands for a ``SPACE`` that the text itself has. It can't be in a column's text, and bytes spell it.
+OWN_MARK = "\udc81"
+#: The shift of Zipf's law, 1 / (rank + shift).
+SHIFT = 2.7
+#: Scores are multiples of this, so that their sums are exact in any order.
+GRAIN = 2.0**-20
 
 
 def default_model() -> str:
@@ -40,10 +49,19 @@ class Pieces:
     """The vocabulary of a model file, its lattice search and its decoding.
 
     A text gets a space in front, spaces become ``SPACE``, and nothing else is
-    changed, so that decoding gives the text back. No piece goes on from a
-    non-space to a space, so the lattice falls into chunks (one for each word
-    with the spaces before it, one for each character that only bytes can
-    spell); the lattice's N best paths are the N best sums of chunk paths.
+    changed, so that decoding gives the text back; a ``SPACE`` of the text's
+    own is spelled in bytes. No piece goes on from a non-space to a space, so
+    the lattice falls into chunks (one for each word with the spaces before it,
+    one for each character that only bytes can spell); the lattice's N best
+    paths are the N best sums of chunk paths.
+
+    Scores are log-probabilities of single pieces. A unigram model's file has
+    them. A BPE model's file has minus the merge's rank instead, of which sums
+    mean nothing; a piece of rank r then has Zipf's probability, in proportion
+    to 1 / (r + SHIFT), since merges are ranked by how often they occur. Pieces
+    without a rank (bytes, runs of spaces) come after the last one. Nothing is
+    trained, and ids are the file's own; the best path is the most probable
+    segmentation, which isn't always the one that merging would give.
     """
 
     def __init__(self, model: str) -> None:
@@ -51,13 +69,25 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.piece, self.text, self.byte = {}, {}, {}
+        raw: dict[int, float] = {}
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte[int(piece[1:-1], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                # scores of -1e9 only mark runs of spaces as user-made; they rank last but before bytes
-                self.piece[piece], self.text[i] = (max(float(sp.get_score(i)), BYTES_SCORE / 2), (i,)), piece
+                self.text[i], raw[i] = piece, float(sp.get_score(i))
+        ranked = [s for s in raw.values() if s > -1e8]
+        if all(s.is_integer() and s <= 0 for s in ranked):
+            last = max(-s for s in ranked) + 1
+            place = {i: min(-s, last) + SHIFT for i, s in raw.items()}
+            total = math.log(sum(1 / r for r in place.values()) + len(self.byte) / (last + SHIFT))
+            scores, least = {i: -math.log(r) - total for i, r in place.items()}, -math.log(last + SHIFT) - total
+        else:
+            scores, least = {i: max(s, min(ranked)) for i, s in raw.items()}, min(ranked)
+        grain = lambda s: round(s / GRAIN) * GRAIN
+        #: What a byte scores where no piece has a character.
+        self.byte_score = grain(least)
+        self.piece = {piece: (grain(scores[i]), i) for i, piece in self.text.items()}
         self.spelling = {i: t.replace(SPACE, " ").encode() for i, t in self.text.items()} | {i: bytes([b]) for b, i in self.byte.items()}
         self.longest = max(map(len, self.piece))
         self.single = frozenset(p for p in self.piece if len(p) == 1)
@@ -76,7 +106,7 @@ class Pieces:
         self.cls[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         go: dict[tuple[int, int], int] = {}
         score, ids = [np.nan], [-1]
-        for p, (s, (i,)) in self.piece.items():
+        for p, (s, i) in self.piece.items():
             at = 0
             for c in p:
                 k = (at, int(self.cls[ord(c)]))
@@ -111,7 +141,7 @@ class Pieces:
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.n_flat = 0
+        self.n_flat = self.n_chars = 0
         self.best_score, self.gap, self.start, self.size = (np.empty(1024, k) for k in (np.float64, np.float64, np.int64, np.int32))
         self.flat = np.empty(4096, np.int32)
         self.more: dict[tuple[str, int], list] = {}
@@ -125,42 +155,106 @@ class Pieces:
                 setattr(self, name, b)
 
     def bytes_of(self, c: str) -> tuple[int, ...]:
-        return tuple(self.byte[b] for b in c.encode("utf-8", "surrogatepass"))
+        return tuple(self.byte[b] for b in (SPACE if c == OWN_MARK else c).encode("utf-8", "surrogatepass"))
 
-    def paths(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of a chunk, best first; ties by the ids.
-
-        Forward, Viterbi gives each place the best score from the start. These
-        scores are what is left to go for a search from the end backwards, and
-        an exact heuristic for it: the A* search takes paths off its heap in
-        order of their full score, and each one taken at the start is the next
-        best. Nothing is cut off the heap.
-        """
+    def lattice(self, chunk: str) -> tuple[array, array, array, array]:
+        """The edges (begin, score, id; -1 for a character in bytes) in order of their ends, and where each end's first one is."""
         get, longest = self.piece.get, self.longest
-        ahead, edges = [0.0], [[]]
+        begin, score, ident, first = array("q"), array("d"), array("q"), array("q", [0])
         for j in range(1, len(chunk) + 1):
-            at = []
             for i in range(max(0, j - longest), j):
                 found = get(chunk[i:j])
                 if found is not None:
-                    at.append((i, found[0], found[1]))
+                    begin.append(i)
+                    score.append(found[0])
+                    ident.append(found[1])
             c = chunk[j - 1]
-            if c not in self.piece:
-                at.append((j - 1, BYTES_SCORE * len(c.encode("utf-8", "surrogatepass")), self.bytes_of(c)))
-            edges.append(at)
-            ahead.append(max(ahead[i] + s for i, s, _ in at))
-        out: list[tuple[float, tuple[int, ...]]] = []
-        heap = [(-ahead[-1], (), 0.0, len(chunk))]
-        while heap and len(out) < n:
-            full, ids, done, j = heapq.heappop(heap)
-            if j == 0:
-                out.append((-full, ids))
-                continue
-            for i, s, new in edges[j]:
-                heapq.heappush(heap, (-(done + s + ahead[i]), new + ids, done + s, i))
+            if c not in self.single:
+                begin.append(j - 1)
+                score.append(self.byte_score * len(self.bytes_of(c)))
+                ident.append(-1)
+            first.append(len(begin))
+        return begin, score, ident, first
+
+    def paths(self, chunk: str, n: int) -> list[tuple[float, np.ndarray]]:
+        """The n best (score, ids) of a chunk, best first; among equals, those found first.
+
+        Forward, Viterbi gives each place the best score from the start, and the
+        edge that it came by (the longest among equals). These scores are an
+        exact heuristic for a search from the end backwards: what an entry has
+        done and what is ahead of it add up to the score of a whole path. So
+        going back along best edges never changes an entry's score, and such
+        steps are walked instead of queued; each other edge into the walk is an
+        entry of its own, for the paths that leave the walk there. An entry
+        that n - found better ones stand before is never taken, so no more are
+        queued. Memory is the lattice and n paths, whatever the length.
+        """
+        begin, score, ident, first = self.lattice(chunk)
+        ahead, back = array("d", [0.0]), array("q", [-1])
+        for j in range(1, len(chunk) + 1):
+            top, by = -math.inf, -1
+            for e in range(first[j - 1], first[j]):
+                total = ahead[begin[e]] + score[e]
+                if total > top:
+                    top, by = total, e
+            ahead.append(top)
+            back.append(by)
+
+        def walk(j: int) -> array:
+            out = array("q")
+            while j:
+                out.append(back[j])
+                j = begin[back[j]]
+            out.reverse()
+            return out
+
+        def ids(path: array) -> np.ndarray:
+            at, out = 0, array("i")
+            for e in path:
+                if ident[e] < 0:
+                    out.extend(self.bytes_of(chunk[at]))
+                    at += 1
+                else:
+                    out.append(ident[e])
+                    at += len(self.text[ident[e]])
+            return np.frombuffer(out, np.int32)
+
+        # (minus the score, order of finding, path it leaves, place in that path, edge)
+        queue: list[tuple[float, int, int, int, int]] = [(-ahead[-1], 0, -1, -1, -1)]
+        paths: list[array] = []
+        out: list[tuple[float, np.ndarray]] = []
+        order = 0
+        while queue and len(out) < n:
+            full, _, parent, place, edge = queue.pop(0)
+            if parent < 0:
+                path = walk(len(chunk))
+                free = len(path)
+            else:
+                path = walk(begin[edge])
+                free = len(path)
+                path.append(edge)
+                path.extend(paths[parent][place + 1 :])
+            paths.append(path)
+            out.append((-full, ids(path)))
+            wanted = n - len(out)
+            if not wanted:
+                break
+            done = sum(score[e] for e in path[free:])
+            j = begin[path[free]] if free < len(path) else len(chunk)
+            for k in range(free - 1, -1, -1):
+                own = path[k]
+                for e in range(first[j - 1], first[j]):
+                    if e != own:
+                        f = -(done + score[e] + ahead[begin[e]])
+                        if len(queue) < wanted or f < queue[-1][0]:
+                            order += 1
+                            insort(queue, (f, order, len(paths) - 1, k, e))
+                            del queue[wanted:]
+                done += score[own]
+                j = begin[own]
         return out
 
-    def _solve(self, chunks: list[str]) -> None:
+    def _solve(self, chunks: list[str], n: int) -> None:
         """The forward pass for many chunks at once: best score and path, and what the second-best path costs more.
 
         The cost comes from the backward pass: the best path through an edge
@@ -169,16 +263,18 @@ class Pieces:
         """
         easy = []
         for c in chunks:
+            self.n_chars += len(c)
             if len(c) <= LONGEST_CHUNK and self.single.issuperset(c):
                 easy.append(c)
             else:
-                found = self.paths(c, 2)
+                found = self.more[(c, n)] = self.paths(c, max(n, 2))
                 self._room(1, len(found[0][1]))
                 k = len(self.at)
                 self.at[c], self.best_score[k], self.start[k], self.size[k] = k, found[0][0], self.n_flat, len(found[0][1])
                 self.gap[k] = found[0][0] - found[1][0] if len(found) > 1 else np.inf
                 self.flat[self.n_flat : self.n_flat + len(found[0][1])] = found[0][1]
                 self.n_flat += len(found[0][1])
+                del found[max(n, 1) :]
         easy.sort(key=len)
         for b in range(0, len(easy), 16_384):
             self._solve_block(easy[b : b + 16_384])
@@ -242,34 +338,30 @@ class Pieces:
         self.n_flat += total
         self.at.update(zip(words, range(k, k + n), strict=True))
 
-    def learn(self, chunks: list[str]) -> np.ndarray:
+    def learn(self, chunks: list[str], n: int = 1) -> np.ndarray:
         """The places of ``chunks`` in the tables, after the unknown ones have been solved."""
-        if len(self.at) > CHUNKS_KEPT or self.n_flat > 16 * CHUNKS_KEPT or len(self.more) > CHUNKS_KEPT // 4:
+        if len(self.at) > CHUNKS_KEPT or self.n_chars > CHARS_KEPT or len(self.more) > CHUNKS_KEPT // 4:
             self._forget()
         known = self.at.get
         k = [known(c, -1) for c in chunks]
         out = np.array(k, np.int64)
         new = np.flatnonzero(out < 0)
         if len(new):
-            self._solve(list({chunks[i] for i in new}))
+            self._solve(list({chunks[i]: None for i in new}), n)
             out[new] = [self.at[chunks[i]] for i in new]
         return out
 
     def kept(self, chunk: str, n: int) -> list:
-        """The n best paths of a chunk; path 0 is the one that the forward pass chose among equals."""
+        """The n best paths of a chunk."""
         found = self.more.get((chunk, n))
         if found is None:
-            k = self.at[chunk]
-            first = tuple(self.flat[self.start[k] : self.start[k] + self.size[k]].tolist())
-            # equals of path n may come in any order from the heap: by the ids
-            found = [x for x in self.paths(chunk, n + 1) if x[1] != first]
-            found = self.more[(chunk, n)] = [(float(self.best_score[k]), first), *found[: n - 1]]
+            found = self.more[(chunk, n)] = self.paths(chunk, n)
         return found
 
     def chunks(self, text: str) -> list[str]:
         if not text:
             return []
-        marked = SPACE + text.replace(" ", SPACE)
+        marked = SPACE + text.replace(SPACE, OWN_MARK).replace(" ", SPACE)
         if not self.apart:
             return [marked]
         return self.chunk.findall(marked)
@@ -316,7 +408,7 @@ class Pieces:
     def many(self, texts: list[str], n: int) -> list[list[tuple[float, np.ndarray]]]:
         """``best`` for each of ``texts``."""
         parts = [self.chunks(t) for t in texts]
-        k = self.learn([c for p in parts for c in p])
+        k = self.learn([c for p in parts for c in p], n)
         ids, ends = self.first(k)
         out, c, at = [], 0, 0
         for p in parts:
@@ -326,16 +418,15 @@ class Pieces:
         return out
 
     @staticmethod
-    def _swapped(ids: np.ndarray, ends: np.ndarray, sizes: np.ndarray, swap: dict[int, tuple[int, ...]]) -> np.ndarray:
+    def _swapped(ids: np.ndarray, ends: np.ndarray, sizes: np.ndarray, swap: dict[int, np.ndarray]) -> np.ndarray:
         out, at = [], 0
         for c in sorted(swap):
-            out += [ids[at : ends[c] - sizes[c]], np.array(swap[c], np.int32)]
+            out += [ids[at : ends[c] - sizes[c]], swap[c]]
             at = ends[c]
         return np.concatenate([*out, ids[at:]])
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation: the pieces' bytes in a row, without the space in front."""
-        # a mark that the text itself had is spelled like a space and comes back as one
         return b"".join(map(self.spelling.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
@@ -348,16 +439,23 @@ def pieces(model: str) -> Pieces:
 BLOCK = 1_000_000
 
 
-def _encoded(model: str, n: int, at: int, names: list[str]):
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0] + [len(x) for x in rows])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32)))
+
+
+def _encoded(model: str, n: int, at: int, names: list[str], others: bool):
     def block(p: Pieces, texts: list[str]) -> list:
         found = p.many(texts, n)
         rows = []
         for text, paths in zip(texts, found, strict=True):
             first = paths[0][1]
-            rows.append((len(first), [round(s, 6) for s, _ in paths], [len(x) for _, x in paths], [hashlib.sha256(x.tobytes()).hexdigest() for _, x in paths], p.decode(first.tolist()) == text.replace(SPACE, " ")))
-        offsets = np.cumsum([0] + [r[0] for r in rows])
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([x[0][1] for x in found])))
-        return [ids, *zip(*rows, strict=True)]
+            rows.append((len(first), [round(s, 6) for s, _ in paths], [len(x) for _, x in paths], [hashlib.sha256(x.tobytes()).hexdigest() for _, x in paths], p.decode(first.tolist()) == text))
+        more = []
+        if others:
+            ends = np.cumsum([0] + [len(x) - 1 for x in found])
+            more = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _lists([ids for x in found for _, ids in x[1:]]))]
+        return [_lists([x[0][1] for x in found]), *zip(*rows, strict=True)], more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
@@ -371,34 +469,63 @@ def _encoded(model: str, n: int, at: int, names: list[str]):
                     size += len(texts[-1])
                 part = batch.slice(start, len(texts))
                 start += len(texts)
-                ids, *cols = block(p, texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, ids, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names)
+                (ids, *cols), more = block(p, texts)
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], *more], names)
 
     return run
 
 
-ADDED = ("ids", "n_pieces", "scores", "path_pieces", "path_sha256", "round_trip")
+ADDED = ("ids", "n_pieces", "scores", "path_pieces", "path_sha256", "round_trip", "others")
 
 
-def encoded(docs: DataFrame, model: str | None = None, n: int = 4, text_col: str = "text") -> DataFrame:
-    """``docs`` with the best segmentation and the scores, sizes and digests of the n best.
+def encoded(docs: DataFrame, model: str | None = None, n: int = 4, text_col: str = "text", others: bool = True) -> DataFrame:
+    """``docs`` with the ids, scores, sizes and digests of the n best segmentations.
 
-    ``ids`` are the best path's piece ids, ``scores`` the n best scores in
-    falling order (fewer where the lattice has fewer paths), ``path_pieces``
-    and ``path_sha256`` (of the ids as little-endian int32) belong to them, and
-    ``round_trip`` says that decoding gave the text back. The mark U+2581 is
-    the model's spelling of a space: a text that holds it decodes with a space
-    there. A null text is the empty text: no pieces, one path of score 0. Added
-    columns whose names ``docs`` has get a number behind them.
+    ``ids`` are the best path's piece ids and ``others`` those of the further
+    paths (left out if ``others`` is false). ``scores`` are the n best scores in
+    falling order (fewer where the lattice has fewer paths), ``path_pieces`` and
+    ``path_sha256`` (of the ids as little-endian int32) belong to them, and
+    ``round_trip`` says that decoding the best path gave the text itself back.
+
+    A null text is the empty text: no pieces, one path of score 0. Paths of
+    equal score come in the order that ``Pieces.paths`` finds them in, the same
+    for equal texts. Repeated rows are encoded each; very long texts, and words
+    of any length, take memory in proportion to their length; an empty table
+    gives an empty one. Other columns pass through, and added columns whose
+    names ``docs`` has get a number behind them.
     """
     model = model or default_model()
-    new = fresh(docs.columns, *ADDED)
-    kinds = [T.ArrayType(T.IntegerType()), T.LongType(), T.ArrayType(T.DoubleType()), T.ArrayType(T.LongType()), T.ArrayType(T.StringType()), T.BooleanType()]
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, k) for c, k in zip(new, kinds, strict=True)]])
-    return docs.mapInArrow(_encoded(model, n, docs.columns.index(text_col), schema.names), schema)
+    added = ADDED if others else ADDED[:-1]
+    new = fresh(docs.columns, *added)
+    ids = T.ArrayType(T.IntegerType())
+    kinds = [ids, T.LongType(), T.ArrayType(T.DoubleType()), T.ArrayType(T.LongType()), T.ArrayType(T.StringType()), T.BooleanType(), T.ArrayType(ids)]
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, k) for c, k in zip(new, kinds[: len(added)], strict=True)]])
+    return docs.mapInArrow(_encoded(model, n, docs.columns.index(text_col), schema.names, others), schema)
+
+
+def _decoded(model: str, at: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pieces(model)
+        for batch in batches:
+            texts = [None if x is None else p.decode(x) for x in (v.as_py() for v in batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
+
+    return run
+
+
+def decoded(rows: DataFrame, model: str | None = None, ids_col: str = "ids", text: str = "decoded") -> DataFrame:
+    """``rows`` with the text that ``ids_col`` spells; null ids give null, no ids the empty text.
+
+    Any segmentation of a text gives that text. An empty table gives an empty
+    one, repeated rows are decoded each, and the new column gets a number if
+    there is one of its name.
+    """
+    (text,) = fresh(rows.columns, text)
+    schema = T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())])
+    return rows.mapInArrow(_decoded(model or default_model(), rows.columns.index(ids_col), schema.names), schema)
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """``encoded`` with the four best paths over all documents."""
+    """The digests of ``encoded`` with the four best paths over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encoded(docs).drop("text")
+    return encoded(docs, others=False).drop("text")
