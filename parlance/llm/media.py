@@ -15,7 +15,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_BITS, bit_table, filter_bits, scratch, written
+from .common import MOST_BITS, bit_table, filter_bits, removed, saving, scratch, written
 from .minhash import mix
 
 #: Payloads are filled up with zero bytes to a multiple of this many units.
@@ -29,13 +29,20 @@ class Cuts:
     The filter tells which chunks may be held twice. It is sent to every task,
     so its size is bounded: 16 bits for each such chunk, 2 ** 20 at least,
     ``most_bits`` at most (128 MB). A fuller filter only sends more chunks
-    through the shared store; it never changes a result.
+    through the shared store; it never changes a payload.
+
+    A chunk that more than ``hot`` documents may refer to is joined in parts of
+    that size. Of ``references`` references in all, at most references / ``hot``
+    chunks are hot, and their list is sent to all tasks only up to ``most_hot``
+    of them; more are joined without parts.
     """
 
     least: int = 512
     mean: int = 2048
     most: int = 8192
     most_bits: int = MOST_BITS
+    hot: int = 100_000
+    most_hot: int = 250_000
 
 
 _GEAR = (mix(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -130,7 +137,8 @@ def _stored(cuts: Cuts, filled: Broadcast, bits: int):
                             sent.add(d)
                             for column, x in zip((kind, cid, doc, listing, shared, packed), (1, None, None, d, None, press.compress(chunks[k])), strict=True):
                                 column.append(x)
-                own = press.compress(b"".join(c for k, c in enumerate(chunks) if k not in set(apart)))
+                away = set(apart)
+                own = press.compress(b"".join(c for k, c in enumerate(chunks) if k not in away))
                 for column, x in zip((kind, cid, doc, listing, shared, packed), (0, part + number, i, manifest(n, lens, digests), apart, own), strict=True):
                     column.append(x)
                 number += 1
@@ -172,16 +180,22 @@ def read_back(stored: bytes, apart: list[int], packed: bytes, others: dict[int,
     return b"".join(out), n_bytes, lens
 
 
+def stored_form(manifest: bytes, shared: list[int], packed: bytes, others: dict[int, bytes]) -> list[bytes]:
+    """The bytes that lie in storage for one document, in order: its container's, then those of the store's chunks that it refers to."""
+    return [manifest, struct.pack(f"<{len(shared)}I", *shared), packed, *[others[k] for k in shared]]
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
-        for stored, apart, packed, got in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+        for listing, apart, packed, got in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
             others = {x["pos"]: x["bytes"] for x in got.as_py() or []}
-            payload, n, lens = read_back(stored, apart, packed.as_py(), others, press)
-            media = hashlib.sha256(stored)
-            media.update(payload)
-            rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored) + len(payload), media.hexdigest(), features(payload), len(lens), len(apart)))
+            payload, n, lens = read_back(listing, apart, packed, others, press)
+            form, media = stored_form(listing, apart, packed, others), hashlib.sha256()
+            for part in form:
+                media.update(part)
+            rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), sum(map(len, form)), media.hexdigest(), features(payload), len(lens), len(apart)))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
         cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", *[x.split()[0] for x in READ.split(", ")]])
@@ -192,48 +206,66 @@ def stored_media(docs: DataFrame, cuts: Cuts = Cuts(), id_col: str = "doc_id", t
 
     1. All payloads are cut; digests that occur twice or more set bits in a
        filter of bounded size (built in Spark, 4 KB for a row).
-    2. Each document's container holds its manifest and, compressed, the
-       chunks that only it holds. Chunks that the filter names go to the store.
-    3. The store keeps one row for each digest.
+    2. Each document's container holds its manifest (the ordered list of its
+       chunks) and, compressed, the chunks that only it holds. Chunks that the
+       filter names go to the store.
+    3. The store keeps one row for each digest, with the number of chunks that
+       have it.
 
     A null or empty text is 64 zero bytes. Equal texts have equal payloads,
-    manifests and features. Repeated rows each have a container; an empty table
-    has none; columns but id and text play no part.
+    containers and features. Repeated rows each have a container; a very long
+    text is one container, worked on in memory; an empty table has none; columns
+    but id and text play no part.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     digests = texts.select("text").mapInArrow(_digests(cuts), "digest binary")
-    twice = written(digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "twice")
+    twice = written(digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "twice")
     bits = filter_bits(twice.count(), cuts.most_bits)
     places = [F.conv(F.substring(F.hex("digest"), at, 14), 16, 10).cast("bigint").bitwiseAND(F.lit(bits - 1)) for at in (1, 17)]
     marks = twice.select(F.explode(F.array(*places)).alias("bit"))
     table = bit_table(marks, "bit", bits)
     schema = f"kind int, cid bigint, id {texts.schema['id'].dataType.simpleString()}, manifest binary, shared array<int>, packed binary"
     folder = scratch(spark, "media")
-    texts.mapInArrow(_stored(cuts, spark.sparkContext.broadcast(table), bits), schema).write.partitionBy("kind").option("compression", "uncompressed").parquet(folder)
+    with saving(spark):
+        texts.mapInArrow(_stored(cuts, spark.sparkContext.broadcast(table), bits), schema).write.partitionBy("kind").option("compression", "uncompressed").parquet(folder)
     both = spark.read.schema(schema).parquet(folder)
     containers = both.where("kind = 0").select("cid", "id", "manifest", "shared", "packed")
-    store = written(both.where("kind = 1").groupBy(F.col("manifest").alias("digest")).agg(F.first("packed").alias("packed")), "store", compression="uncompressed")
+    packed = both.where("kind = 1").groupBy(F.col("manifest").alias("digest")).agg(F.first("packed").alias("packed"))
+    store = written(packed.join(twice, "digest", "left").select("digest", "packed", F.coalesce("n", F.lit(1)).alias("n")), "store", compression="uncompressed")
+    removed(twice)
     return containers, store
 
 
-def read_media(containers: DataFrame, store: DataFrame) -> DataFrame:
+def read_media(containers: DataFrame, store: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     """``id`` and the fields of READ for each container, from the stored bytes alone.
 
-    References are joined to the store by digest and come back to their
-    container in order; a container without any is read where it lies.
+    References are joined to the store by digest, hot ones by digest and part,
+    and come back to their container in order; a container without any is read
+    where it lies.
     """
-    listing = F.col("manifest")
-    refs = containers.where(F.size("shared") > 0).select("cid", listing.alias("manifest"), F.explode("shared").alias("pos"))
+    apart = containers.where(F.size("shared") > 0)
+    refs = apart.select("cid", "manifest", F.explode("shared").alias("pos"))
     refs = refs.select("cid", "pos", F.expr("substring(manifest, 17 + 36 * pos, 32)").alias("digest"))
-    got = refs.join(store, "digest").groupBy("cid").agg(F.collect_list(F.struct("pos", F.col("packed").alias("bytes"))).alias("others"))
-    apart = containers.where(F.size("shared") > 0).join(got, "cid").select("id", "manifest", "shared", "packed", "others")
+    parts = F.ceil(F.col("n") / cuts.hot).cast("int")
+    hot = store.where(F.col("n") > cuts.hot).select("digest", parts.alias("parts"))
+    if 0 < hot.count() <= cuts.most_hot:
+        refs = refs.join(F.broadcast(hot), "digest", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("cid", "pos"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+        held = store.select("digest", "packed", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    else:
+        refs, held = refs.withColumn("part", F.lit(0)), store.select("digest", "packed", F.lit(0).alias("part"))
+    got = refs.join(held, ["digest", "part"]).groupBy("cid").agg(F.collect_list(F.struct("pos", F.col("packed").alias("bytes"))).alias("others"))
+    apart = apart.join(got, "cid").select("id", "manifest", "shared", "packed", "others")
     alone = containers.where(F.size("shared") == 0).select("id", "manifest", "shared", "packed", F.lit(None).cast(got.schema["others"].dataType).alias("others"))
     schema = f"id {containers.schema['id'].dataType.simpleString()}, {READ}"
     return alone.mapInArrow(_read, schema).unionByName(apart.mapInArrow(_read, schema))
 
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
-    """Stores all documents' payloads as chunks and reads them back."""
+    """Stores all documents' payloads as chunks and reads them back.
+
+    ``media_bytes`` and ``media_sha256`` are of ``stored_form``: the container
+    as it lies in storage, and the shared chunks that it refers to.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return read_media(*stored_media(docs)).withColumnRenamed("id", "doc_id")
