@@ -130,68 +130,94 @@ def features(ws: list[bytes]) -> set:
     return {(w,) for w in ws} | (grams(ws, 2) if len(ws) > 1 else set())
 
 
+#: A labelled row: words, class, and the template or line that it comes from.
+Row = tuple[list[bytes], int, str]
+
+
 class Classifier:
-    """Softmax regression over word uni- and bigrams, with a temperature from held-out rows."""
+    """Softmax regression over word uni- and bigrams, with a temperature from templates that it hasn't seen.
+
+    Each template, line and sentence is in one of two halves. A model fitted to
+    one half gives scores for the other; the temperature is the best for all of
+    these, and ``held_out`` the share of them that it gets right. The model that
+    is kept is then fitted to all rows. Rows are sparse: places and one value.
+    """
 
-    def __init__(self, rows: list[tuple[list[bytes], int]], seed: int) -> None:
-        rng = np.random.default_rng(seed)
-        order = rng.permutation(len(rows))
-        held, fit = order[: len(rows) // 5], order[len(rows) // 5 :]
+    def __init__(self, rows: list[Row], seed: int, halves: dict[str, int]) -> None:
+        y = np.array([c for _, c, _ in rows])
+        half = np.array([halves[of] for _, _, of in rows])
+        scores = np.zeros((len(rows), UNKNOWN + 1), np.float32)
+        for h in (0, 1):
+            self._fit([r for r, k in zip(rows, half, strict=True) if k != h], y[half != h])
+            other = [self.scores(r[0]) for r, k in zip(rows, half, strict=True) if k == h]
+            scores[half == h] = np.array(other, np.float32).reshape(-1, UNKNOWN + 1)
+        loss = lambda t: -np.log(np.maximum(self._soft(scores / t)[np.arange(len(rows)), y], 1e-9)).mean()
+        self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0), key=loss)
+        self.held_out = float((scores.argmax(1) == y).mean())
+        self._fit(rows, y)
+
+    def _fit(self, rows: list[Row], y: np.ndarray) -> None:
         seen: dict = {}
-        for k in fit:
-            for f in features(rows[k][0]):
+        for ws, _, _ in rows:
+            for f in features(ws):
                 seen[f] = seen.get(f, 0) + 1
         self.place = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n > 1))}
-        y = np.array([c for _, c in rows])
-        x, z = self._matrix([rows[k][0] for k in fit]), self._matrix([rows[k][0] for k in held])
+        # the last place is every row's own, the bias
+        held = [[*self._places(ws), len(self.place)] for ws, _, _ in rows]
+        sizes = np.array([len(h) for h in held])
+        at, row = np.concatenate([np.array(h) for h in held]), np.repeat(np.arange(len(rows)), sizes)
+        value = np.where(at == len(self.place), 1.0, 1 / np.maximum(np.repeat(sizes - 1, sizes), 1) ** 0.5).astype(np.float32)[:, None]
+        starts, by_place = np.cumsum(sizes) - sizes, np.argsort(at, kind="stable")
+        places, first = np.unique(at[by_place], return_index=True)
         self.w = np.zeros((len(self.place) + 1, UNKNOWN + 1), np.float32)
         m, v = np.zeros_like(self.w), np.zeros_like(self.w)
-        goal = np.eye(UNKNOWN + 1, dtype=np.float32)[y[fit]]
+        goal = np.eye(UNKNOWN + 1, dtype=np.float32)[y]
         for t in range(1, 121):  # Adam over all rows
-            g = x.T @ (self._soft(x @ self.w) - goal) / len(fit) + 1e-4 * self.w
+            error = (self._soft(np.add.reduceat(self.w[at] * value, starts)) - goal) / len(rows)
+            g = 1e-4 * self.w
+            g[places] += np.add.reduceat((error[row] * value)[by_place], first)
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             self.w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-        loss = lambda t: -np.log(np.maximum(self._soft(z @ self.w / t)[np.arange(len(held)), y[held]], 1e-9)).mean()
-        self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
-        self.held_out = float((self._soft(z @ self.w).argmax(1) == y[held]).mean())
 
     @staticmethod
     def _soft(x: np.ndarray) -> np.ndarray:
         e = np.exp(x - x.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    def _matrix(self, rows: list[list[bytes]]) -> np.ndarray:
-        x = np.zeros((len(rows), len(self.place) + 1), np.float32)
-        x[:, -1] = 1
-        for k, ws in enumerate(rows):
-            at = [self.place[f] for f in features(ws) if f in self.place]
-            x[k, at] = 1 / max(1.0, len(at)) ** 0.5
-        return x
+    def _places(self, ws: list[bytes]) -> list[int]:
+        return sorted(self.place[f] for f in features(ws) if f in self.place)
+
+    def scores(self, ws: list[bytes]) -> np.ndarray:
+        at = self._places(ws)
+        return self.w[-1] + (self.w[at].sum(0) / len(at) ** 0.5 if at else 0)
 
     def probabilities(self, ws: list[bytes]) -> np.ndarray:
-        at = [self.place[f] for f in features(ws) if f in self.place]
-        score = self.w[-1] + (self.w[at].sum(0) / len(at) ** 0.5 if at else 0)
-        return self._soft(score[None, :] / self.temperature)[0]
+        return self._soft(self.scores(ws)[None, :] / self.temperature)[0]
+
 
+def training_rows(texts: list[str], scan: Scan = Scan()) -> tuple[list[Row], dict[str, int]]:
+    """Variants of the templates by family, and the sample's lines and NOT_NOTICES as unknown; and each origin's half.
 
-def training_rows(texts: list[str], scan: Scan = Scan()) -> list[tuple[list[bytes], int]]:
-    """Variants of the templates by family, and the sample's lines and NOT_NOTICES as unknown."""
+    A family's templates are in the halves in turn, so that each half has some.
+    """
     rng = np.random.default_rng(scan.seed)
     lines = [ws for t in texts for x in (t or "").split("\n")[:20] if len(ws := words(x)[: scan.window]) > 3 and shared_pairs(ws) < scan.shared]
     fill = [w for ws in lines for w in ws] or [b"text"]
-    rows = [(lines[k], UNKNOWN) for k in rng.permutation(len(lines))[:1200]]
+    rows: list[Row] = [(lines[k], UNKNOWN, f"line {k}") for k in rng.permutation(len(lines))[:1200]]
+    halves = {of: k % 2 for k, (_, _, of) in enumerate(rows)}
 
     def around(ws: list[bytes]) -> list[bytes]:
         pick = lambda n: [fill[k] for k in rng.integers(0, len(fill), n)]
         return pick(rng.integers(0, 8)) + ws + pick(rng.integers(0, 8))
 
-    for text in NOT_NOTICES:
-        rows += [(around([w for w in words(text) if rng.random() > 0.1]), UNKNOWN) for _ in range(scan.variants)]
+    for k, text in enumerate(NOT_NOTICES):
+        halves[text] = k % 2
+        rows += [(around([w for w in words(text) if rng.random() > 0.1]), UNKNOWN, text) for _ in range(scan.variants)]
     for c, family in enumerate(FAMILIES):
-        for text in TEMPLATES[family]:
-            ws = words(text)
-            rows += [(ws, c)] * 4 + [(around([w for w in ws if rng.random() > 0.08]), c) for _ in range(scan.variants)]
-    return rows
+        for k, text in enumerate(TEMPLATES[family]):
+            ws, halves[text] = words(text), k % 2
+            rows += [(ws, c, text)] * 4 + [(around([w for w in ws if rng.random() > 0.08]), c, text) for _ in range(scan.variants)]
+    return rows, halves
 
 
 def windows(lo: int, hi: int, size: int) -> list[tuple[int, int]]:
@@ -279,22 +305,31 @@ def fitted(docs: DataFrame, scan: Scan = Scan(), id_col: str = "doc_id", text_co
     """A classifier whose unknown class has seen a bounded sample of ``docs``."""
     sample = docs.select(F.col(id_col).cast("string").alias("i"), F.substring(F.col(text_col).cast("string"), 1, 20_000).alias("t"))
     sample = bounded_sample(sample, scan.sample, F.col("i"), F.col("t"))
-    return Classifier(training_rows([r.t for r in sample.collect()], scan), scan.seed)
+    rows, halves = training_rows([r.t for r in sample.collect()], scan)
+    return Classifier(rows, scan.seed, halves)
 
 
 def licences(docs: DataFrame, scan: Scan = Scan(), model: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text", found: str = "licence") -> DataFrame:
     """``docs`` with a struct column ``licence`` (the fields of FOUND).
 
     Every paragraph (lines up to one without words) of every whole text is
-    classified, long ones in overlapping windows, and each of its lines too. The
+    looked through, long ones in overlapping windows, and each of its lines too.
+    A window with fewer than ``shared`` word pairs of any template isn't shown
+    to the classifier, since it can't be confirmed: a triple has two pairs. The
     unknown class is one of the model's; every family is predicted that has
-    ``probability`` (at a temperature fitted to held-out rows) against it alone.
-    It stands only if the window has ``similarity`` of the word triples of one
-    of its templates, without those of a better family. All notices count,
-    overlapping windows of a family as one; the other fields are of the first of
-    the best, ``paragraph`` is the number of the line in which it begins. A null
-    or empty text has no paragraphs. Other
-    columns pass through; the new one gets a number if there is one of its name.
+    ``probability`` (at a temperature fitted to templates that the model hadn't
+    seen) against it alone. ``n_predicted`` counts the paragraphs for which a
+    family was predicted. It stands only if the window has ``similarity`` of the
+    word triples of one of its templates, without those of a better family. All
+    notices count, overlapping windows of a family as one; the other fields are
+    of the first of the best, ``paragraph`` is the number of the line in which
+    it begins.
+
+    Equal similarities go by probability, then by the place in the text. A null
+    or empty text has no paragraphs; a very long one is read whole, in memory in
+    proportion to it. Repeated rows get equal results; an empty table gives an
+    empty one (the classifier is then trained on templates alone). Other columns
+    pass through; the new one gets a number if there is one of its name.
     """
     (found,) = fresh(docs.columns, found)
     model = model or fitted(docs, scan, id_col, text_col)
