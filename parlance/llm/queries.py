@@ -10,13 +10,13 @@ from .mixing import OP2_SQL, op2_mix_sources
 from .order import op9_training_order
 from .pieces import op7_sentencepiece
 from .pii import op3_pii_pseudonyms
-from .quality import op8_quality_rules
-from .sharding import op10_stratified_shards
+from .quality import OP8_SQL, op8_quality_rules
+from .sharding import OP10_SQL, op10_stratified_shards
 
 QUERIES = {
     f.__name__: f
     for f in (op1_licence_scan, op2_mix_sources, op3_pii_pseudonyms, op4_line_dedup, op5_minhash_dedup, op6_media_columns, op7_sentencepiece, op8_quality_rules, op9_training_order, op10_stratified_shards)
 }
 #: Not in SQL: a trained model (1), keyed permutations inside texts (3), stored
-#: bytes (6, 9), a lattice search (7), distances to corpus references (8), CRC-32 (10).
-SQL = {"op2_mix_sources": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_minhash_dedup": OP5_SQL}
+#: bytes (6, 9), a lattice search (7). Tests hold each of these against brute force.
+SQL = {"op2_mix_sources": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_minhash_dedup": OP5_SQL, "op8_quality_rules": OP8_SQL, "op10_stratified_shards": OP10_SQL}
