@@ -31,7 +31,7 @@ def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("doc", "th", "pos", F.unhex(F.md5("key")).alias("kh"))
     )
     lines = written(salted_groups(lines, ["kh"], "doc"), "lines")
-    parts = lines.where("doc IS NOT NULL").groupBy("kh", "salt", "doc").agg(F.lit(1).alias("one")).groupBy("kh", "salt").agg(F.count("*").alias("docs"), F.min("doc").alias("least"))
+    parts = lines.groupBy("kh", "salt", "doc").agg(F.lit(1).alias("one")).groupBy("kh", "salt").agg(F.count("doc").alias("docs"), F.min("doc").alias("least"))
     keys = parts.groupBy("kh").agg(F.sum("docs").alias("docs"), F.min("least").alias("first"), F.collect_set("salt").alias("salts")).where(F.col("docs") >= min_docs)
     shared = keys.select("kh", "first", F.explode("salts").alias("salt"))
     return (

@@ -37,6 +37,12 @@ def test_lines_like_brute_force(spark):
     assert got[0].asDict().keys() == {*docs.columns, "n_lines", "n_dropped"}
 
 
+def test_null_ids_lose_shared_lines(spark):
+    rows = [(k, "a line that several have\nown") for k in (3, 4)] + [(None, "a line that several have\nnone"), (None, "two rows without id\nx"), (None, "two rows without id\ny")]
+    got = linededup.dedup_lines(frame(spark, rows)).collect()
+    assert sorted([(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got], key=str) == brute_lines(rows)
+
+
 def test_many_repeated_lines(spark):
     rng = np.random.default_rng(2)
     rows = [(i, "\n".join(f"Line number {rng.integers(0, 60)} of all" if rng.random() < 0.6 else f"own {i} {k}" for k in range(rng.integers(1, 30)))) for i in range(150)]
@@ -96,6 +102,23 @@ def test_odd_rows(spark):
     assert kept.columns == frame(spark, []).columns
 
 
+def test_repeated_ids_with_other_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = b.replace("b30", "other")
+    rows = [(1, a), (5, b), (5, a), (7, b), (5, near), (5, near), (9, c), (None, a), (None, a), (11, None)]
+    got = sorted((str(r.id), r.n_shingles, str(r.component_id), r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect())
+    # brute force: each row a document of its own; a class is named by its least id
+    sets = {k: v[0] for k, v in brute_near([(k, t) for k, (_, t) in enumerate(rows)], 5).items()}
+    label = {k: v[1] for k, v in brute_near([(k, t) for k, (i, t) in enumerate(rows) if i is not None], 5).items()}
+    least = {n: min(rows[k][0] for k in label if label[k] == n) for n in set(label.values())}
+    want = [(str(i), sets[k], str(least[label[k]]) if k in label else "None", k not in label or i == least[label[k]]) for k, (i, _) in enumerate(rows)]
+    assert got == sorted(want)
+    kept = [(r.doc_id, r.text) for r in minhash.kept_documents(frame(spark, rows)).collect()]
+    assert kept.count((1, a)) == 1 and kept.count((9, c)) == 1 and kept.count((None, a)) == 2 and (11, None) in kept
+    # of b and its near copy, both of id 5, one text stays
+    assert len({t for i, t in kept if i == 5}) == 1 and len(kept) - 5 in (1, 2) and not {(5, a), (7, b)} & set(kept)
+
+
 def test_links_that_the_hub_does_not_have(spark):
     # 0 is near to neither; 1 and 2 are near to one another and share buckets with 0
     base = [f"x{i}" for i in range(200)]
