@@ -22,7 +22,9 @@ from .common import fresh
 #: The mark that stands for a space.
 SPACE = "▁"
 #: Distinct chunks whose best segmentations a Python worker keeps.
-CHUNKS_KEPT = 700_000
+CHUNKS_KEPT = 400_000
+#: Distinct chunks of which it keeps several segmentations.
+MORE_KEPT = 50_000
 #: Characters of chunks that a worker keeps.
 CHARS_KEPT = 16_000_000
 #: Longer chunks are solved one by one instead of many at once, by the same rules.
@@ -340,7 +342,7 @@ class Pieces:
 
     def learn(self, chunks: list[str], n: int = 1) -> np.ndarray:
         """The places of ``chunks`` in the tables, after the unknown ones have been solved."""
-        if len(self.at) > CHUNKS_KEPT or self.n_chars > CHARS_KEPT or len(self.more) > CHUNKS_KEPT // 4:
+        if len(self.at) > CHUNKS_KEPT or self.n_chars > CHARS_KEPT or len(self.more) > MORE_KEPT:
             self._forget()
         known = self.at.get
         k = [known(c, -1) for c in chunks]
