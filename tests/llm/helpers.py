@@ -21,3 +21,22 @@ ODD = [
     (None, "a shared line of text", "en", "src1"),
     (8, "é́ 🙂  x y ▁ z", "xx", "src1"),
 ]
+
+#: Names that the operators add, or use inside.
+CLASHING = (
+    "th", "th_", "of", "drop", "doc", "lines", "key", "key__", "d", "l", "s", "copies", "epoch", "near_id", "near_th", "node", "salt", "id", "label", "bucket",
+    "verdict", "ref_lang", "ref_words", "licence", "private", "found", "kinds", "gaps", "new", "n_lines", "N_DROPPED", "ids", "n_pieces", "scores", "part", "slot", "shard", "before",
+)
+
+
+def clashing(spark, rows):
+    """``frame`` with an extra column of each of CLASHING's names."""
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, rows).drop("key", "TH", "verdict")
+    return docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+
+
+def own(row):
+    """The clashing columns of a row that passed through."""
+    return {c: row[c] for c in CLASHING}

@@ -90,6 +90,16 @@ def test_prefixes(spark):
     assert mixing.mixed(frame(spark, [])).count() == 0
 
 
+def test_training_order_follows_from_the_documents(spark):
+    layout = order.Layout(length=64, per_shard=10, key="t", bucket_rows=16)
+    rows = [(i, f"The {i}th text and lines {'x ' * (i % 50)}") for i in range(200)] + [r for r in ODD if r[0] != 4]
+    found = []
+    for docs in (frame(spark, rows).coalesce(1), frame(spark, rows[::-1]).repartition(7)):
+        folder, n = order.materialised(docs, layout=layout)
+        found.append([(r.slot, r.sequence, bytes(r.record)) for r in order.records(spark, folder, n, layout).orderBy("slot").collect()])
+    assert found[0] == found[1] and len(found[0]) > 50
+
+
 def test_training_order_round_trip(spark):
     layout = order.Layout(length=64, per_shard=10, key="t")
     rows = [(i, f"The {i}th text  with two spaces\n and lines, é 🙂 {'x' * i}") for i in range(60)] + ODD

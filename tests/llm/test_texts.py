@@ -1,5 +1,4 @@
 import hashlib
-import itertools
 import re
 import textwrap
 import zlib
@@ -8,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import licences, media, pieces, pii, quality
+from parlance.llm import licences, media, quality
 from parlance.llm.common import feistel_sides, permuted, permuted_plain
 
 from .helpers import LONG, ODD, frame
@@ -23,76 +22,9 @@ def test_permutation(spark, n):
     assert len({r.p for r in got}) == len(got) and feistel_sides(n)[0] * feistel_sides(n)[1] >= n
 
 
-def luhn(d):
-    s = 0
-    for i, c in enumerate(reversed(d)):
-        v = int(c) * (1 + i % 2)
-        s += v - 9 if v > 9 else v
-    return s % 10 == 0
-
-
-def test_pseudonyms(spark):
-    rows = [
-        (1, "Call +1 (389) 555-5010 or mail of.12@mail9.example.com now."),
-        (2, "card 4785380592391139$$$ and 4785 3805 9239 1139, not 1234567890123456 nor 1.2.3.4.5 nor 999.1.1.1"),
-        (3, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"### ip 152.143.123.131###'),
-        (4, "born 1980-02-29 and 1981-02-29, 29.02.1980, 02/29/1980; ssn 123-45-6789 000-12-3456 License 2.0."),
-        (5, "again +1 (389) 555-5010; 152.143.123.131; Of.12@mail9.example.com; +1 389 555 5010"),
-        *ODD,
-    ]
-    out = {}
-    for r in pii.pseudonymised(frame(spark, rows)).collect():
-        out.setdefault(r.doc_id, r)
-    a, b, c, d, e = (out[i].text for i in range(1, 6))
-    phone = re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", a).group()
-    assert phone != "+1 (389) 555-5010" and phone in e and re.sub(r"[()-]", "", phone).replace("  ", " ")[:2] in e
-    assert re.sub(r"\D", "", phone) == re.sub(r"\D", "", e.split("; ")[-1])
-    x, y = re.search(r"card (\d{16})\$\$\$ and ([\d ]{19}),", b).groups()
-    assert x == y.replace(" ", "") != "4785380592391139" and luhn(x) and "1234567890123456" in b and "1.2.3.4.5" in b and "999.1.1.1" in b
-    ip = re.search(r"ip ([\d.]+)###", c).group(1)
-    assert ip in e and ip != "152.143.123.131" and "24be6443" not in c and len(c) - len(ip) == len(rows[2][1]) - 15
-    iso, dot, slash = re.search(r"born (\S+) and 1981-02-29, (\S+), (\S+);", d).groups()
-    assert iso == "-".join(dot.split(".")[::-1]) == f"{slash[6:]}-{slash[:2]}-{slash[3:5]}" != "1980-02-29"
-    assert "000-12-3456" in d and "123-45-6789" not in d and "License 2.0." in d
-    assert a.split("mail ")[1].split("@")[0] == e.split("; ")[2].split("@")[0]
-    assert out[4].private.date == 3 and out[4].private.ssn == 1
-    odd = {r[0]: r[1] for r in ODD if r[0] not in (4, 5, None)}
-    assert all(out[i].text == t for i, t in odd.items() if i not in (1, 2, 3))
-    got = pii.pseudonymised(frame(spark, ODD)).collect()
-    assert sorted([(r.doc_id, r.text) for r in got], key=str) == sorted([(r[0], r[1]) for r in ODD], key=str)
-    assert pii.pseudonymised(frame(spark, [])).count() == 0
-
-
-def test_phones_of_any_grouping(spark):
-    same = {
-        "33": ["+33 1 23 45 67 89", "+33123456789", "+33.1.23.45.67.89", "+33 (0)1 23 45 67 89", "+33\u00a01\u00a023\u00a045\u00a067\u00a089"],
-        "49": ["+49 170 1234567", "+491701234567", "+49-170-1234567", "+49 (0) 170/1234567", "+49 (170) 123 45 67"],
-        "1": ["+1 (389) 555-5010", "+13895555010", "+1-389-555-5010"],
-        "972": ["+972 50 123 4567", "+972501234567"],
-        "290": ["+290 2345", "+2902345"],
-    }
-    texts = [(c, x) for c, xs in same.items() for x in xs]
-    rows = [(k, f"call {x}, or not") for k, (_, x) in enumerate(texts)]
-    rows += [(100, "call +33 1 23 45 67 89 12 times"), (101, "not +123456 nor +1234567890123456")]
-    got = {r.doc_id: r for r in pii.pseudonymised(frame(spark, rows)).collect()}
-    new = {}
-    for k, (c, x) in enumerate(texts):
-        form = got[k].text.removeprefix("call ").removesuffix(", or not")
-        assert got[k].private.phone == 1 and re.sub("[0-9]", "0", form) == re.sub("[0-9]", "0", x) and form != x
-        new.setdefault(c, set()).add(re.sub(r"\D", "", form.replace("(0)", "")))
-    assert all(len(v) == 1 and min(v).startswith(c) for c, v in new.items())
-    assert got[100].text.endswith(" 12 times") and got[100].text[5:22] == got[0].text[5:22] and got[101].text == rows[-1][1]
-
-
-def test_pseudonyms_are_one_to_one(spark):
-    df = spark.range(2000).select(F.lpad((F.col("id") * 7 % 10000).cast("string"), 4, "0").alias("d")).distinct()
-    got = df.select(pii.permuted_digits(F.col("d"), "k").alias("p"))
-    assert got.distinct().count() == df.count() and got.where(F.length("p") != 4).count() == 0
-
-
 def test_licences(spark):
     model = licences.fitted(frame(spark, [(i, " ".join(f"plain{(i * k) % 91}" for k in range(40))) for i in range(1, 60)]))
-    assert model.held_out > 0.95
+    assert model.fitted > 0.95 and model.held_out > 3 / (len(licences.FAMILIES) + 1) and model.temperature >= 1  # unseen templates: unsure
     rows = [
         (1, "Some words.\nReleased under the MIT License.\nmore"), (2, "LICENSED!! UNDER!! THE!! APACHE!! LICENSE,!! VERSION!! 2.0.!!"),
         (3, "This work is licensed under the GNU General Public License, version 3."), (4, "Licensed under CC BY-NC 4.0."), (5, "Licensed under CC BY 4.0."),
@@ -146,6 +78,9 @@ def test_media(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     by = {r.id: r for r in got}
     assert by[20].media_sha256 == by[22].media_sha256 and by[20].n_shared == by[20].n_chunks
+    # with every shared chunk hot, joined in parts, nothing changes
+    parts = media.read_media(containers, store, media.Cuts(hot=1)).collect()
+    assert sorted(map(str, parts)) == sorted(map(str, got))
     assert by[21].n_shared >= by[21].n_chunks - 2  # a byte in front moves a cut or two only
     assert store.count() == store.select("digest").distinct().count()
     assert media.read_media(*media.stored_media(frame(spark, []))).count() == 0
@@ -172,51 +107,6 @@ def test_damage_is_found():
         media.read_back(stored, [], press.compress(payload[:-1] + b"!"), {}, zstandard.ZstdDecompressor())
 
 
-def brute_paths(p, chunk):
-    def go(j):
-        if j == 0:
-            yield 0.0, ()
-            return
-        for i in range(max(0, j - p.longest), j):
-            found = p.piece.get(chunk[i:j])
-            if found:
-                for s, ids in go(i):
-                    yield s + found[0], ids + found[1]
-        c = chunk[j - 1]
-        if c not in p.piece:
-            for s, ids in go(j - 1):
-                yield s + pieces.BYTES_SCORE * len(c.encode()), ids + p.bytes_of(c)
-
-    return sorted(go(len(chunk)), key=lambda x: (-x[0], x[1]))
-
-
-@pytest.mark.parametrize("text", ["the", "a cat is", " x  y", "ab\ncd e", "the the the", "q🙂 z", "é́, no.", "internation"])
-def test_n_best_like_brute_force(text):
-    p = pieces.pieces(pieces.default_model())
-    whole = brute_paths(p, pieces.SPACE + text.replace(" ", pieces.SPACE))
-    got = p.many([text], 6)[0]
-    assert [s for s, _ in got] == [s for s, _ in whole[:6]]
-    every = dict((ids, s) for s, ids in whole)
-    assert all(every[tuple(ids.tolist())] == s for s, ids in got) and len({tuple(ids.tolist()) for _, ids in got}) == len(got)
-
-
-def test_chunk_paths_like_brute_force():
-    p = pieces.pieces(pieces.default_model())
-    for chunk in ("▁hello", "▁▁▁a", "é́x", "zz▁q"):
-        assert [s for s, _ in p.paths(chunk, 5)] == [s for s, _ in brute_paths(p, chunk)[:5]]
-
-
-def test_encoded(spark):
-    docs = frame(spark, [*ODD, (9, "x" * 5000), (10, " lead and  trail ")])
-    got = pieces.encoded(docs).collect()
-    assert len(got) == len(ODD) + 2 and all(r.round_trip for r in got)
-    p = pieces.pieces(pieces.default_model())
-    assert all(p.decode(r.ids) == (r.text or "").replace("▁", " ") for r in got)
-    empty = next(r for r in got if r.doc_id == 2)
-    assert (empty.n_pieces, list(empty.scores)) == (0, [0.0])
-    assert pieces.encoded(frame(spark, [])).count() == 0
-
-
 def plain_quality(text):
     text = text or ""
     ws = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -243,19 +133,12 @@ def test_quality(spark):
     kept = {r.doc_id for r in quality.good_documents(frame(spark, rows)).collect()}
     assert {i for i, _ in clean} <= kept and not {200, 201, 202, 1, 2, 3} & kept
     assert quality.good_documents(frame(spark, [])).count() == 0
+    # references that are joined because they are many give the same verdicts
+    joined = quality.quality(frame(spark, rows), quality.Rules(most_languages=0)).collect()
+    assert sorted(map(str, joined)) == sorted(map(str, got))
 
 
 def test_distance():
     p = np.array([1, 0, 3])
     assert quality.distance(p, p) == 0 and quality.distance(np.array([1, 0]), np.array([0, 1])) == 1
     assert quality.distance(np.array([0, 0]), np.array([0, 1])) == 0
-
-
-def test_all_chunks_agree_with_one_search():
-    p = pieces.pieces(pieces.default_model())
-    text = "Some words, and 🙂 more words.\nIt is 12.5% of it"
-    ids = [i for c in p.chunks(text) for i in p.paths(c, 1)[0][1]]
-    assert sum(p.paths(c, 1)[0][0] for c in p.chunks(text)) == p.many([text], 1)[0][0][0]
-    assert p.decode(ids) == text
-    assert "".join(p.chunks(text)) == pieces.SPACE + text.replace(" ", pieces.SPACE)
-    assert list(itertools.chain(p.chunks(""))) == []
