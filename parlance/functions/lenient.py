@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,7 +53,6 @@ def prose(value: Any) -> str | None:
 
 def prose_of(c: Column) -> Column:
     """``prose`` of a column of JSON text, in Arrow batches; text that is no JSON stands for itself."""
-    import pandas as pd
 
     def one(t: str | None) -> str | None:
         try:
@@ -67,12 +67,6 @@ def prose_of(c: Column) -> Column:
     return run(c)
 
 
-def shape(value: Any) -> str:
-    """``key=type`` for each field."""
-    kind = lambda v: "null" if v is None else "bool" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object"
-    return " ".join(f"{k}={kind(v)}" for k, v in value.items()) if isinstance(value, dict) else f"<top level is {kind(value)}>"
-
-
 def primary_language(json_text: Column) -> Column:
     """The stored column: the first language's JSON text in lower case."""
     return F.lower(F.get_json_object(json_text, "$.languages[0].language"))
@@ -89,13 +83,3 @@ def payload_options(json_text: Column) -> Column:
         F.get_json_object(json_text, "$.language_hint").alias("language_hint"), F.when(n.isNotNull(), F.least(F.greatest(n, F.lit(1)), F.lit(10))).alias("expected_speakers"),
         F.coalesce(boolean(F.get_json_object(json_text, "$.force_retranscribe")), F.lit(False)).alias("force_retranscribe"),
     )
-
-
-ITEM = "array<struct<text:string,owner:string,deadline:string>>"
-
-
-def action_items(json_text: Column) -> Column:
-    """Action items with a text, owner and deadline; items that say none are left out."""
-    items = F.from_json(F.get_json_object(json_text, "$.action_items"), ITEM)
-    clean = F.transform(F.coalesce(items, F.array().cast(ITEM)), lambda x: F.struct(text_or_null(x["text"]).alias("text"), text_or_null(x["owner"]).alias("owner"), text_or_null(x["deadline"]).alias("deadline")))
-    return F.filter(clean, lambda x: x["text"].isNotNull())

@@ -156,8 +156,10 @@ def awaited(jobs: DataFrame, results: DataFrame) -> DataFrame:
 
 def orphans(calls: DataFrame, jobs: DataFrame) -> DataFrame:
     """Calls in processing whose id is NOT IN the live jobs' calls: none at all if a live job has no call, as SQL has it."""
-    c, j = calls.where("status = 'processing'"), jobs.where("status IN ('pending', 'running')").select("call_id")
-    return c.sparkSession.sql("SELECT * FROM {c} WHERE id NOT IN (SELECT call_id FROM {j})", c=c, j=j)
+    live = jobs.where("status IN ('pending', 'running')").select(F.col("call_id").alias("id"))
+    # one look for a null, then a join by key: NOT IN itself would send all live jobs to every task
+    rows = calls.where("status = 'processing' AND id IS NOT NULL")
+    return rows.where(F.lit(False)) if not live.where("id IS NULL").isEmpty() else rows.join(live, "id", "left_anti")
 
 
 def orphans_intended(calls: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -175,8 +177,9 @@ def covered(calls: DataFrame, jobs: DataFrame) -> DataFrame:
 def appended_new(calls: DataFrame, new: DataFrame) -> DataFrame:
     """New calls whose (organization_id, external_id) isn't there; a null external id never collides."""
     keys = ["organization_id", "external_id"]
-    first = new.withColumn("r_", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where("r_ = 1 OR external_id IS NULL").drop("r_")
-    return calls.unionByName(first.join(calls.select(*keys), keys, "left_anti").select(*calls.columns))
+    named = new.where("external_id IS NOT NULL").withColumn("r_", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where("r_ = 1").drop("r_")
+    named = named.join(calls.select(*keys), keys, "left_anti").select(*calls.columns)
+    return calls.unionByName(named).unionByName(new.where("external_id IS NULL").select(*calls.columns))
 
 
 def updated(rows: DataFrame, key: str, value: object, **changes: Column) -> DataFrame:

@@ -93,6 +93,7 @@ def web_hook(calls: DataFrame, analyses: DataFrame) -> DataFrame:
     return rows.select("id", F.to_json(F.struct(F.lit("call.completed").alias("event"), F.col("id").alias("call_id"), "external_id", "status", "title", "resolved")).alias("payload"))
 
 
+#: By name; ``ics`` works on rows of events instead of segments.
 FORMATS = {"srt": srt, "vtt": vtt, "md": markdown, "json": nested, "txt": txt}
 
 

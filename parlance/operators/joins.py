@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 #: Distance up to which two voices are one.
 SAME_VOICE = 0.45
-#: Exemplars that may be sent to all tasks; more are dealt out by organisation.
-FEW_EXEMPLARS = 100_000
+#: Numbers of all exemplars' vectors that may be sent to all tasks (64 MB); more exemplars are dealt out in parts.
+FEW_NUMBERS = 8_000_000
 
 
 def aligned(words: DataFrame, turns: DataFrame, bin_ms: int = 60_000) -> DataFrame:
@@ -99,16 +99,31 @@ def normalised_vector(a: Column) -> Column:
     return F.when(n < 1e-6, a).otherwise(F.transform(a, lambda x: x / n))
 
 
+def unit(c: str) -> Column:
+    """A vector brought to length 1; an empty one for a vector next to zero, which is like no other."""
+    n = F.sqrt(dot(F.col(c), F.col(c)))
+    return F.when(n < 1e-6, F.array().cast("array<double>")).otherwise(F.transform(F.col(c), lambda x: x / n))
+
+
 def identified(probes: DataFrame, exemplars: DataFrame, limit: float = SAME_VOICE) -> DataFrame:
     """Each probe's nearest named exemplar of its own organisation within ``limit``, the first of equals.
 
     Voice prints don't cross organisations: the organisation is the join key.
-    Exemplars are sent to all tasks only if they are few; else both sides are
-    dealt out by organisation and part.
+    Vectors are brought to length 1 once. Exemplars are sent to all tasks only
+    if their numbers are few; else an organisation's exemplars are dealt out in
+    parts, and each probe goes to every part: it has to see all of them.
     """
-    e = exemplars.where("name IS NOT NULL").select("organization_id", F.col("id").alias("exemplar"), "name", F.col("embedding").alias("known"))
-    e = F.broadcast(e) if e.count() <= FEW_EXEMPLARS else e
-    rows = probes.select("organization_id", "id", "embedding").join(e, "organization_id").where("id <> exemplar").withColumn("distance", cosine_distance(F.col("embedding"), F.col("known"))).where(F.col("distance") <= limit)
+    e = exemplars.where("name IS NOT NULL").select("organization_id", F.col("id").alias("exemplar"), "name", unit("embedding").alias("known"))
+    p = probes.select("organization_id", "id", unit("embedding").alias("own"))
+    numbers = e.agg(F.coalesce(F.sum(F.size("known")), F.lit(0)).alias("n")).first().n
+    if numbers <= FEW_NUMBERS:
+        rows = p.join(F.broadcast(e), "organization_id")
+    else:
+        parts = -(-numbers // FEW_NUMBERS)
+        e = e.withColumn("part", F.pmod(F.xxhash64("exemplar"), F.lit(parts)).cast("int"))
+        rows = p.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(e, ["organization_id", "part"])
+    near = F.when((F.size("own") == F.size("known")) & (F.size("own") > 0), F.greatest(F.least(1 - dot(F.col("own"), F.col("known")), F.lit(2.0)), F.lit(0.0))).otherwise(F.lit(1.0))
+    rows = rows.where("id <> exemplar").withColumn("distance", near).where(F.col("distance") <= limit)
     best = F.min_by(F.struct("exemplar", "name", "distance"), F.struct("distance", "exemplar"))
     return rows.groupBy("id").agg(best.alias("b")).select("id", "b.exemplar", "b.name", F.round("b.distance", 6).alias("distance"))
 

@@ -105,7 +105,7 @@ def searched(docs: DataFrame, calls: DataFrame, query: str, columns: tuple[str,
 
 
 def ask_context(docs: DataFrame, question: str, columns: tuple[str, ...], k: int = 5) -> DataFrame:
-    """The k best documents numbered as sources, each with title and snippet: what a model would be asked with."""
+    """The k best documents numbered as sources, each with its title: what a model would be asked with."""
     from pyspark.sql import Window
 
     top = bm25(docs, question, columns).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "call_id").limit(k)

@@ -20,8 +20,6 @@ def _display(s, d, want):
     return C.display_page(V.calls(s, d), V.transcripts(s, d), want, NOW).select("id", "external_id", "status", "primary_language", "is_favorite", "created_at")
 
 
-
-
 QUERIES = {
     "job_counts_by_status": lambda s, d: C.job_counts(V.jobs(s, d)),
     "call_stats": lambda s, d: C.call_stats(V.calls(s, d)),
@@ -32,8 +30,7 @@ QUERIES = {
     "system_metrics": lambda s, d: C.system_metrics(V.jobs(s, d), V.calls(s, d)),
     "analytics_dashboard": lambda s, d: C.dashboard(V.calls(s, d), V.analyses(s, d), V.transcripts(s, d)),
     "call_lookup": lambda s, d: _day(V.calls(s, d).where("id = 7"), "created_at"),
-    "call_by_external_id": lambda s, d: _day(V.calls(s, d).where("organization_id = 2 AND external_id = 'call-' || id AND id < 50"), "created_at"),
-    "call_by_external_id_whole": lambda s, d: _day(V.calls(s, d).where("organization_id = 2 AND external_id = 'call-254'"), "created_at"),
+    "call_by_external_id": lambda s, d: _day(V.calls(s, d).where("organization_id = 2 AND external_id = 'call-254'"), "created_at"),
     "call_list_page": lambda s, d: _day(C.listed(V.calls(s, d), C.CallFilter(organization_id=2, status="completed", created_from="1993-01-01", created_to="1997-12-31", limit=50, offset=10)), "created_at"),
     "call_list_display": lambda s, d: _day(_display(s, d, C.DisplayFilter(status="completed", language="en", text="call-1", limit=20)), "created_at"),
     "call_list_any_language": lambda s, d: _day(_display(s, d, C.DisplayFilter(language="ar", date="90d", limit=25, offset=5)), "created_at"),
@@ -49,10 +46,10 @@ QUERIES = {
     "lease_next_jobs": lambda s, d: _day(J.leased(V.jobs(s, d), NOW, ["w1", "w2", "w3", "w4", "w5"], ["click", "view"]).select("id", "kind", "status", "attempt", "locked_by", "locked_at"), "locked_at"),
     "release_stale_locks": lambda s, d: _day(J.released(V.jobs(s, d), "2024-01-15 00:00:00").select("id", "status", "run_after", "locked_by"), "run_after"),
     "retry_backoff": lambda s, d: _day(
-        J.failed(V.jobs(s, d), F.col("status") == "running", F.lit("lost"), F.when(F.col("attempt") < F.col("max_attempts"), J.backoff_seconds(F.col("attempt"))), NOW).where("id % 5 = 1").select("id", "status", "run_after", "last_error"), "run_after"),
+        J.failed(V.jobs(s, d), F.col("status") == "running", F.lit("lost"), F.when(F.col("attempt") < F.col("max_attempts"), J.backoff_seconds(F.col("attempt"))), NOW).select("id", "status", "run_after", "last_error"), "run_after"),
     "requeue_running": lambda s, d: J.requeued(V.jobs(s, d), F.col("status") == "running").select("id", "status", "attempt", "locked_by"),
-    "requeue_as_kind": lambda s, d: J.requeued(V.jobs(s, d), F.col("status") == "running", "analyze").where("id % 5 = 1").select("id", "kind", "status", "attempt"),
-    "complete_jobs": lambda s, d: J.completed(V.jobs(s, d), F.col("locked_by") == "w1").where("locked_by IS NULL").groupBy("status").agg(F.count("*").alias("n")),
+    "requeue_as_kind": lambda s, d: J.requeued(V.jobs(s, d), F.col("status") == "running", "analyze").select("id", "kind", "status", "attempt"),
+    "complete_jobs": lambda s, d: J.completed(V.jobs(s, d), F.col("locked_by") == "w1").select("id", "status", "locked_by", "last_error"),
     "job_outcomes": lambda s, d: V.jobs(s, d).withColumn("o", J.outcome(F.expr("CASE status WHEN 'completed' THEN 'ok' WHEN 'failed' THEN 'retryable' WHEN 'cancelled' THEN 'cancelled' ELSE 'broken' END"), F.col("attempt"), F.col("max_attempts"))).groupBy("o.job", "o.call", "o.delay").agg(F.count("*").alias("n")),
     "reprocess_fan_out": lambda s, d: C.reprocessing(V.calls(s, d)),
 }
@@ -60,7 +57,7 @@ QUERIES = {
 _LANG = "CASE WHEN count(*) > 0 THEN round(100.0 * count(*) FILTER (WHERE primary_language IN ({0})) / count(*)) ELSE 0 END"
 _HE, _RU = _LANG.format("'he','hebrew'"), _LANG.format("'ru','russian'")
 _DISPLAY = "SELECT c.id, external_id, status, primary_language, is_favorite, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM calls c LEFT JOIN transcripts t ON t.call_id = c.id"
-_FAILED = "SELECT id, CASE WHEN attempt < 3 THEN 'pending' ELSE 'failed' END AS status, strftime(CASE WHEN attempt < 3 THEN TIMESTAMP '2024-02-01' + to_seconds(5 * (2 ** least(greatest(attempt, 1), 6))::BIGINT) ELSE run_after END, '%Y-%m-%d %H:%M:%S') AS run_after, 'lost' AS last_error FROM jobs WHERE status = 'running'"
+_FAILED = "SELECT id, CASE WHEN attempt < 3 THEN 'pending' ELSE 'failed' END AS status, strftime(CASE WHEN attempt < 3 THEN TIMESTAMP '2024-02-01' + to_seconds(5 * (2 ** least(greatest(attempt, 1), 6))::BIGINT) ELSE run_after END, '%Y-%m-%d %H:%M:%S') AS run_after, 'lost' AS last_error FROM jobs WHERE status = 'running' UNION ALL SELECT id, status, strftime(run_after, '%Y-%m-%d %H:%M:%S'), last_error FROM jobs WHERE status <> 'running'"
 _RESULT = "CASE status WHEN 'completed' THEN 'ok' WHEN 'failed' THEN 'retryable' WHEN 'cancelled' THEN 'cancelled' ELSE 'broken' END"
 
 SQL = {
@@ -74,8 +71,7 @@ SQL = {
     "analytics_dashboard": sql(V.CALLS, V.ANALYSES, V.TRANSCRIPTS, "t AS (SELECT customer_intent, count(*) AS n FROM analyses WHERE customer_intent <> '' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5)", f"l AS (SELECT {_HE} AS he, {_RU} AS ru FROM transcripts)",
         body="SELECT 'hours' AS name, round(coalesce(sum(duration_ms), 0) / 3600000.0, 4)::DOUBLE AS value FROM calls UNION ALL SELECT 'completion_pct', round(100.0 * count(*) FILTER (WHERE status = 'completed') / count(*), 4) FROM calls UNION ALL SELECT 'intent:' || customer_intent, round(100.0 * n / sum(n) OVER ()) FROM t UNION ALL SELECT 'lang:he', he FROM l UNION ALL SELECT 'lang:ru', ru FROM l UNION ALL SELECT 'lang:en', 100 - he - ru FROM l"),
     "call_lookup": sql(V.CALLS, body="SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at) FROM calls WHERE id = 7"),
-    "call_by_external_id": sql(V.CALLS, body="SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at) FROM calls WHERE organization_id = 2 AND id < 50"),
-    "call_by_external_id_whole": sql(V.CALLS, body="SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at) FROM calls WHERE organization_id = 2 AND external_id = 'call-254'"),
+    "call_by_external_id": sql(V.CALLS, body="SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at) FROM calls WHERE organization_id = 2 AND external_id = 'call-254'"),
     "call_list_page": sql(V.CALLS, body="SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at) FROM (SELECT * FROM calls WHERE organization_id = 2 AND status = 'completed' AND created_at >= TIMESTAMP '1993-01-01' AND created_at <= TIMESTAMP '1997-12-31' ORDER BY is_favorite DESC, created_at DESC, id LIMIT 50 OFFSET 10)"),
     "call_list_display": sql(V.CALLS, V.TRANSCRIPTS, body=f"{_DISPLAY} WHERE status = 'completed' AND primary_language IN ('en', 'english') AND external_id LIKE '%call-1%' ORDER BY is_favorite DESC, c.created_at DESC, id LIMIT 20"),
     "call_list_any_language": sql(V.CALLS, V.TRANSCRIPTS, body=f"{_DISPLAY} ORDER BY is_favorite DESC, c.created_at DESC, id LIMIT 25 OFFSET 5"),
@@ -93,8 +89,8 @@ SQL = {
     "release_stale_locks": sql(V.JOBS, "t AS (SELECT *, status = 'running' AND locked_at <= TIMESTAMP '2024-01-14 23:00:00' AS old FROM jobs)", body="SELECT id, CASE WHEN old THEN 'pending' ELSE status END AS status, strftime(CASE WHEN old THEN TIMESTAMP '2024-01-15' ELSE run_after END, '%Y-%m-%d %H:%M:%S') AS run_after, CASE WHEN old THEN NULL ELSE locked_by END AS locked_by FROM t"),
     "retry_backoff": sql(V.JOBS, body=_FAILED),
     "requeue_running": sql(V.JOBS, body="SELECT id, CASE WHEN status = 'running' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'running' THEN greatest(attempt - 1, 0) ELSE attempt END AS attempt, CASE WHEN status = 'running' THEN NULL ELSE locked_by END AS locked_by FROM jobs"),
-    "requeue_as_kind": sql(V.JOBS, body="SELECT id, 'analyze' AS kind, 'pending' AS status, 0::BIGINT AS attempt FROM jobs WHERE status = 'running'"),
-    "complete_jobs": sql(V.JOBS, body="SELECT CASE WHEN locked_by = 'w1' THEN 'completed' ELSE status END AS status, count(*) AS n FROM jobs WHERE locked_by IS NULL OR locked_by = 'w1' GROUP BY 1"),
+    "requeue_as_kind": sql(V.JOBS, body="SELECT id, 'analyze' AS kind, 'pending' AS status, 0::BIGINT AS attempt FROM jobs WHERE status = 'running' UNION ALL SELECT id, kind, status, attempt FROM jobs WHERE status <> 'running'"),
+    "complete_jobs": sql(V.JOBS, body="SELECT id, CASE WHEN locked_by = 'w1' THEN 'completed' ELSE status END AS status, CASE WHEN locked_by = 'w1' THEN NULL ELSE locked_by END AS locked_by, CASE WHEN locked_by = 'w1' THEN NULL ELSE last_error END AS last_error FROM jobs"),
     "job_outcomes": sql(V.JOBS, f"t AS (SELECT *, {_RESULT} AS r FROM jobs)",
         body="SELECT CASE WHEN r = 'ok' THEN 'completed' WHEN r = 'cancelled' OR (r = 'retryable' AND attempt < 3) THEN 'pending' ELSE 'failed' END AS job, CASE WHEN r = 'ok' THEN 'completed' WHEN r = 'cancelled' THEN 'pending' WHEN r = 'retryable' AND attempt < 3 THEN 'processing' ELSE 'failed' END AS call, CASE WHEN r = 'retryable' AND attempt < 3 THEN (5 * 2 ** least(greatest(attempt, 1), 6))::BIGINT END AS delay, count(*) AS n FROM t GROUP BY ALL"),
     "reprocess_fan_out": sql(V.CALLS, body="SELECT id AS call_id, 'analyze' AS kind, 'pending' AS status, 0::BIGINT AS attempt FROM calls WHERE status = 'completed'"),

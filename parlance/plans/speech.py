@@ -26,7 +26,9 @@ _WORDS_SQL = "w AS (SELECT call_id, sequence * 100000 + pos AS ordinal, word, co
 def _emotions(s, d):
     t = V.table(s, d, "conversations")
     lang = F.expr("CASE turn % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ru' ELSE 'he' END")
-    shares, dominant = E.distribution({e: E.hits(F.col("text"), lang, e) for e in E.EMOTIONS})
+    # the hits in a projection of their own: each is used by every share
+    t = t.select("conv_id", "turn", *[E.hits(F.col("text"), lang, e).alias(e) for e in E.EMOTIONS])
+    shares, dominant = E.distribution({e: F.col(e) for e in E.EMOTIONS})
     return t.select(F.col("conv_id").alias("call_id"), "turn", *[F.round(c, 6).alias(e) for e, c in shares.items()], dominant.alias("dominant"))
 
 

@@ -24,9 +24,9 @@ def _whole(s, d):
     return _docs(s, d).select(F.col("doc_id").alias("call_id"), F.expr("CASE WHEN doc_id % 50 <> 0 THEN lang END").alias("primary_language"), F.coalesce("text", F.lit("")).alias("sample_text"))
 
 
-def _sample(s, d, transcripts=V.transcripts):
-    """Documents' first lines, or texts, with things to normalise."""
-    d = transcripts(s, d)
+def _sample(s, d):
+    """Documents' texts with things to normalise."""
+    d = _whole(s, d)
     t = F.expr("concat(sample_text, CASE call_id % 4 WHEN 0 THEN ' 20 dollars  and 0501234567' WHEN 1 THEN ' 5 NIS' WHEN 2 THEN ' 100 руб. ' ELSE '  ' END)")
     return d.select("call_id", "primary_language", t.alias("t"))
 
@@ -53,11 +53,6 @@ def _parsed(s, d):
     return p.select("id", "name", "p.contact", "p.phone", F.date_format("p.started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), T.mime_of(F.col("name")).alias("mime"))
 
 
-def _postings(s, d):
-    p = S.postings(V.search_documents(s, d), COLUMNS)
-    return p.groupBy("column", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos")).where("df >= 20")
-
-
 def _fold(c: str) -> str:
     return f"translate(lower({c}), '{S.MARKED}', '{S.PLAIN}')"
 
@@ -84,34 +79,27 @@ def _json_values(s, d):
 _VALUES = "vals AS (SELECT event_id AS id, CASE event_id % 8 WHEN 0 THEN 'true' WHEN 1 THEN 'Yes' WHEN 2 THEN 'no' WHEN 3 THEN '+0.75' WHEN 4 THEN '0' WHEN 5 THEN 'N/A' END AS v, json_extract_string(props, '$.k') AS k FROM events)"
 
 
-def _events(s, d, where="true"):
-    rows = V.calls(s, d).where(where).select(F.col("id").alias("call_id"), F.concat(F.lit("Call\n"), "external_id").alias("title"), F.col("status").alias("summary"), F.expr("CASE WHEN id % 2 = 0 THEN 'Room 1' END").alias("location"), F.expr("CASE WHEN id % 3 = 0 THEN created_at END").alias("start"))
+def _events(s, d):
+    rows = V.calls(s, d).select(F.col("id").alias("call_id"), F.concat(F.lit("Call\n"), "external_id").alias("title"), F.col("status").alias("summary"), F.expr("CASE WHEN id % 2 = 0 THEN 'Room 1' END").alias("location"), F.expr("CASE WHEN id % 3 = 0 THEN created_at END").alias("start"))
     return X.ics(rows, NOW)
 
 
 QUERIES = {
     "normalize_text": lambda s, d: _sample(s, d).select("call_id", T.normalised(F.col("t")).alias("text")),
-    "normalize_text_whole": lambda s, d: _sample(s, d, _whole).select("call_id", T.normalised(F.col("t")).alias("text")),
     "detect_direction": lambda s, d: _sample(s, d).select("call_id", T.direction(F.expr("CASE WHEN call_id % 10 = 0 THEN 'שלום עולם abc' ELSE t END"), F.expr("CASE WHEN call_id % 3 = 0 THEN primary_language END")).alias("direction")),
-    "detect_direction_whole": lambda s, d: _sample(s, d, _whole).select("call_id", T.direction(F.expr("CASE WHEN call_id % 10 = 0 THEN 'שלום עולם abc' ELSE t END"), F.expr("CASE WHEN call_id % 3 = 0 THEN primary_language END")).alias("direction")),
     "detect_script_language": lambda s, d: _sample(s, d).select("call_id", T.script_language(F.expr("CASE call_id % 10 WHEN 0 THEN 'שלום עולם' WHEN 1 THEN 'Привет мир' WHEN 2 THEN '12 34' ELSE t END")).alias("language")),
-    "detect_script_language_whole": lambda s, d: _sample(s, d, _whole).select("call_id", T.script_language(F.expr("CASE call_id % 10 WHEN 0 THEN 'שלום עולם' WHEN 1 THEN 'Привет мир' WHEN 2 THEN '12 34' ELSE t END")).alias("language")),
     "agent_greeting": lambda s, d: V.segments(s, d).select("call_id", "sequence", T.is_greeting(F.expr("CASE WHEN sequence % 4 = 0 THEN concat('HOW CAN I HELP ', raw_text) ELSE raw_text END")).alias("greets")),
     "parse_filename": _parsed,
-    "degenerate_text": lambda s, d: _docs(s, d).select("doc_id", T.is_degenerate(F.substring_index("text", "\n", -1)).alias("degenerate")),
-    "degenerate_text_whole": lambda s, d: _docs(s, d).select("doc_id", T.is_degenerate(F.col("text")).alias("degenerate")),
-    "foreign_script": lambda s, d: _docs(s, d).select("doc_id", T.has_foreign_script(F.expr("CASE WHEN doc_id % 5 = 0 THEN concat(substring_index(text, '\n', 1), ' 漢字漢字') ELSE text END")).alias("foreign")),
-    "foreign_script_whole": lambda s, d: _docs(s, d).select("doc_id", T.has_foreign_script(F.expr("CASE WHEN doc_id % 5 = 0 THEN concat(text, ' 漢字漢字') ELSE text END")).alias("foreign")),
+    "degenerate_text": lambda s, d: _docs(s, d).select("doc_id", T.is_degenerate(F.col("text")).alias("degenerate")),
+    "foreign_script": lambda s, d: _docs(s, d).select("doc_id", T.has_foreign_script(F.expr("CASE WHEN doc_id % 5 = 0 THEN concat(text, ' 漢字漢字') ELSE text END")).alias("foreign")),
     "heuristic_summary": lambda s, d: V.transcripts(s, d).select("call_id", T.fallback_title(F.col("primary_language")).alias("title"), F.lit(True).alias("resolved"), F.lit(0.0).alias("sentiment_score")),
     "classifier_flags": lambda s, d: V.segments(s, d).withColumn("t", F.expr("CASE WHEN sequence % 5 = 0 THEN concat(raw_text, ' Please CANCEL it') WHEN sequence % 5 = 1 THEN concat(raw_text, ' bad service') ELSE raw_text END")).select("call_id", "sequence", T.flag("cancellation", F.col("t")).alias("cancellation"), T.flag("complaint", F.col("t")).alias("complaint")),
     "vocabulary": lambda s, d: _docs(s, d).select("doc_id", F.md5(T.vocabulary(F.col("text"), {"the ": "THE ", "er": "ER", "THE ER": "x"})).alias("digest")),
     "display_strings": lambda s, d: V.segments(s, d).select("call_id", "sequence", T.speaker_label(F.col("speaker_role"), F.col("speaker_id")).alias("label"), T.mm_ss(F.col("start_ms")).alias("at"), T.clock(F.col("end_ms"), ",").alias("end"), T.age(F.floor(F.col("end_ms") / 10)).alias("age")),
-    "html_strings": lambda s, d: V.transcripts(s, d).select("call_id", T.highlighted(F.concat(F.lit("<a> & "), F.substring("sample_text", 1, 60)), "The").alias("html"), T.percent_encoded(F.concat(F.lit("a b*c~d/"), F.col("call_id").cast("string"))).alias("encoded")),
-    "html_strings_whole": lambda s, d: _whole(s, d).select("call_id", T.highlighted(F.concat(F.lit("<a> & "), "sample_text"), "The").alias("html"), T.percent_encoded(F.concat(F.lit("a b*c~d/"), F.col("call_id").cast("string"))).alias("encoded")),
+    "html_strings": lambda s, d: _whole(s, d).select("call_id", T.highlighted(F.concat(F.lit("<a> & "), "sample_text"), "The").alias("html"), T.percent_encoded(F.concat(F.lit("a b*c~d/"), F.col("call_id").cast("string"))).alias("encoded")),
     "token_estimate": lambda s, d: _docs(s, d).select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens")),
     "normal_names": lambda s, d: _docs(s, d).select("doc_id", T.language_code(F.expr("CASE doc_id % 6 WHEN 0 THEN 'Hebrew' WHEN 1 THEN 'RUS' WHEN 2 THEN 'und' WHEN 3 THEN NULL ELSE lang END")).alias("lang"), T.status_name(F.expr("CASE WHEN doc_id % 2 = 0 THEN 'Completed' ELSE 'odd' END")).alias("status"), T.role_name(F.expr("CASE WHEN doc_id % 2 = 0 THEN 'AGENT' ELSE source END")).alias("role")),
-    "fts_postings": _postings,
-    "fts_postings_whole": lambda s, d: S.postings(V.search_documents(s, d), COLUMNS),
+    "fts_postings": lambda s, d: S.postings(V.search_documents(s, d), COLUMNS),
     "fts_match": lambda s, d: S.matches(V.search_documents(s, d), QUERY, COLUMNS),
     "fts_rank_bm25": lambda s, d: S.bm25(V.search_documents(s, d), QUERY, COLUMNS).withColumn("score", F.round("score", 6)),
     "fts_snippet": lambda s, d: V.search_documents(s, d).select("call_id", S.snippet(F.col("transcript"), "thanti", 4).alias("snippet")).where("snippet IS NOT NULL AND snippet <> ''"),
@@ -130,8 +118,7 @@ QUERIES = {
     "export_full_text": lambda s, d: X.full_text(V.segments(s, d)),
     "export_json": lambda s, d: X.nested(V.segments(s, d)),
     "export_rttm": lambda s, d: X.rttm(V.turns(s, d)),
-    "export_ics": lambda s, d: _events(s, d, "id < 200"),
-    "export_ics_whole": _events,
+    "export_ics": _events,
     "rttm_parse": lambda s, d: X.parsed_rttm(X.rttm(V.turns(s, d))),
     "web_hook_payload": lambda s, d: X.web_hook(V.calls(s, d), V.analyses(s, d)).select("id", F.get_json_object("payload", "$.title").alias("title"), F.get_json_object("payload", "$.resolved").alias("resolved")),
 }
@@ -182,12 +169,12 @@ SQL = {
     "web_hook_payload": sql(V.CALLS, V.ANALYSES, body="SELECT id, title, CASE WHEN resolved THEN 'true' ELSE 'false' END AS resolved FROM calls JOIN analyses ON call_id = id"),
 }
 _FIRST, _TEXT = "string_split(coalesce(text, ''), chr(10))[1]", "coalesce(text, '')"
-#: The SQL of a query that is cut, without its cut.
+#: The queries read whole texts: their SQL over the model's first lines, with all of the text instead.
 SQL |= {
-    "export_ics_whole": SQL["export_ics"].replace(" WHERE id < 200", ""),
-    "fts_postings_whole": SQL["fts_postings"].replace('SELECT "column", term, count(DISTINCT call_id) AS df, count(*)', 'SELECT call_id, "column", term, count(*)').replace("GROUP BY 1, 2 HAVING count(DISTINCT call_id) >= 20", "GROUP BY 1, 2, 3"),
-    "degenerate_text_whole": SQL["degenerate_text"].replace("string_split(text, chr(10))[-1]", "text"),
-    "foreign_script_whole": SQL["foreign_script"].replace("string_split(text, chr(10))[1]", "text"),
-    "html_strings_whole": SQL["html_strings"].replace(_FIRST, _TEXT).replace("left(sample_text, 60)", "sample_text"),
-    **{f"{name}_whole": SQL[name].replace(_FIRST, _TEXT) for name in ("normalize_text", "detect_direction", "detect_script_language")},
+    "export_ics": SQL["export_ics"].replace(" WHERE id < 200", ""),
+    "fts_postings": SQL["fts_postings"].replace('SELECT "column", term, count(DISTINCT call_id) AS df, count(*)', 'SELECT call_id, "column", term, count(*)').replace("GROUP BY 1, 2 HAVING count(DISTINCT call_id) >= 20", "GROUP BY 1, 2, 3"),
+    "degenerate_text": SQL["degenerate_text"].replace("string_split(text, chr(10))[-1]", "text"),
+    "foreign_script": SQL["foreign_script"].replace("string_split(text, chr(10))[1]", "text"),
+    "html_strings": SQL["html_strings"].replace(_FIRST, _TEXT).replace("left(sample_text, 60)", "sample_text"),
+    **{name: SQL[name].replace(_FIRST, _TEXT) for name in ("normalize_text", "detect_direction", "detect_script_language")},
 }

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.operators import calls as C
+from parlance.operators.records import commit_analyses
 from parlance.sources import views as V
+from parlance.sources.scratch import scratch
 from parlance.sources.views import sql
 from parlance.streaming import jobs as J
 
@@ -17,10 +19,9 @@ def _upsert(s, d):
 
 
 def _analysis(s, d):
-    """Analyses replaced for some calls, whose status is then completed."""
-    done = V.analyses(s, d).where("call_id % 2 = 1").select(F.col("call_id").alias("id"))
-    c = V.calls(s, d).join(done.withColumn("done", F.lit(True)), "id", "left")
-    return c.select("id", F.when(F.col("done"), "completed").otherwise(F.col("status")).alias("status"))
+    """The calls after analyses were replaced for some of them."""
+    old = V.analyses(s, d).select("call_id", "title")
+    return commit_analyses(V.calls(s, d).select("id", "status"), old, old.where("call_id % 2 = 1"))[0]
 
 
 def _cascade(s, d):
@@ -45,21 +46,19 @@ def _created(s, d):
 
 
 def _stream_counts(s, d):
-    return J.run_to_end(J.job_counts(J.events_stream(s, d), "40 days"), "stream_job_counts", "complete").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    return J.run_to_end(J.job_counts(J.events_stream(s, d), "40 days"), scratch(s), "complete").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 def _stream_segments(s, d):
     """Words from a file stream through the stateful segmenter; the newest row of each segment counts."""
-    import tempfile
-
-    folder = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-words"
+    folder = scratch(s) + "/words"
     words = V.words(s, d).withColumn("ordinal", F.col("sequence") * 100_000 + F.col("pos")).select("call_id", "ordinal", "word", "speaker_id", "start_ms", "end_ms")
     # each call's words in order, as a recogniser sends them
-    words.repartition("call_id").sortWithinPartitions("call_id", "ordinal").write.mode("overwrite").parquet(folder)
+    words.repartition("call_id").sortWithinPartitions("call_id", "ordinal").write.parquet(folder)
     old = s.conf.get("spark.sql.streaming.stateStore.providerClass")
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = J.run_to_end(J.segments(s.readStream.schema(words.schema).parquet(folder)), "stream_segments", "update")
+        out = J.run_to_end(J.segments(s.readStream.schema(words.schema).parquet(folder)), scratch(s), "update")
     finally:
         s.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     last = out.groupBy("call_id", "sequence").agg(F.max_by(F.struct("speaker_id", "start_ms", "end_ms", "n_words", "text"), "n_words").alias("x"))

@@ -188,5 +188,46 @@ SEARCH = r"""search_documents AS (
   SELECT doc_id AS call_id, array_to_string(regexp_extract_all(text, '\S+')[1:8], ' ') AS title, text AS transcript, source AS topics, lang FROM documents)"""
 
 
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as recordings; a third have no duration yet."""
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        F.col("l_orderkey").alias("call_id"),
+        F.expr("concat('calls/', l_orderkey, '/', l_linenumber, '.wav')").alias("object_key"),
+        F.expr("CASE WHEN l_linenumber % 2 = 0 THEN 'audio/wav' ELSE 'audio/mpeg' END").alias("mime_type"),
+        F.when(F.col("l_linenumber") % 3 != 0, F.floor("l_extendedprice")).alias("duration_ms"),
+    )
+
+
+RECORDINGS = """recordings AS (
+  SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS call_id, concat('calls/', l_orderkey, '/', l_linenumber, '.wav') AS object_key,
+    CASE WHEN l_linenumber % 2 = 0 THEN 'audio/wav' ELSE 'audio/mpeg' END AS mime_type,
+    CASE WHEN l_linenumber % 3 <> 0 THEN floor(l_extendedprice)::BIGINT END AS duration_ms
+  FROM lineitem)"""
+
+
+def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as what a call's index entry is made of, with lists and missing texts."""
+    d = table(spark, sf_dir, "documents")
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    return d.select(
+        F.col("doc_id").alias("call_id"),
+        (F.col("doc_id") % 5).alias("organization_id"),
+        F.array_join(F.slice(words, 1, 8), " ").alias("title"),
+        F.array_join(F.slice(words, 9, 8), " ").alias("summary"),
+        F.col("text").alias("transcript"),
+        F.array("source", "lang").alias("topics"),
+        F.array(F.concat(F.lit("place"), (F.col("doc_id") % 20).cast("string"))).alias("entities"),
+        F.expr("CASE WHEN doc_id % 3 = 0 THEN 'Café visit' END").alias("reason"),
+        F.lit(None).cast("string").alias("resolution"),
+    )
+
+
+INDEX_ROWS = r"""index_rows AS (
+  SELECT doc_id AS call_id, array_to_string(w[1:8], ' ') AS title, array_to_string(w[9:16], ' ') AS summary, coalesce(text, '') AS transcript,
+    concat_ws(' ', source, lang) AS topics, 'place' || (doc_id % 20) AS entities, CASE WHEN doc_id % 3 = 0 THEN 'Café visit' ELSE '' END AS reason, '' AS resolution
+  FROM (SELECT *, regexp_extract_all(text, '\S+') AS w FROM documents))"""
+
+
 def sql(*views: str, body: str) -> str:
     return "WITH " + ",\n".join(views) + "\n" + body

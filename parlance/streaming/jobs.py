@@ -50,11 +50,22 @@ def segments(words: DataFrame) -> DataFrame:
     return words.groupBy("call_id").transformWithStateInPandas(Segmenter(), Segmenter.SCHEMA, "Update", "None")
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that is there, into a table in memory; for bounded inputs."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """All that is there, as a table in ``folder``; for bounded inputs.
+
+    A batch is written to a place of its own, so that one that is run again
+    replaces what it had written; in complete mode the newest batch is all.
+    """
+    spark, schema, written = stream.sparkSession, stream.schema, []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+        written.append(f"{folder}/batch-{number}")
+
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    places = sorted(set(written))
+    return spark.read.schema(schema).parquet(*(places if mode != "complete" else written[-1:])) if written else spark.createDataFrame([], schema)
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

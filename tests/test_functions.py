@@ -62,7 +62,6 @@ def test_emotions(spark):
 def test_lenient():
     assert lenient.prose(["a.", "b", "none", {"x": 1}]) == "a. b; 1"
     assert lenient.prose([]) is None
-    assert lenient.shape(json.loads('{"a": 1, "b": []}')) == "a=number b=array"
 
 
 def test_blobs():
@@ -185,3 +184,61 @@ def test_files(spark, tmp_path):
     none = spark.createDataFrame([], "external_id string")
     assert files.import_summary(found, files.new_recordings(found, none)).first().asDict() == {"found": 1, "imported": 1, "skipped": 0}
     assert files.safe_key("../a//b/..") == "a/b"
+
+
+def test_shapes(spark):
+    from parlance.functions import answers
+
+    rows = spark.createDataFrame([('{"a": 1, "b": [], "c": null, "d": {}, "e": "x", "f": true}',), ("[1]",), ("no json",), (None,)], "t string")
+    assert [r[0] for r in rows.select(answers.shape(F.col("t"))).collect()] == ["a=number b=array c=null d=object e=string f=bool", None, None, None]
+
+
+def test_accepted_answers(spark):
+    from parlance.functions import answers
+
+    rows = spark.createDataFrame([("Customer Service Call", "It was neither nor."), ("Refund", "no no no no"), (None, None), ("漢字漢字", "Fine."), ("A call", "A misunderstandings, and so on")], "t string, s string")
+    got = rows.select(answers.accepted_title(F.col("t"), F.lit("T")), answers.accepted_summary(F.col("s"), F.lit("S"))).collect()
+    assert [tuple(r) for r in got] == [("T", "S"), ("Refund", "S"), ("T", "S"), ("T", "Fine."), ("A call", "S")]
+
+
+def test_writes_that_name_no_row(spark):
+    from parlance.operators import records
+
+    calls = spark.createDataFrame([(1, "[]")], "id long, tags string")
+    voices = spark.createDataFrame([(1, 0, None)], "call_id long, speaker_id int, name string")
+    with pytest.raises(records.NotFound):
+        records.set_tags(calls, 2, ["a"])
+    with pytest.raises(records.NotFound):
+        records.name_voice(voices, 1, 1, "Ann")
+    assert records.name_voice(voices, 1, 0, "Ann").first().name == "Ann"
+
+
+def test_turns_of_regions(spark):
+    from parlance.operators import acoustics
+
+    regions = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 20, 30), (2, 0, 5, 9)], "call_id long, region int, start_ms long, end_ms long")
+    labels = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (2, 0, 3)], "call_id long, region int, label int")
+    calls = spark.createDataFrame([(1, 40), (2, 40), (3, 40)], "call_id long, duration_ms long")
+    got = acoustics.turns_of_regions(regions, labels, calls).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 0, 10), (1, 2, 20, 30), (2, 0, 5, 9), (3, 0, 0, 40)]
+
+
+def test_exemplars_in_parts(spark, monkeypatch):
+    from parlance.operators import joins
+
+    rows = spark.createDataFrame([(k, k % 2, f"n{k}" if k % 3 == 0 else None, [float(k % 5), float(k % 7), 1.0]) for k in range(40)] + [(50, 0, None, [0.0, 0.0, 0.0])], "id long, organization_id int, name string, embedding array<double>")
+    whole = joins.identified(rows.where("name IS NULL"), rows).collect()
+    monkeypatch.setattr(joins, "FEW_NUMBERS", 7)
+    assert sorted(joins.identified(rows.where("name IS NULL"), rows).collect()) == sorted(whole) and whole
+
+
+def test_index_of_hebrew_words(spark):
+    from parlance.operators import index
+
+    rows = spark.createDataFrame([(1, 1, "הפגישה מחר", None), (2, 1, "פגישה", ["a", "b"]), (3, 1, "other", [])], "call_id long, organization_id long, title string, topics array<string>")
+    rows = rows.selectExpr("*", "CAST(NULL AS string) AS summary", "'' AS transcript", "CAST(NULL AS array<string>) AS entities", "CAST(NULL AS string) AS reason", "'' AS resolution")
+    built = index.built(index.entries(rows))
+    assert sorted(r.call_id for r in built.matches("פגישה").collect()) == [1, 2]
+    assert built.matches(" ").isEmpty() and built.without(rows.where("call_id = 1")).matches("מחר").isEmpty()
+    again = built.retitled(spark.createDataFrame([(3, "פגישה"), (9, "x")], "call_id long, title string"))
+    assert sorted(r.call_id for r in again.matches("פגישה").collect()) == [1, 2, 3] and again.matches("x").isEmpty()

@@ -1,4 +1,4 @@
-"""Queries of the whole job, beside those whose SQL holds a cut."""
+"""Queries read whole tables and whole texts."""
 
 import re
 
@@ -15,11 +15,11 @@ def got(spark, name):
 
 def test_every_call_gets_its_event(spark):
     ids = spark.read.parquet(f"{SF}/orders.parquet").toPandas().o_orderkey
-    assert ids.max() >= 200 and sorted(got(spark, "export_ics_whole").call_id) == sorted(ids)
+    assert ids.max() >= 200 and sorted(got(spark, "export_ics").call_id) == sorted(ids)
 
 
 def test_a_call_beyond_the_first_fifty_is_found(spark):
-    assert list(got(spark, "call_by_external_id_whole").id) == [254]
+    assert list(got(spark, "call_by_external_id").id) == [254]
 
 
 def plain_degenerate(text):
@@ -30,19 +30,19 @@ def plain_degenerate(text):
 
 def test_whole_documents_are_judged(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    flags = {r.doc_id: r.degenerate for r in got(spark, "degenerate_text_whole").itertuples()}
+    flags = {r.doc_id: r.degenerate for r in got(spark, "degenerate_text").itertuples()}
     assert flags == {i: plain_degenerate(t) for i, t in texts.items()}
     assert any(f and not plain_degenerate(texts[i].split("\n")[-1]) for i, f in flags.items())
 
 
 def test_rare_terms_have_postings(spark):
-    p = got(spark, "fts_postings_whole")
+    p = got(spark, "fts_postings")
     df = p.groupby(["column", "term"]).call_id.nunique()
     assert df.min() == 1 and (df < 20).sum() > (df >= 20).sum()
     assert list(p.columns) == ["call_id", "column", "term", "tf", "first_pos"] and not p.duplicated(["call_id", "column", "term"]).any()
 
 
-@pytest.mark.parametrize("name, column", [("normalize_text_whole", "text"), ("html_strings_whole", "html")])
+@pytest.mark.parametrize("name, column", [("normalize_text", "text"), ("html_strings", "html")])
 def test_later_lines_are_read(spark, name, column):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     out = got(spark, name).set_index("call_id")[column]
@@ -53,6 +53,6 @@ def test_later_lines_are_read(spark, name, column):
 
 def test_phrases_follow_whole_texts(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    flags = got(spark, "foreign_script_whole").set_index("doc_id").foreign
+    flags = got(spark, "foreign_script").set_index("doc_id").foreign
     assert all(flags[i] == (i % 5 == 0 and 4 > 0.02 * (4 + sum(map(str.isalpha, t)))) for i, t in texts.items())
-    assert set(got(spark, "detect_direction_whole").direction) == {"ltr", "rtl"} and set(got(spark, "detect_script_language_whole").call_id) == set(texts)
+    assert set(got(spark, "detect_direction").direction) == {"ltr", "rtl"} and set(got(spark, "detect_script_language").call_id) == set(texts)
