@@ -193,6 +193,10 @@ SQL = {
     "der_overlap_matrix": sql(V.SEGMENTS, V.TURNS, _PAIRS, body="SELECT * FROM p"),
     "identify_speakers": sql(V.VOICE_PRINTS, f"p AS (SELECT a.id, b.id AS exemplar, b.name, {_COS} AS d FROM voice_prints a JOIN voice_prints b ON a.call_id % 5 = b.call_id % 5 AND a.id <> b.id WHERE a.name IS NULL AND b.name IS NOT NULL)", "q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, exemplar) AS r FROM p WHERE d <= 0.9)", body="SELECT id, exemplar, name, round(d, 6) AS distance FROM q WHERE r = 1"),
     "speaker_centroids": sql(V.VOICE_PRINTS, "t AS (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM voice_prints)", body="SELECT label, pos, round(avg(x), 5) AS x FROM t GROUP BY 1, 2"),
+    "absorb_small_clusters": sql(
+        V.VOICE_PRINTS, "r AS (SELECT id, id // 40 AS call_id, label, embedding, count(*) OVER (PARTITION BY id // 40, label) AS n FROM voice_prints)",
+        "m AS (SELECT call_id, label, pos, avg(x) AS x FROM (SELECT call_id, label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM r WHERE n >= 4) GROUP BY ALL)", "b AS (SELECT call_id, label, list(x ORDER BY pos) AS embedding FROM m GROUP BY ALL)",
+        f"d AS (SELECT a.id, b.label, row_number() OVER (PARTITION BY a.id ORDER BY {_COS}, b.label) AS k FROM r a JOIN b ON a.call_id = b.call_id WHERE a.n < 4)", body="SELECT r.id, r.call_id, coalesce(d.label, r.label) AS label FROM r LEFT JOIN d ON d.id = r.id AND k = 1"),
     "emotion_distribution": _emotions_sql(),
     "vad_frames": sql(_SAMPLES, _FRAMES, body="SELECT call_id, frame, round(energy, 6) AS energy, round(zcr, 6) AS zcr FROM frames"),
     "vad_regions": sql(_SAMPLES, _FRAMES, _VAD, body="SELECT call_id, region::BIGINT AS region, greatest(s - 100, 0) AS start_ms, least(e + 100, total) AS end_ms FROM r7 WHERE e - s >= 200"),

@@ -169,6 +169,11 @@ SQL = {
     "web_hook_payload": sql(V.CALLS, V.ANALYSES, body="SELECT id, title, CASE WHEN resolved THEN 'true' ELSE 'false' END AS resolved FROM calls JOIN analyses ON call_id = id"),
 }
 _FIRST, _TEXT = "string_split(coalesce(text, ''), chr(10))[1]", "coalesce(text, '')"
+_IS_HIT = "starts_with(regexp_extract(" + _fold("x") + ", '[\\p{L}\\p{N}]+'), 'thanti')"
+SQL |= {
+    "export_json": sql(V.SEGMENTS, body="SELECT call_id, to_json(list({'sequence': sequence, 'speaker_id': speaker_id, 'speaker_role': speaker_role, 'start_ms': start_ms, 'end_ms': end_ms, 'text': raw_text} ORDER BY sequence))::VARCHAR AS json FROM segments GROUP BY 1"),
+    "fts_snippet": sql(V.SEARCH, "q AS (SELECT call_id, regexp_extract_all(transcript, '\\S+') AS w FROM search_documents)", f"h AS (SELECT call_id, w, greatest(coalesce(list_position(list_transform(w, lambda x: {_IS_HIT}), true), 0) - 4, 1) AS b FROM q)", f"s AS (SELECT call_id, array_to_string(list_transform(w[b:b + 7], lambda x: CASE WHEN {_IS_HIT} THEN '<b>' || x || '</b>' ELSE x END), ' ') AS snippet FROM h)", body="SELECT * FROM s WHERE snippet <> ''"),
+}
 #: The queries read whole texts: their SQL over the model's first lines, with all of the text instead.
 SQL |= {
     "export_ics": SQL["export_ics"].replace(" WHERE id < 200", ""),
