@@ -191,6 +191,17 @@ SQL = {
     "sentiment_trajectory": sql(V.SEGMENTS, V.ANALYSES, body="SELECT call_id, sequence, start_ms, sentiment_score::DOUBLE AS sentiment_score FROM segments JOIN analyses USING (call_id)"),
     "align_words_to_turns": sql(V.SEGMENTS, V.WORDS, V.TURNS, _ALIGN, body="SELECT call_id, sequence, pos, word, turn_speaker, coalesce(overlap_ms, 0) AS overlap_ms FROM p WHERE k = 1"),
     "der_overlap_matrix": sql(V.SEGMENTS, V.TURNS, _PAIRS, body="SELECT * FROM p"),
+    "der_evaluation": sql(
+        V.SEGMENTS, V.TURNS, _PAIRS, "o AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY overlap_ms DESC, ref_speaker, hyp_speaker) AS k FROM p)",
+        """g(call_id, k, refs, hyps, ms) AS (SELECT DISTINCT call_id, 0::BIGINT, []::INTEGER[], []::INTEGER[], 0::BIGINT FROM p UNION ALL
+          SELECT g.call_id, o.k, CASE WHEN NOT list_contains(refs, ref_speaker) AND NOT list_contains(hyps, hyp_speaker) THEN list_append(refs, ref_speaker) ELSE refs END,
+            CASE WHEN NOT list_contains(refs, ref_speaker) AND NOT list_contains(hyps, hyp_speaker) THEN list_append(hyps, hyp_speaker) ELSE hyps END,
+            ms + CASE WHEN NOT list_contains(refs, ref_speaker) AND NOT list_contains(hyps, hyp_speaker) THEN overlap_ms ELSE 0 END
+          FROM g JOIN o ON o.call_id = g.call_id AND o.k = g.k + 1)""",
+        "t AS (SELECT call_id, sum(end_ms - start_ms)::BIGINT AS r FROM segments GROUP BY 1)", "h AS (SELECT call_id, sum(end_ms - start_ms)::BIGINT AS h FROM turns GROUP BY 1)",
+        "b AS (SELECT call_id, sum(overlap_ms)::BIGINT AS b FROM p GROUP BY 1)", "m AS (SELECT call_id, arg_max(ms, k) AS m FROM g GROUP BY 1)",
+        "x AS (SELECT call_id, r, greatest(r - coalesce(b, 0), 0) AS missed_ms, greatest(coalesce(h, 0) - coalesce(b, 0), 0) AS false_ms, greatest(coalesce(b, 0) - coalesce(m, 0), 0) AS confused_ms FROM t LEFT JOIN h USING (call_id) LEFT JOIN b USING (call_id) LEFT JOIN m USING (call_id))",
+        body="SELECT call_id, r AS reference_ms, missed_ms, false_ms, confused_ms, CASE WHEN r > 0 THEN round((missed_ms + false_ms + confused_ms) / r, 6) ELSE 0 END::DOUBLE AS der FROM x").replace("WITH ", "WITH RECURSIVE ", 1),
     "identify_speakers": sql(V.VOICE_PRINTS, f"p AS (SELECT a.id, b.id AS exemplar, b.name, {_COS} AS d FROM voice_prints a JOIN voice_prints b ON a.call_id % 5 = b.call_id % 5 AND a.id <> b.id WHERE a.name IS NULL AND b.name IS NOT NULL)", "q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, exemplar) AS r FROM p WHERE d <= 0.9)", body="SELECT id, exemplar, name, round(d, 6) AS distance FROM q WHERE r = 1"),
     "speaker_centroids": sql(V.VOICE_PRINTS, "t AS (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM voice_prints)", body="SELECT label, pos, round(avg(x), 5) AS x FROM t GROUP BY 1, 2"),
     "absorb_small_clusters": sql(
