@@ -219,6 +219,12 @@ SQL = {
     "language_samples": sql(V.SEGMENTS, 't AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY start_ms, end_ms) AS "window" FROM segments)', body='SELECT call_id, "window", start_ms, least(end_ms, start_ms + 15000) AS end_ms FROM t WHERE "window" <= 4'),
     "mock_transcription": sql(V.CALLS, "t AS (SELECT id AS call_id, duration_ms, CASE id % 4 WHEN 0 THEN ['שלום', 'במה', 'אפשר', 'לעזור', 'לך', 'היום'] WHEN 1 THEN ['Здравствуйте', 'у', 'меня', 'вопрос', 'по', 'заказу'] WHEN 2 THEN ['Hello', 'how', 'can', 'I', 'help', 'you', 'today'] ELSE ['sample', 'transcription', 'word', 'stream'] END AS ws FROM calls WHERE duration_ms IS NOT NULL)", "u AS (SELECT call_id, duration_ms, greatest(duration_ms // len(ws), 200) AS step, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM t)", body="SELECT call_id, pos, word, pos * step AS start_ms, least((pos + 1) * step - 50, duration_ms) AS end_ms FROM u"),
     "plugin_results": r"SELECT doc_id AS call_id, 'word_count' AS plugin, len(regexp_extract_all(text, '\S+')) AS words FROM documents",
+    "token_windows": """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+c AS (SELECT doc_id, pos, ceil((length(line) + 1) / 3)::BIGINT AS cost FROM l),
+g(doc_id, pos, used, win, cost) AS (SELECT doc_id, pos, cost, 0, cost FROM c WHERE pos = 0 UNION ALL
+  SELECT c.doc_id, c.pos, CASE WHEN used > 0 AND used + c.cost > 200 THEN c.cost ELSE used + c.cost END, win + CASE WHEN used > 0 AND used + c.cost > 200 THEN 1 ELSE 0 END, c.cost
+  FROM g JOIN c ON c.doc_id = g.doc_id AND c.pos = g.pos + 1)
+SELECT doc_id, win AS "window", count(*) AS n_lines, sum(cost)::BIGINT AS tokens, min(pos) AS first_line FROM g GROUP BY 1, 2""",
     "opening_text": sql(V.SEGMENTS, "t AS (SELECT call_id, sequence, trim(raw_text) AS t FROM segments WHERE trim(raw_text) <> '')", "b AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY call_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1, 0) AS before FROM t)", "j AS (SELECT call_id, string_agg(t, ' ' ORDER BY sequence) AS t FROM b WHERE before < 280 GROUP BY 1)", body="SELECT call_id, CASE WHEN length(t) > 280 THEN left(t, 280) || '…' ELSE t END AS opening FROM j"),
     "prompt_lines": sql(V.SEGMENTS, "t AS (SELECT call_id, sequence, '[' || sequence || '] (' || lpad((start_ms // 60000)::VARCHAR, 2, '0') || ':' || lpad((start_ms % 60000 // 1000)::VARCHAR, 2, '0') || ') Speaker ' || CASE speaker_role WHEN 'agent' THEN 1 WHEN 'customer' THEN 2 WHEN 'supervisor' THEN 3 ELSE speaker_id + 1 END || ': ' || raw_text AS line FROM segments)", body="SELECT *, ceil(length(line) / 3)::BIGINT AS tokens FROM t"),
 }
