@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,27 +144,35 @@ def speaker_metadata(segments: DataFrame) -> DataFrame:
     )
 
 
+def window_numbers(costs: Iterable[int], budget: int) -> list[int]:
+    """The window of each line, lines packed one after the other into windows of ``budget``; a larger line is alone."""
+    window = used = 0
+    out = []
+    for cost in costs:
+        if used and used + cost > budget:
+            window, used = window + 1, 0
+        used += cost
+        out.append(window)
+    return out
+
+
 def packed_lines(rows: DataFrame, key: str, text: str, budget: int) -> DataFrame:
     """Lines packed one after the other into windows of ``budget`` estimated tokens; a larger line is alone.
 
     One pass over each text's lines with the window's fill as state: a window
-    can't start anew from what a running sum knows.
+    can't start anew from what a running sum knows, and a fold that appends to
+    an array would take time with the square of the lines.
     """
-    cost = lambda line: F.ceil((F.length(line) + 1) / 3)
 
-    def step(acc: Column, line: Column) -> Column:
-        over = (acc["used"] > 0) & (acc["used"] + cost(line) > budget)
-        return F.struct(
-            F.when(over, cost(line)).otherwise(acc["used"] + cost(line)).alias("used"),
-            (acc["window"] + F.when(over, 1).otherwise(0)).alias("window"),
-            F.concat(acc["out"], F.array(acc["window"] + F.when(over, 1).otherwise(0))).alias("out"),
-        )
+    @F.pandas_udf("array<int>")
+    def windows(costs: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else window_numbers(c, budget) for c in costs])
 
     lines = F.split(text, "\n", -1)
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("window"), F.array().cast("array<int>").alias("out"))
-    at = F.aggregate(lines, start, step, lambda acc: acc["out"])
-    pairs = rows.select(key, F.posexplode(F.arrays_zip(lines.alias("line"), at.alias("window"))).alias("pos", "x"))
-    return pairs.groupBy(key, F.col("x.window").alias("window")).agg(F.count("*").alias("n_lines"), F.sum(cost(F.col("x.line"))).cast("bigint").alias("tokens"), F.min("pos").alias("first_line"))
+    costs = F.transform(lines, lambda line: F.ceil((F.length(line) + 1) / 3).cast("bigint"))
+    parts = rows.select(key, costs.alias("costs")).withColumn("at", windows("costs"))
+    pairs = parts.select(key, F.posexplode(F.arrays_zip("costs", "at")).alias("pos", "x"))
+    return pairs.groupBy(key, F.col("x.at").alias("window")).agg(F.count("*").alias("n_lines"), F.sum("x.costs").alias("tokens"), F.min("pos").alias("first_line"))
 
 
 def opening(segments: DataFrame, limit: int = 280) -> DataFrame:

@@ -87,6 +87,18 @@ def nested(segments: DataFrame) -> DataFrame:
     return segments.groupBy("call_id").agg(F.to_json(F.array_sort(F.collect_list(seg))).alias("json"))
 
 
+def with_words(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """Segments with their words as an array of structs, in order; a segment without words has none."""
+    word = F.struct("pos", "word", "start_ms", "end_ms")
+    own = words.groupBy("call_id", "sequence").agg(F.array_sort(F.collect_list(word)).alias("words"))
+    return segments.join(own, ["call_id", "sequence"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<struct<pos:int,word:string,start_ms:bigint,end_ms:bigint>>")))
+
+
+def words_of(segments: DataFrame) -> DataFrame:
+    """The rows that ``with_words`` put together."""
+    return segments.select("call_id", "sequence", F.inline("words"))
+
+
 def web_hook(calls: DataFrame, analyses: DataFrame) -> DataFrame:
     """What a web hook is sent: no phone numbers."""
     rows = calls.join(analyses.withColumnRenamed("call_id", "id"), "id")

@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOCK_SECONDS = 3600
+#: How often old locks are looked for.
+REAP_SECONDS = 60
+
+
+def heartbeat_seconds(lock_seconds: int = LOCK_SECONDS) -> int:
+    """How often a lock is renewed: three times before it is old, every five seconds at most."""
+    return max(lock_seconds // 3, 5)
 
 
 def at(now: str) -> Column:

@@ -192,3 +192,11 @@ def window_embeddings(audio: DataFrame, key: str, samples: str) -> DataFrame:
         return x.map(lambda v: voice_embedding(np.asarray(v)).tolist())
 
     return audio.select(key, embed(F.col(samples)).alias("embedding"))
+
+
+def padded_chunks(rows: DataFrame, samples: str, length: int) -> DataFrame:
+    """Signals (call_id and an array of samples) in chunks of ``length``, the last one filled up with zeros; ``real`` says how many are none of these."""
+    n = F.size(samples)
+    starts = F.sequence(F.lit(1), n, F.lit(length))
+    cut = rows.where(n > 0).select("call_id", F.posexplode(F.transform(starts, lambda i: F.slice(samples, i, length))).alias("chunk", "own"))
+    return cut.select("call_id", "chunk", F.concat("own", F.array_repeat(F.lit(0.0), length - F.size("own"))).alias("samples"), F.size("own").alias("real"))
