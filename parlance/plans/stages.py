@@ -65,7 +65,7 @@ QUERIES = {
     "classifiers": lambda s, d: S.classified(V.segments(s, d).select("call_id", F.expr("CASE sequence % 5 WHEN 0 THEN raw_text || ' I want to Cancel' WHEN 1 THEN raw_text || ' BAD service' ELSE raw_text END").alias("text")), CLASSIFIERS).groupBy("call_id", "classifier").agg(F.count_if("value").alias("n"), F.count("*").alias("asked")),
     "analysis_or_fallback": lambda s, d: S.analysed(_answers(s, d), _short(s, d), V.transcripts(s, d)),
     "compressed_prompts": lambda s, d: S.compressed(V.table(s, d, "documents").select(F.col("doc_id").alias("call_id"), "text"), 120, FirstWords()),
-    "transcript_words": lambda s, d: X.words_of(X.with_words(V.segments(s, d), V.words(s, d))),
+    "transcript_words": lambda s, d: X.words_of(X.with_words(V.segments(s, d), V.words(s, d))).withColumn("pos", F.col("pos").cast("bigint")),
     "call_list_dates": _dated,
     "turns_of_regions": lambda s, d: K.turns_of_regions(
         V.segments(s, d).select("call_id", F.col("sequence").alias("region"), "start_ms", "end_ms"), V.segments(s, d).where("sequence % 2 = 0").select("call_id", F.col("sequence").alias("region"), F.col("speaker_id").alias("label")),
