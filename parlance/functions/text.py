@@ -28,7 +28,10 @@ FLAGS = {
 PROCLITICS = ("ה", "ו", "ב", "ל", "מ", "כ", "ש")
 #: Hebrew and Arabic blocks, Cyrillic blocks, and all alphabets that transcripts are written in.
 RTL = "\\u0590-\\u05FF\\uFB1D-\\uFB4F\\u0600-\\u06FF\\u0750-\\u077F\\uFB50-\\uFDFF\\uFE70-\\uFEFF"
+HEBREW, ARABIC = "\\u0590-\\u05FF\\uFB1D-\\uFB4F", "\\u0600-\\u06FF\\u0750-\\u077F\\uFB50-\\uFDFF\\uFE70-\\uFEFF"
 CYRILLIC = "\\u0400-\\u052F"
+#: Letters of the Arabic script that Persian and Urdu have and Arabic hasn't.
+NOT_ARABIC = "\\u0679\\u067E\\u0686\\u0688\\u0691\\u0698\\u06A9\\u06AF\\u06BA\\u06BE\\u06C1\\u06CC\\u06D2"
 EXPECTED = "A-Za-z\\u00C0-\\u024F\\u0400-\\u052F\\u0590-\\u05FF\\u0600-\\u06FF\\u0750-\\u077F"
 #: White space as Unicode has it.
 BLANK = r"(?U)\s+"
@@ -75,9 +78,11 @@ def direction(c: Column, lang: Column) -> Column:
 
 
 def script_language(c: Column) -> Column:
-    """he, ru, en or unknown by the script with the most letters."""
+    """ar, he, ru, en or unknown by the script with the most letters; the Arabic script is ar without letters that only others have, else he."""
     h, r, e = count_of(c, RTL), count_of(c, CYRILLIC), count_of(c, "A-Za-z")
-    return F.when((h > r) & (h > e), "he").when((r > h) & (r > e), "ru").when(e > 0, "en").otherwise("unknown")
+    a = count_of(c, ARABIC)
+    arabic = (a > count_of(c, HEBREW)) & (a > r) & (a > e) & (count_of(c, NOT_ARABIC) == 0)
+    return F.when(arabic, "ar").when((h > r) & (h > e), "he").when((r > h) & (r > e), "ru").when(e > 0, "en").otherwise("unknown")
 
 
 def is_greeting(c: Column) -> Column:

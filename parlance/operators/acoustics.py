@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators import clustering
+from parlance.operators.conversation import diarized
 from parlance.operators.joins import aligned
 from parlance.operators.signal import upper_median
 
@@ -66,6 +68,22 @@ def turns_of_regions(regions: DataFrame, labels: DataFrame, calls: DataFrame) ->
     return spoken.unionByName(silent)
 
 
+def clustered_turns(regions: DataFrame, windows: DataFrame, hints: DataFrame, most: int = 4) -> DataFrame:
+    """Turns by clustering a call's windows into as many speakers as ``hints`` (call_id, speakers) say, 2 without, 1 to ``most``.
+
+    ``windows`` (call_id, id, window_start, window_end, embedding) lie over the
+    regions, ids in order of time. A call with one region, or for one speaker,
+    keeps its regions as turns of speaker 0; a call without regions has none.
+    """
+    calls = regions.groupBy("call_id").agg(F.count("*").alias("n")).join(hints.select("call_id", "speakers"), "call_id", "left")
+    calls = calls.select("call_id", "n", speakers_wanted(F.col("speakers"), F.lit(None), F.lit(most)).alias("k"))
+    alone = (F.col("n") == 1) | (F.col("k") == 1)
+    kept = regions.join(calls.where(alone).select("call_id"), "call_id", "left_semi").select("call_id", F.lit(0).alias("speaker_id"), "start_ms", "end_ms")
+    rows = windows.join(calls.where(~alone).select("call_id", "k"), "call_id")
+    labels = clustering.by_call(rows, "call_id", lambda x, k: clustering.clustered(x, None, int(k)), given="k")
+    return kept.unionByName(diarized(rows, labels).select("call_id", "speaker_id", "start_ms", "end_ms"))
+
+
 def real_time_factors(runs: DataFrame) -> DataFrame:
     """Runs, audio and time taken for each engine, as a share of the audio."""
     rows = runs.groupBy("engine").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("audio_ms"), F.sum("took_ms").alias("took_ms"))

@@ -105,12 +105,15 @@ def speaker_count(x: np.ndarray, threshold: float = 0.5, least: int = 12) -> int
     return max(1, min(eigengap(x), large or 1))
 
 
-def by_call(rows: DataFrame, key: str, fit: Callable[[np.ndarray], list[int]], order: str = "id") -> DataFrame:
-    """A label for each row, clustered within its call; a call's windows are the unit and bounded by its length."""
+def by_call(rows: DataFrame, key: str, fit: Callable[..., list[int]], order: str = "id", given: str | None = None) -> DataFrame:
+    """A label for each row, clustered within its call; a call's windows are the unit and bounded by its length.
+
+    ``fit`` takes a call's vectors, and the call's value of column ``given`` if one is named.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "cluster": fit(np.array(pdf["embedding"].tolist(), np.float64))})
+        return pd.DataFrame({key: pdf[key], order: pdf[order], "cluster": fit(np.array(pdf["embedding"].tolist(), np.float64), *([pdf[given].iloc[0]] if given else []))})
 
     kind = dict(rows.dtypes)
-    return rows.select(key, order, "embedding").groupBy(key).applyInPandas(run, f"{key} {kind[key]}, {order} {kind[order]}, cluster int")
+    return rows.select(key, order, "embedding", *([given] if given else [])).groupBy(key).applyInPandas(run, f"{key} {kind[key]}, {order} {kind[order]}, cluster int")

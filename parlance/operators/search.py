@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,18 @@ from parlance.functions.text import query_terms
 
 K1, B = 1.2, 0.75
 WORD = r"[\p{L}\p{N}]+"
-#: Letters with marks and what they are without.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _letters_with_marks() -> dict[str, str]:
+    """Lower-case letters that are a Latin one with marks, and that letter; letters of other scripts keep theirs."""
+    bases = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, range(0xC0, 0x1F00)) if c == c.lower()}
+    return {c: b for c, b in bases.items() if "a" <= b <= "z" and b != c}
+
+
+#: Letters with marks and what they are without; marks that stand alone have no counterpart and go.
+MARKED = "".join(_letters_with_marks()) + "".join(map(chr, range(0x300, 0x370)))
+PLAIN = "".join(_letters_with_marks().values())
+_FOLD = str.maketrans(MARKED[: len(PLAIN)], PLAIN, MARKED[len(PLAIN) :])
 
 
 def folded(c: Column) -> Column:
@@ -31,11 +42,9 @@ def postings(docs: DataFrame, columns: tuple[str, ...], key: str = "call_id") ->
 
 
 def _prefixes(query: str) -> list[str]:
-    import unicodedata
-
     out = []
     for t in query_terms(query):
-        plain = "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c))
+        plain = t.lower().translate(_FOLD)  # as ``folded`` does with texts
         out += [plain] if plain and plain not in out else []
     return out
 

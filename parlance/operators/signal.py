@@ -85,6 +85,17 @@ def channel(samples: Column, channels: int, which: int) -> Column:
     return F.filter(samples, lambda x, i: i % channels == which)
 
 
+def time_slice(samples: Column, rate: int, channels: int, start_ms: Column, end_ms: Column) -> Column:
+    """The interleaved samples from ``start_ms`` to ``end_ms``, cut at the end; none where these don't follow one another."""
+    at = lambda ms: F.least(F.floor(ms * rate / 1000) * channels, F.size(samples)).cast("int")
+    return F.when((start_ms >= 0) & (start_ms < end_ms), F.slice(samples, at(start_ms) + 1, at(end_ms) - at(start_ms))).otherwise(F.slice(samples, 1, 0))
+
+
+def duration_ms(samples: Column, rate: int, channels: int) -> Column:
+    """How long interleaved samples last, in whole milliseconds."""
+    return F.floor(F.floor(F.size(samples) / channels) * 1000 / rate)
+
+
 def active_speakers(scores: Column) -> Column:
     """The speakers of the largest of seven classes (none, one of three, two of three); the last of equals."""
     classes = F.array(*[F.array(*[F.lit(s) for s in c]).cast("array<int>") for c in ((), (0,), (1,), (2,), (0, 1), (0, 2), (1, 2))])

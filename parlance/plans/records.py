@@ -12,6 +12,7 @@ from parlance.operators import acoustics as K
 from parlance.operators import index as I
 from parlance.operators import plugins, queue
 from parlance.operators import records as R
+from parlance.operators.search import MARKED, PLAIN
 from parlance.sources import views as V
 from parlance.sources.scratch import scratch
 from parlance.sources.views import NOW, sql
@@ -144,7 +145,7 @@ QUERIES = {
     "entity_icons": lambda s, d: V.table(s, d, "documents").select(F.col("doc_id").alias("call_id"), K.icon(F.expr("CASE doc_id % 6 WHEN 0 THEN 'Location' WHEN 1 THEN 'PERSON' WHEN 2 THEN 'phone number' WHEN 3 THEN 'Date' WHEN 4 THEN 'amount' ELSE source END")).alias("icon")),
 }
 
-_T = "list_transform(regexp_extract_all(translate(lower({0}), '" + "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ" + "', '" + "aaaaaaceeeeiiiinooooouuuuyy" + "'), '[\\p{{L}}\\p{{N}}]+'), lambda x: x)"
+_T = "list_transform(regexp_extract_all(translate(lower({0}), '" + MARKED + "', '" + PLAIN + "'), '[\\p{{L}}\\p{{N}}]+'), lambda x: x)"
 
 
 def _flat(rows: str) -> str:

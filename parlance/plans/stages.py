@@ -59,7 +59,18 @@ class FirstWords:
         return prompt[:60]
 
 
+def _clustered(s, d):
+    """Voice prints as windows of 800 ms every 400, forty to a call, whose regions are the tens of them."""
+    div = lambda n: F.call_function("div", F.col("id"), F.lit(n).cast("bigint"))
+    windows = V.voice_prints(s, d).select(div(40).alias("call_id"), "id", ((F.col("id") % 40) * 400).alias("window_start"), ((F.col("id") % 40) * 400 + 800).alias("window_end"), "embedding")
+    regions = windows.groupBy("call_id", div(10).alias("region")).agg(F.min("window_start").alias("start_ms"), F.max("window_end").alias("end_ms"))
+    hints = windows.select("call_id", F.when(F.col("call_id") % 4 != 0, F.col("call_id") % 4).alias("speakers")).distinct()
+    return K.clustered_turns(regions.where("call_id % 5 <> 0 OR region % 4 = 0"), windows, hints)
+
+
 QUERIES = {
+    "clustered_turns": _clustered,
+    "time_slices": lambda s, d: V.voice_prints(s, d).select("id", G.time_slice(F.col("embedding"), 4000, 2, F.col("id") % 7, F.col("id") % 5 + 2).alias("x"), G.duration_ms(F.col("embedding"), 2000, 2).alias("ms")).select("id", "ms", F.size("x").cast("bigint").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 5).alias("total")),
     "next_stages": _stages,
     "plugin_jobs": lambda s, d: S.plugin_jobs(V.calls(s, d).where("status = 'completed'"), V.jobs(s, d), KINDS, NOW).groupBy("call_id", "kind").agg(F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("new")),
     "classifiers": lambda s, d: S.classified(V.segments(s, d).select("call_id", F.expr("CASE sequence % 5 WHEN 0 THEN raw_text || ' I want to Cancel' WHEN 1 THEN raw_text || ' BAD service' ELSE raw_text END").alias("text")), CLASSIFIERS).groupBy("call_id", "classifier").agg(F.count_if("value").alias("n"), F.count("*").alias("asked")),
@@ -83,6 +94,7 @@ def _flag(name: str) -> str:
 _ASKED = "SELECT call_id, '{0}' AS classifier, count(*) FILTER (WHERE {1}) AS n, count(*) AS asked FROM q GROUP BY 1"
 
 SQL = {
+    "time_slices": sql(V.VOICE_PRINTS, "b AS (SELECT id, embedding, len(embedding) AS m, id % 7 * 8 AS lo, (id % 5 + 2) * 8 AS hi FROM voice_prints)", "c AS (SELECT *, CASE WHEN lo < hi THEN embedding[least(lo, m) + 1:least(hi, m)] ELSE [] END AS x FROM b)", body="SELECT id, (m // 2 * 1000 // 2000)::BIGINT AS ms, len(x) AS n, round(coalesce(list_sum(x), 0), 5)::DOUBLE AS total FROM c"),
     "next_stages": sql(
         V.CALLS, V.RECORDINGS, f"j AS (SELECT event_id AS id, CASE WHEN event_id % 6 = 2 THEN event_id ELSE {_CALL} END AS call_id, {_KIND} AS kind, event_id % 6 = 0 AS forced FROM events)",
         "e AS (SELECT *, CASE WHEN call_id IS NULL THEN 'no call id' WHEN call_id NOT IN (SELECT id FROM calls) THEN 'call not found' WHEN call_id % 5 = 0 OR call_id NOT IN (SELECT call_id FROM recordings) THEN 'no recording' END AS error FROM j)",

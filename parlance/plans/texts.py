@@ -87,7 +87,7 @@ def _events(s, d):
 QUERIES = {
     "normalize_text": lambda s, d: _sample(s, d).select("call_id", T.normalised(F.col("t")).alias("text")),
     "detect_direction": lambda s, d: _sample(s, d).select("call_id", T.direction(F.expr("CASE WHEN call_id % 10 = 0 THEN 'שלום עולם abc' ELSE t END"), F.expr("CASE WHEN call_id % 3 = 0 THEN primary_language END")).alias("direction")),
-    "detect_script_language": lambda s, d: _sample(s, d).select("call_id", T.script_language(F.expr("CASE call_id % 10 WHEN 0 THEN 'שלום עולם' WHEN 1 THEN 'Привет мир' WHEN 2 THEN '12 34' ELSE t END")).alias("language")),
+    "detect_script_language": lambda s, d: _sample(s, d).select("call_id", T.script_language(F.expr("CASE call_id % 10 WHEN 0 THEN 'שלום עולם' WHEN 1 THEN 'Привет мир' WHEN 2 THEN '12 34' WHEN 3 THEN 'مرحبا بالعالم' WHEN 4 THEN 'سلام چطوری' ELSE t END")).alias("language")),
     "agent_greeting": lambda s, d: V.segments(s, d).select("call_id", "sequence", T.is_greeting(F.expr("CASE WHEN sequence % 4 = 0 THEN concat('HOW CAN I HELP ', raw_text) ELSE raw_text END")).alias("greets")),
     "parse_filename": _parsed,
     "degenerate_text": lambda s, d: _docs(s, d).select("doc_id", T.is_degenerate(F.col("text")).alias("degenerate")),
@@ -135,7 +135,7 @@ def _flag(name: str) -> str:
 SQL = {
     "normalize_text": sql(V.TRANSCRIPTS, _SAMPLE, "q AS (SELECT call_id, array_to_string(regexp_extract_all(t, '\\S+'), ' ') AS t FROM sample)", "c AS (SELECT call_id, regexp_extract_all(" + _replaced("t") + ", '\\S+') AS w FROM q)", body="SELECT call_id, array_to_string(list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '05[0-9]{8}') THEN x[1:3] || '-' || x[4:6] || '-' || x[7:10] ELSE x END), ' ') AS text FROM c"),
     "detect_direction": sql(V.TRANSCRIPTS, _SAMPLE, body="SELECT call_id, CASE WHEN call_id % 3 = 0 AND primary_language IN ('en', 'ru') THEN 'ltr' WHEN call_id % 10 = 0 THEN 'rtl' ELSE 'ltr' END AS direction FROM sample"),
-    "detect_script_language": sql(V.TRANSCRIPTS, _SAMPLE, body="SELECT call_id, CASE call_id % 10 WHEN 0 THEN 'he' WHEN 1 THEN 'ru' WHEN 2 THEN 'unknown' ELSE CASE WHEN len(regexp_extract_all(t, '[Ѐ-ԯ]')) > len(regexp_extract_all(t, '[A-Za-z]')) THEN 'ru' WHEN regexp_matches(t, '[A-Za-z]') THEN 'en' ELSE 'unknown' END END AS language FROM sample"),
+    "detect_script_language": sql(V.TRANSCRIPTS, _SAMPLE, body="SELECT call_id, CASE call_id % 10 WHEN 0 THEN 'he' WHEN 1 THEN 'ru' WHEN 2 THEN 'unknown' WHEN 3 THEN 'ar' WHEN 4 THEN 'he' ELSE CASE WHEN len(regexp_extract_all(t, '[Ѐ-ԯ]')) > len(regexp_extract_all(t, '[A-Za-z]')) THEN 'ru' WHEN regexp_matches(t, '[A-Za-z]') THEN 'en' ELSE 'unknown' END END AS language FROM sample"),
     "agent_greeting": sql(V.SEGMENTS, "q AS (SELECT call_id, sequence, CASE WHEN sequence % 4 = 0 THEN 'HOW CAN I HELP ' || raw_text ELSE raw_text END AS t FROM segments)", body=f"SELECT call_id, sequence, {_GREET} AS greets FROM q"),
     "parse_filename": sql(V.CALLS, _NAMES, body="SELECT id, name, CASE id % 5 WHEN 0 THEN 'Ann B' WHEN 2 THEN 'note_' || id || '.v2' WHEN 3 THEN 'a_b_241301_101010' END AS contact, CASE id % 5 WHEN 1 THEN '+97250000' || CASE WHEN id < 10000 THEN lpad(id::VARCHAR, 4, '0') ELSE left(id::VARCHAR, 4) END WHEN 4 THEN '12' || (id % 10) END AS phone, CASE id % 5 WHEN 0 THEN '2024-01-0' || (id % 9 + 1) || ' 1' || substr(lpad((id % 60)::VARCHAR, 2, '0'), 1, 1) || ':' || substr(lpad((id % 60)::VARCHAR, 2, '0'), 2, 1) || '2:30' WHEN 1 THEN '2024-01-31 23:59:59' END AS started_at, CASE id % 5 WHEN 0 THEN 'audio/mp4' WHEN 1 THEN 'audio/wav' WHEN 2 THEN 'audio/mpeg' WHEN 3 THEN 'audio/ogg' ELSE 'audio/aac' END AS mime FROM names"),
     "degenerate_text": r"WITH w AS (SELECT doc_id, regexp_extract_all(string_split(text, chr(10))[-1], '\S+') AS w FROM documents) SELECT doc_id, len(w) >= 4 AND 3 * len(list_distinct(list_transform(w, lambda x: lower(regexp_replace(x, '^[^\p{L}\p{M}\p{Nd}]+|[^\p{L}\p{M}\p{Nd}]+$', '', 'g'))))) <= len(w) AS degenerate FROM w",

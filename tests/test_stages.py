@@ -81,3 +81,49 @@ def test_a_second_fan_out_adds_nothing(spark):
 
 def test_heartbeat():
     assert [queue.heartbeat_seconds(x) for x in (3600, 9, 16)] == [1200, 5, 5]
+
+
+def test_clustered_turns(spark):
+    """A hint of speakers, the default of two, one region, one speaker."""
+    import numpy as np
+
+    from parlance.operators import acoustics, clustering
+
+    rng = np.random.default_rng(3)
+    x = {call: [(np.eye(8)[rng.integers(0, 3)] + 0.05 * rng.random(8)).tolist() for _ in range(12)] for call in (1, 2, 3, 4)}
+    rows = [(call, i, 400 * i, 400 * i + 800, v) for call, vs in x.items() for i, v in enumerate(vs)]
+    windows = spark.createDataFrame(rows, "call_id bigint, id bigint, window_start bigint, window_end bigint, embedding array<double>")
+    regions = spark.createDataFrame([(c, 2600 * k, 2600 * k + 2400) for c in (1, 2, 3) for k in (0, 1)] + [(4, 0, 5200)], "call_id bigint, start_ms bigint, end_ms bigint")
+    hints = spark.createDataFrame([(1, 9), (3, 1), (4, 3)], "call_id bigint, speakers int")
+    got: dict = {}
+    for r in sorted(acoustics.clustered_turns(regions, windows, hints).collect(), key=lambda r: (r.call_id, r.start_ms)):
+        got.setdefault(r.call_id, []).append((r.speaker_id, r.start_ms, r.end_ms))
+    want = {3: [(0, 0, 2400), (0, 2600, 5000)], 4: [(0, 0, 5200)]}
+    for call, k in ((1, 4), (2, 2)):
+        turns: list = []
+        for i, c in enumerate(clustering.clustered(np.array(x[call]), None, k)):
+            if turns and turns[-1][0] == c:
+                turns[-1] = (c, turns[-1][1], 400 * i + 800)
+            else:
+                turns.append((c, 400 * i, 400 * i + 800))
+        want[call] = turns
+    assert got == want
+
+
+@pytest.mark.parametrize("text, language", [("مرحبا بالعالم", "ar"), ("سلام چطوری", "he"), ("שלום", "he"), ("Bonjour à tous", "en"), ("مرحبا hello hello", "en"), ("", "unknown")])
+def test_language_by_script(spark, text, language):
+    from pyspark.sql import functions as F
+
+    from parlance.functions.text import script_language
+
+    assert spark.createDataFrame([(text,)], "t string").select(script_language(F.col("t"))).first()[0] == language
+
+
+def test_marks_are_folded_alike_in_texts_and_queries(spark):
+    from parlance.operators import search
+
+    words = ["Ångström", "naïve", "Việt", "мой", "cafe\u0301", "ŻÓŁĆ", "שלום"]
+    rows = spark.createDataFrame(list(enumerate(words)), "call_id bigint, t string")
+    assert [r.x for r in rows.orderBy("call_id").select(search.folded(rows.t).alias("x")).collect()] == ["angstrom", "naive", "viet", "мой", "cafe", "zołc", "שלום"]
+    for i, w in enumerate(words):
+        assert [r.call_id for r in search.matches(rows, w, ("t",)).collect()] == [i]
