@@ -5,6 +5,7 @@ from __future__ import annotations
 from .licences import op1_licence_scan
 from .linededup import OP4_SQL, op4_line_dedup
 from .media import op6_media_columns
+from .merkle import OP13_SQL, op13_merkle_manifest
 from .minhash import OP5_SQL, op5_minhash_dedup
 from .mixing import OP2_SQL, op2_mix_sources
 from .order import op9_training_order
@@ -15,8 +16,8 @@ from .sharding import OP10_SQL, op10_stratified_shards
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_licence_scan, op2_mix_sources, op3_pii_pseudonyms, op4_line_dedup, op5_minhash_dedup, op6_media_columns, op7_sentencepiece, op8_quality_rules, op9_training_order, op10_stratified_shards)
+    for f in (op1_licence_scan, op2_mix_sources, op3_pii_pseudonyms, op4_line_dedup, op5_minhash_dedup, op6_media_columns, op7_sentencepiece, op8_quality_rules, op9_training_order, op10_stratified_shards, op13_merkle_manifest)
 }
 #: Not in SQL: a trained model (1), keyed permutations inside texts (3), stored
 #: bytes (6, 9), a lattice search (7). Tests hold each of these against brute force.
-SQL = {"op2_mix_sources": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_minhash_dedup": OP5_SQL, "op8_quality_rules": OP8_SQL, "op10_stratified_shards": OP10_SQL}
+SQL = {"op2_mix_sources": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_minhash_dedup": OP5_SQL, "op8_quality_rules": OP8_SQL, "op10_stratified_shards": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
