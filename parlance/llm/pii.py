@@ -8,10 +8,39 @@ from pyspark.sql import functions as F
 from .common import feistel, feistel_pair, fresh, permuted
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: A digit with what may stand before it in a phone number: one separator, or a bracket with one.
-_NEXT = r"(?:[ ./\u00a0\u202f-]|[ -]?\(|\)[ -]?\(?)?[0-9]"
-#: Where all numbers of a country are of one length, what follows them is none of theirs.
-_CLOSED = rf"(?:1|7|91)(?:{_NEXT}){{10}}|(?:33|34|41|48|351|420)(?:{_NEXT}){{9}}|(?:45|47)(?:{_NEXT}){{8}}"
+#: Blanks in a number, and a digit with what may stand before it: one separator, or a bracket with one.
+_BLANK = r"   "
+_NEXT = rf"(?:[{_BLANK}./-]|[ -]?\(|\)[ -]?\(?)?[0-9]"
+#: The same where a blank only stands before three digits at least: a shorter number behind a blank is another one.
+_GROUP = rf"(?:[./-]|[{_BLANK}](?=[0-9]{{3}})|[ -]?\(|\)[ -]?\(?)?[0-9]"
+#: The usual digits behind a country code, for codes where one length is usual.
+USUAL = {
+    11: "55 86",
+    10: "1 7 20 30 44 52 57 58 63 81 82 90 91 92 98 234 880 964 977",
+    9: "27 33 34 40 41 48 51 56 61 93 94 212 213 254 255 256 351 355 375 380 420 421 593 595 886 966 971 972 992 994 995 996 998",
+    8: "45 47 53 65 216 370 371 373 502 503 504 505 506 507 852 853 965 968 973 974",
+}
+#: The most digits behind other codes; 10 behind those of three digits that aren't named.
+MOST = {12: "43 62", 11: "39 49 54", 10: "60 64 84 95", 9: "31 32 36 46 66"}
+
+
+def _phone_forms() -> str:
+    """A plus and a country's number, in the order of trials: the usual length in any grouping; groups of which a
+    blank begins none of under three digits, if not two pairs follow; any grouping up to the most digits; digits alone.
+    """
+    named = [(n, codes.split()) for n, codes in USUAL.items()]
+    every = named + [(n, codes.split()) for n, codes in MOST.items()]
+    known = [c for _, codes in every for c in codes]
+    rest = "(?!" + "|".join(c for c in known if len(c) == 3) + ")[2-9][0-9]{2}"
+    zero = r"(?:[ -]?\(0\))?"
+    groups = [(n, "|".join(codes)) for n, codes in every] + [(10, rest)]
+    forms = [rf"\+(?:{'|'.join(codes)}){zero}(?:{_NEXT}){{{n}}}(?![0-9])" for n, codes in named]
+    pairs = rf"[{_BLANK}-][0-9]{{2}}[{_BLANK}-][0-9]{{2}}(?![0-9])"
+    forms += [rf"\+(?:{codes}){zero}{_NEXT}(?:{_GROUP}){{6,{n - 1}}}(?![0-9]|{pairs})" for n, codes in groups]
+    forms += [rf"\+(?=(?:{_NEXT}){{7}})(?:{codes}){zero}(?:{_NEXT}){{4,{n}}}(?![0-9])" for n, codes in groups]
+    return r"(?<![0-9+])(?:" + "|".join(forms) + r"|\+[0-9]{7,15}(?![0-9]))"
+
+
 #: The country codes of E.164: those of one and two digits, and three digits for all others.
 COUNTRY = "[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
 _HEX = "[0-9A-Fa-f]{1,4}"
@@ -26,8 +55,8 @@ FORMS = {
     "token": r"(?<![0-9A-Za-z_-])(?:" + "|".join(k + v for k, v in TOKENS.items()) + r")(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ipv6": rf"(?<![0-9A-Za-z:.])(?:{_IPV6})(?![0-9A-Za-z:])",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "phone": rf"(?<![0-9+])\+(?:{_CLOSED})(?![0-9])|(?<![0-9+])\+[0-9](?:{_NEXT}){{6,14}}(?![0-9])",
+    "ip": rf"(?<![0-9A-Za-z_.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "phone": _phone_forms(),
     "national": r"(?<![0-9()+.-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}-)[2-9][0-9]{2}-[0-9]{4}(?![0-9-])",
     "iso_date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "dot_date": r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])",
@@ -239,11 +268,14 @@ def _only(kind: str):
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", counts: str = "private") -> DataFrame:
     """``docs`` with pseudonyms in the text, and a struct column of counts by kind.
 
-    A phone number is a plus and 7 to 15 digits in any grouping, or ten digits
-    as North America writes them. A card number must have a right Luhn sum, an
+    A phone number is a plus, a country code and as many digits as that country
+    has at most, in any grouping, or ten digits as North America writes them. A
+    blank and one or two digits behind it belong to it only where the country's
+    usual length or a number in pairs asks for them. A card number must have a right Luhn sum, an
     IBAN right check digits, a date must exist (1900 to 2099), an address must
     have four octets or eight groups (about one ``::``), a social security
-    number must be possible; others stay as they are. Each is permuted among
+    number must be possible; others stay as they are, and so do versions
+    (octets behind a letter). Each is permuted among
     the values of its format with a Feistel network under ``key``, so that
     equal values, however they are spaced, get equal pseudonyms in all
     documents, and whoever has the key can go back. ``key`` is as secret as

@@ -181,6 +181,33 @@ def test_phones_of_any_grouping(spark):
     assert got[100].text.endswith(" 12 times") and got[100].text[5:22] == got[0].text[5:22] and got[101].text == rows[-1][1]
 
 
+def test_phones_with_a_number_behind_them(spark):
+    """Of every country code: the number alone and with another number behind it get one pseudonym, and that number stays."""
+    length = {c: n for table in (pii.USUAL, pii.MOST) for n, codes in table.items() for c in codes.split()}
+    codes = [str(c) for c in range(1, 1000) if (m := re.match(pii.COUNTRY, str(c))) and m.group() == str(c)]
+    assert len(codes) > 200 and set(length) <= set(codes)
+    rows, want = [], []
+    for k, c in enumerate(codes):
+        n = length.get(c, 9) - (c in " ".join(pii.MOST.values()).split())
+        d = "".join(str((k * 7 + i * 3) % 9 + 1) for i in range(n))
+        for form in (f"+{c} {d}", f"+{c}{d}", f"+{c} {d[:3]} {d[3:6]} {d[6:]}" if n > 8 else f"+{c} {d[:4]} {d[4:]}", f"+{c}-{d[:2]}-{d[2:4]}-{d[4:]}"):
+            for more in ("", " 12 boxes", " 120 boxes"):
+                rows.append((len(rows), form + more))
+                want.append((c, more))
+    got = {r.doc_id: r for r in pii.pseudonymised(frame(spark, rows), KEY).collect()}
+    new = {}
+    for k, (c, more) in enumerate(want):
+        assert got[k].private.phone == 1 and got[k].text.endswith(more), (rows[k], got[k].text)
+        new.setdefault(c, set()).add(re.sub(r"\D", "", got[k].text.removesuffix(more)))
+    assert all(len(v) == 1 and min(v).startswith(c) for c, v in new.items()), {c: v for c, v in new.items() if len(v) > 1}
+
+
+def test_versions_are_no_addresses(spark):
+    rows = [(1, "v1.2.3.4 and lib_1.2.3.4, 10.0.0.1"), (2, "release 1.2.3.4.5")]
+    got = {r.doc_id: r for r in pii.pseudonymised(frame(spark, rows), KEY).collect()}
+    assert got[1].text.startswith("v1.2.3.4 and lib_1.2.3.4, ") and got[1].private.ip == 1 and not got[1].text.endswith("10.0.0.1") and got[2].text == rows[1][1]
+
+
 def test_pseudonyms_are_one_to_one(spark):
     df = spark.range(2000).select(F.lpad((F.col("id") * 7 % 10000).cast("string"), 4, "0").alias("d")).distinct()
     got = df.select(pii.permuted_digits(F.col("d"), "k").alias("p"))
