@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parlance.functions import lenient
 from parlance.functions.text import has_foreign_script, is_degenerate
 
 # Titles that say nothing, what makes a summary unusable, and spellings of owners.
@@ -39,9 +40,47 @@ def strings(answer: Column, path: str) -> Column:
     return F.array_compact(F.transform(values(answer, path), string))
 
 
+def _field(x: Column, names: tuple[str, ...]) -> Column:
+    """The first of an object's named fields that is there, whatever it holds."""
+    return F.coalesce(*[F.try_variant_get(x, f"$.{n}", "variant") for n in names])
+
+
 def _first(x: Column, names: tuple[str, ...]) -> Column:
-    """The first of an object's named fields that is there; its text if that is a string."""
-    return string(F.coalesce(*[F.try_variant_get(x, f"$.{n}", "variant") for n in names]))
+    """``_field``'s text if that is a string."""
+    return string(_field(x, names))
+
+
+def natural(x: Column) -> Column:
+    """A JSON number that is whole and not negative; null for a quoted or fractional one, and for any other value."""
+    n = F.when(F.schema_of_variant(x) == "BIGINT", x.cast("bigint"))
+    return F.when(n >= 0, n)
+
+
+def evidence(x: Column) -> Column:
+    """The numbers of the segments that an object names as its evidence."""
+    named = F.coalesce(F.try_variant_get(x, "$.evidence_segments", "array<variant>"), F.array().cast("array<variant>"))
+    return F.array_compact(F.transform(named, natural))
+
+
+def topics(answer: Column, fallback: Column) -> Column:
+    """Topics as an array of strings, an object's values or one string; ``fallback`` for an array without strings and for anything else."""
+    found, kind = strings(answer, "$.topics"), F.schema_of_variant(F.try_variant_get(answer, "$.topics", "variant"))
+    given = F.when(kind.startswith("ARRAY"), F.size(found) > 0).otherwise(kind.startswith("OBJECT") | (kind == "STRING"))
+    return F.when(given, found).otherwise(fallback)
+
+
+def told(text: Column, field: str, fallback: Column) -> Column:
+    """A field of the answer's text as prose (reason, resolution, customer_intent), else ``fallback``."""
+    return F.coalesce(lenient.prose_of(F.get_json_object(text, f"$.{field}")), fallback)
+
+
+def resolved(text: Column) -> Column:
+    """Whether the matter was resolved; yes if the answer doesn't say."""
+    return F.coalesce(lenient.boolean(F.get_json_object(text, "$.resolved")), F.lit(True))
+
+
+def sentiment(text: Column) -> Column:
+    return F.coalesce(lenient.number(F.get_json_object(text, "$.sentiment_score")), F.lit(0.0))
 
 
 def _said(c: Column) -> Column:
@@ -57,42 +96,51 @@ def owner(name: Column) -> Column:
 
 
 def action_items(answer: Column) -> Column:
-    """(text, owner, deadline) of each item, from strings or objects of several spellings; items that say none are left out."""
+    """(text, owner, deadline, evidence) of each item, from strings or objects of several spellings; items that say none are left out."""
 
     def item(x: Column) -> Column:
         text = _said(F.coalesce(string(x), _first(x, ("text", "task", "description", "action", "item"))))
-        return F.struct(text.alias("text"), owner(_first(x, ("owner", "assignee", "who"))).alias("owner"), _first(x, ("deadline",)).alias("deadline"))
+        return F.struct(text.alias("text"), owner(_first(x, ("owner", "assignee", "who"))).alias("owner"), _first(x, ("deadline",)).alias("deadline"), evidence(x).alias("evidence"))
 
     return F.filter(F.transform(values(answer, "$.action_items"), item), lambda i: i["text"].isNotNull())
 
 
 def entities(answer: Column) -> Column:
-    """(entity_type, value) of each entity, from strings or objects of several spellings."""
+    """(entity_type, value, evidence) of each entity, from strings or objects of several spellings."""
 
     def entity(x: Column) -> Column:
         value = _said(F.coalesce(string(x), _first(x, ("value", "name", "text"))))
-        return F.struct(F.coalesce(_first(x, ("entity_type", "type", "category")), F.lit("entity")).alias("entity_type"), value.alias("value"))
+        return F.struct(F.coalesce(_first(x, ("entity_type", "type", "category")), F.lit("entity")).alias("entity_type"), value.alias("value"), evidence(x).alias("evidence"))
 
     return F.filter(F.transform(values(answer, "$.entities"), entity), lambda e: e["value"].isNotNull())
 
 
 def _whole(x: Column, names: tuple[str, ...], default: int) -> Column:
-    n = F.coalesce(*[F.try_variant_get(x, f"$.{k}", "bigint") for k in names])
-    return F.coalesce(F.when(n >= 0, n), F.lit(default).cast("bigint"))
+    return F.coalesce(natural(_field(x, names)), F.lit(default).cast("bigint"))
+
+
+def _explained(x: Column) -> Column:
+    return F.coalesce(_first(x, ("explanation",)), F.lit("")).alias("explanation")
 
 
 def scorecard(answer: Column) -> Column:
-    """(total_score, rules) if there is a total, with defaults for what a rule leaves out."""
-    total = F.try_variant_get(answer, "$.scorecard.total_score", "bigint")
+    """(total_score, rules) if there is a whole total, with defaults for what a rule leaves out or spells in another way."""
+    total = natural(F.try_variant_get(answer, "$.scorecard.total_score", "variant"))
     rules = F.coalesce(F.try_variant_get(answer, "$.scorecard.rules", "array<variant>"), F.array().cast("array<variant>"))
-    rule = lambda x: F.struct(F.coalesce(_first(x, ("name", "rule_name")), F.lit("Rule")).alias("rule"), _whole(x, ("score", "score_awarded"), 0).alias("score"), _whole(x, ("max_score",), 100).alias("most"))
-    return F.when(total >= 0, F.struct(total.alias("total_score"), F.transform(rules, rule).alias("rules")))
+    rule = lambda x: F.struct(F.coalesce(_first(x, ("name", "rule_name")), F.lit("Rule")).alias("rule"), _whole(x, ("score", "score_awarded"), 0).alias("score"), _whole(x, ("max_score",), 100).alias("most"), _explained(x))
+    return F.when(total.isNotNull(), F.struct(total.alias("total_score"), F.transform(rules, rule).alias("rules")))
 
 
 def compliance(answer: Column) -> Column:
-    """(rule, passed) of each check; a check that doesn't say has passed."""
+    """(rule, passed, explanation) of each check; one that doesn't say true or false has passed."""
     checks = F.coalesce(F.try_variant_get(answer, "$.compliance", "array<variant>"), F.array().cast("array<variant>"))
-    return F.transform(checks, lambda x: F.struct(F.coalesce(_first(x, ("name",)), F.lit("Policy")).alias("rule"), F.coalesce(F.try_variant_get(x, "$.passed", "boolean"), F.lit(True)).alias("passed")))
+
+    def check(x: Column) -> Column:
+        said = F.try_variant_get(x, "$.passed", "variant")
+        passed = F.coalesce(F.when(F.schema_of_variant(said) == "BOOLEAN", said.cast("boolean")), F.lit(True))
+        return F.struct(F.coalesce(_first(x, ("name",)), F.lit("Policy")).alias("rule"), passed.alias("passed"), _explained(x))
+
+    return F.transform(checks, check)
 
 
 def accepted_summary(summary: Column, fallback: Column) -> Column:

@@ -192,9 +192,20 @@ def without(rows: DataFrame, key: str, gone: DataFrame, gone_key: str) -> DataFr
     return rows.join(gone.select(F.col(gone_key).alias(key)), key, "left_anti").select(*rows.columns)
 
 
-def upserted(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
-    """All of ``new``, and of ``old`` what ``new`` doesn't replace."""
-    return old.join(new.select(*key), list(key), "left_anti").select(*old.columns).unionByName(new)
+def upserted(old: DataFrame, new: DataFrame, *key: str, newest: str | None = None) -> DataFrame:
+    """One row of ``new`` for each key, and of ``old`` what ``new`` doesn't replace.
+
+    Of several new rows for a key the one with the greatest ``newest`` counts;
+    of equal ones, or without it, that with the greatest values.
+    """
+    rest = [c for c in new.columns if c not in key]
+    if rest:
+        order = [newest, *[c for c in rest if c != newest]] if newest else rest
+        sortable = [F.to_json(c) if dict(new.dtypes)[c].startswith("map") else F.col(c) for c in order]
+        new = new.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*sortable)).alias("v_")).select(*key, "v_.*").select(*new.columns)
+    else:
+        new = new.distinct()
+    return old.join(new.select(*key), list(key), "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
 def voice_prints_merged(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -194,19 +194,38 @@ def prompt_lines(segments: DataFrame) -> DataFrame:
     return segments.select("call_id", "sequence", line.alias("line")).withColumn("tokens", estimated_tokens(F.col("line")))
 
 
-def words_of_tokens(tokens: DataFrame) -> DataFrame:
+def words_of_tokens(tokens: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     """A recogniser's tokens as words: a token that begins with a blank begins a word.
 
-    Columns needed: call_id, ordinal, token, start_ms, end_ms, probability. A
-    word has its tokens' texts in a row without blanks at its ends, the span of
-    all of them and their mean probability; words without text are dropped.
+    Columns needed: call_id, ordinal, token, start_ms, end_ms, probability; with
+    ``segments`` (call_id, segment, start_ms, end_ms, text) also segment, and no
+    word crosses a segment's end. Control tokens (``[_``) don't count. A token
+    lies within its segment and lasts 30 ms at least. A word has its tokens'
+    texts in a row without blanks at its ends, ends where its last token does
+    but 40 ms after its start at least, and has their mean probability; words
+    without text are dropped. A segment that no word is left of gets those of
+    its text, in even parts of 50 ms at least.
     """
-    w = _in_order("call_id", "ordinal")
-    rows = tokens.withColumn("new", F.when(F.col("token").rlike(r"^[ \n\t]"), 1).otherwise(0))
+    group = ["call_id"] if segments is None else ["call_id", "segment"]
+    rows = tokens.where(~F.col("token").startswith("[_"))
+    if segments is not None:
+        spans = segments.select("call_id", "segment", F.col("start_ms").alias("from_"), F.col("end_ms").alias("to_"))
+        rows = rows.join(spans, group).withColumn("start_ms", F.greatest("start_ms", "from_")).withColumn("end_ms", F.greatest(F.least("end_ms", "to_"), F.col("start_ms") + 30)).drop("from_", "to_")
+    w = Window.partitionBy(*group).orderBy("ordinal")
+    rows = rows.withColumn("new", F.when(F.col("token").rlike(r"^[ \n\t]"), 1).otherwise(0))
     rows = rows.withColumn("word_no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     text = F.btrim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "token"))), lambda x: x["token"]), ""), F.lit(" \n\t"))
-    out = rows.groupBy("call_id", "word_no").agg(text.alias("word"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.greatest(F.least(F.avg("probability"), F.lit(1.0)), F.lit(0.0)).alias("confidence"))
-    return out.where("word <> ''")
+    start, sure = F.min_by("start_ms", "ordinal"), F.greatest(F.least(F.avg("probability"), F.lit(1.0)), F.lit(0.0))
+    out = rows.groupBy(*group, "word_no").agg(text.alias("word"), start.alias("start_ms"), F.greatest(F.max_by("end_ms", "ordinal"), start + 40).alias("end_ms"), sure.alias("confidence"))
+    out = out.where("word <> ''")
+    if segments is None:
+        return out
+    bare = segments.join(out.select(*group).distinct(), group, "left_anti").withColumn("ws", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).where(F.size("ws") > 0)
+    part = F.greatest(F.call_function("div", F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)), F.size("ws").cast("bigint")), F.lit(50))
+    bare = bare.select(*group, F.col("start_ms").alias("from_"), F.col("end_ms").alias("to_"), part.alias("part"), F.posexplode("ws").alias("k", "word"))
+    start = F.col("from_") + F.col("k") * F.col("part")
+    even = bare.select(*group, F.col("k").cast("bigint").alias("word_no"), "word", start.alias("start_ms"), F.greatest(F.least(start + F.col("part"), F.col("to_")), start + 40).alias("end_ms"), F.lit(0.9).alias("confidence"))
+    return out.unionByName(even)
 
 
 def counting_windows(regions: DataFrame, size: int = 2000, hop: int = 1000, most: int = 256) -> DataFrame:

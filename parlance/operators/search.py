@@ -122,8 +122,17 @@ def ask_context(docs: DataFrame, question: str, columns: tuple[str, ...], k: int
     return rows.select("source", "call_id", "title", "score")
 
 
-def cited(sources: DataFrame, indexes: list[int]) -> DataFrame:
-    """Sources named by number from 1 (0 means the first too), once each; others don't count; all if none is named."""
-    named = sorted({max(1, i) for i in indexes if i >= 0})
-    rows = sources.where(F.col("source").isin(named)) if named else sources
-    return rows.dropDuplicates(["call_id"])
+def cited(sources: DataFrame, indexes: list[int] | None) -> DataFrame:
+    """Sources that an answer names by number from 1 (0 means the first too), in the order of naming and each call once.
+
+    Numbers beyond the sources don't count; if none is left, or none was given,
+    all sources are meant, in their own order. ``place`` is a source's place.
+    """
+    from pyspark.sql import Window
+
+    named = list(dict.fromkeys(max(1, i) for i in indexes or [] if i >= 0))
+    at = F.array_position(F.array(*[F.lit(i) for i in named]), F.col("source").cast("int")) if named else F.lit(0)
+    rows = sources.withColumn("at_", at.cast("int"))
+    rows = rows.withColumn("any_", F.max("at_").over(Window.partitionBy()))  # as many rows as sources were asked for
+    rows = rows.withColumn("place", F.when(F.col("any_") > 0, F.col("at_")).otherwise(F.col("source"))).where("any_ = 0 OR at_ > 0").drop("at_", "any_")
+    return rows.withColumn("r_", F.row_number().over(Window.partitionBy("call_id").orderBy("place"))).where("r_ = 1").drop("r_")

@@ -101,6 +101,25 @@ def _coerced(s, d):
     )
 
 
+def _scored(s, d):
+    """Answers whose scores, checks and evidence are the documents' own numbers, whole, quoted, fractional or negative."""
+    n = "CASE doc_id % 4 WHEN 0 THEN CAST({0} AS STRING) WHEN 1 THEN concat('\"', {0}, '\"') WHEN 2 THEN concat({0}, '.5') ELSE concat('-', {0}) END"
+    said = "CASE doc_id % 3 WHEN 0 THEN 'false' WHEN 1 THEN '\"false\"' ELSE '0' END"
+    text = F.expr(
+        "concat('{\"scorecard\":{\"total_score\":', CASE WHEN doc_id % 5 = 0 THEN " + n.format("n_chars") + " ELSE CAST(n_chars AS STRING) END, ',\"rules\":[{\"rule_name\":\"', source, '\",\"score\":', " + n.format("doc_id") + ", ',\"score_awarded\":7,\"explanation\":\"', lang, '\"}]},"
+        "\"compliance\":[{\"name\":\"', lang, '\",\"passed\":', " + said + ", '}],\"action_items\":[{\"task\":\"', source, '\",\"evidence_segments\":[', doc_id % 9, ',', " + n.format("doc_id % 7") + ", ']}],"
+        "\"topics\":', CASE doc_id % 4 WHEN 0 THEN '[]' WHEN 1 THEN concat('[1,\"', lang, '\"]') WHEN 2 THEN concat('{\"a\":\"', source, '\"}') ELSE '7' END, ',\"resolved\":\"', CASE WHEN doc_id % 2 = 0 THEN 'no' ELSE '?' END, '\",\"sentiment_score\":\"', doc_id % 10, '\",\"reason\":', CASE WHEN doc_id % 2 = 0 THEN concat('[\"', lang, '\",null,', doc_id, ']') ELSE 'null' END, '}')"
+    )
+    rows = V.table(s, d, "documents").select(F.col("doc_id").alias("call_id"), text.alias("answer"))
+    v = A.parsed(F.col("answer"))
+    card, check, item = A.scorecard(v), A.compliance(v)[0], A.action_items(v)[0]
+    return rows.select(
+        "call_id", card["total_score"].alias("total"), card["rules"][0]["rule"].alias("rule"), card["rules"][0]["score"].alias("score"), card["rules"][0]["explanation"].alias("explanation"),
+        check["rule"].alias("check_name"), check["passed"].alias("passed"), F.array_join(item["evidence"].cast("array<string>"), ",").alias("evidence"),
+        F.array_join(A.topics(v, F.array(F.lit("heuristic"))), ",").alias("topics"), A.resolved(F.col("answer")).alias("resolved"), A.sentiment(F.col("answer")).alias("sentiment"), A.told(F.col("answer"), "reason", F.lit("unsaid")).alias("reason"),
+    )
+
+
 QUERIES = {
     "recording_by_call": lambda s, d: R.recording_of(V.recordings(s, d), 7),
     "analysis_by_call": lambda s, d: _analysis_json(s, d).where("call_id = 9").select("call_id", "title", F.get_json_object("analysis_json", "$.resolved").alias("resolved")),
@@ -130,6 +149,7 @@ QUERIES = {
     "call_list_search": lambda s, d: I.listed(V.calls(s, d), _saved(s, d), "place7").select("id", "external_id"),
     "call_list_search_id": lambda s, d: I.listed(V.calls(s, d), _saved(s, d), "call-12").select("id", "external_id"),
     "answers_coerced": _coerced,
+    "answers_scored": _scored,
     "json_shape": lambda s, d: _answers(s, d).select("call_id", F.coalesce(A.shape(F.col("answer")), F.lit("no object")).alias("shape")),
     "lenient_prose": lambda s, d: _answers(s, d).select("call_id", L.prose_of(F.coalesce(F.get_json_object("answer", "$.topics"), F.get_json_object("answer", "$.key_facts"), F.lit("N/A"))).alias("prose")),
     "byte_ranges": lambda s, d: V.calls(s, d).withColumn("r", T.byte_range(F.expr("CASE id % 4 WHEN 0 THEN concat('bytes=', id, '-') WHEN 1 THEN 'bytes=-100' WHEN 2 THEN 'bytes=10-5000000' ELSE 'bytes=9-3' END"), F.lit(100_000))).select("id", "r.first", "r.last"),
@@ -203,6 +223,8 @@ SQL = {
     + _by_shape("'call back/-/-'", "'wait/participant/-; send/speaker_1/-'", "'check/speaker_2/today'", "''") + " AS items, "
     + _by_shape("'place=Rome'", "'entity=x'", "'phone=12'", "''") + " AS entities, " + _by_shape("80", "NULL", "NULL", "NULL") + "::BIGINT AS score, "
     + _by_shape("'greets/5/100'", "NULL", "NULL", "NULL") + " AS rules, " + _by_shape("'consent=false; Policy=true'", "''", "''", "''") + " AS checks FROM documents",
+    "answers_scored": "WITH t AS (SELECT *, doc_id % 5 <> 0 OR doc_id % 4 = 0 AS ok FROM documents) SELECT doc_id AS call_id, CASE WHEN ok THEN n_chars END::BIGINT AS total, CASE WHEN ok THEN source END AS rule, CASE WHEN ok THEN CASE WHEN doc_id % 4 = 0 THEN doc_id ELSE 0 END END AS score, CASE WHEN ok THEN lang END AS explanation, lang AS check_name, doc_id % 3 <> 0 AS passed,"
+    " (doc_id % 9) || CASE WHEN doc_id % 4 = 0 OR (doc_id % 4 = 3 AND doc_id % 7 = 0) THEN ',' || (doc_id % 7) ELSE '' END AS evidence, CASE doc_id % 4 WHEN 1 THEN lang WHEN 2 THEN source ELSE 'heuristic' END AS topics, doc_id % 2 <> 0 AS resolved, (doc_id % 10)::DOUBLE AS sentiment, CASE WHEN doc_id % 2 = 0 THEN lang || '; ' || doc_id ELSE 'unsaid' END AS reason FROM t",
     "json_shape": "SELECT doc_id AS call_id, " + _by_shape("'action_items=array compliance=array entities=object key_facts=object scorecard=object summary=string title=string topics=array'", "'action_items=object entities=array key_facts=array scorecard=object summary=string title=string topics=string'", "'action_items=array compliance=string entities=array title=null topics=object'", "'no object'") + " AS shape FROM documents",
     "lenient_prose": "SELECT doc_id AS call_id, " + _by_shape("'a; 1; b'", "'one'", "'two; one'", "NULL") + " AS prose FROM documents",
     "byte_ranges": sql(V.CALLS, body="SELECT id, CASE id % 4 WHEN 0 THEN CASE WHEN id < 100000 THEN id END WHEN 1 THEN 99900 WHEN 2 THEN 10 END AS first, CASE WHEN id % 4 = 3 OR (id % 4 = 0 AND id >= 100000) THEN NULL ELSE 99999 END::BIGINT AS last FROM calls"),

@@ -95,6 +95,17 @@ def _tokens(s, d):
     return first.unionByName(rest)
 
 
+def _tokens_of_segments(s, d):
+    """Tokens with control tokens among them, and segments; every fifth segment has control tokens only."""
+    w = V.words(s, d).withColumn("n", F.col("pos") * 3)
+    first = w.select("call_id", F.col("sequence").alias("segment"), "n", F.concat(F.lit(" "), F.substring("word", 1, 3)).alias("token"), "start_ms", (F.col("start_ms") + 200).alias("end_ms"), F.lit(0.9).alias("probability"))
+    rest = w.where("length(word) > 3").select("call_id", F.col("sequence").alias("segment"), F.col("n") + 1, F.expr("substring(word, 4)"), F.col("start_ms") + 200, "end_ms", F.lit(0.5))
+    marks = w.select("call_id", F.col("sequence").alias("segment"), F.col("n") + 2, F.concat(F.lit("[_TT_"), F.col("pos").cast("string"), F.lit("]")), "start_ms", "end_ms", F.lit(0.1))
+    tokens = first.union(rest).where("segment % 5 <> 4").union(marks).withColumnRenamed("n", "ordinal")
+    segments = V.segments(s, d).select("call_id", F.col("sequence").alias("segment"), (F.col("start_ms") + 100).alias("start_ms"), (F.col("end_ms") - 300).alias("end_ms"), F.col("raw_text").alias("text"))
+    return C.words_of_tokens(tokens, segments).select("call_id", "segment", "word_no", "word", "start_ms", "end_ms", F.round("confidence", 6).alias("confidence"))
+
+
 def _diarized(s, d):
     """Windows of a second for every voice print of a call, labelled by clustering, merged to turns."""
     rows = _grouped(s, d)
@@ -112,6 +123,7 @@ _ENTITIES = "ents AS (SELECT call_id, title, resolved, CASE call_id % 4 WHEN 0 T
 
 QUERIES = {
     "words_of_tokens": lambda s, d: C.words_of_tokens(_tokens(s, d)).select("call_id", "word_no", "word", "start_ms", "end_ms", F.round("confidence", 6).alias("confidence")),
+    "words_of_segments": _tokens_of_segments,
     "counting_windows": lambda s, d: C.counting_windows(V.segments(s, d).select("call_id", "sequence", "start_ms", "end_ms"), most=64),
     "fixed_chunks": lambda s, d: C.fixed_chunks(V.calls(s, d).where("duration_ms IS NOT NULL").select(F.col("id").alias("call_id"), "duration_ms")),
     "renumber_labels": lambda s, d: C.renumbered(_grouped(s, d).join(V.voice_prints(s, d).select("id", "label"), "id"), "call_id", "label", "id").select("id", "call_id", "label", F.col("number").cast("bigint").alias("number")),
@@ -171,6 +183,11 @@ _ALIGN = """p AS (SELECT w.call_id, w.sequence, w.pos, w.word, t.speaker_id AS t
 _PAIRS = "p AS (SELECT r.call_id, r.speaker_id AS ref_speaker, h.speaker_id AS hyp_speaker, sum(least(r.end_ms, h.end_ms) - greatest(r.start_ms, h.start_ms))::BIGINT AS overlap_ms FROM segments r JOIN turns h ON h.call_id = r.call_id AND greatest(r.start_ms, h.start_ms) < least(r.end_ms, h.end_ms) GROUP BY ALL)"
 
 SQL = {
+    "words_of_segments": sql(V.SEGMENTS, V.WORDS,
+        "g AS (SELECT call_id, sequence, start_ms + 100 AS a, end_ms - 300 AS z, regexp_extract_all(raw_text, '\\S+') AS ws FROM segments)",
+        "t AS (SELECT w.*, a, z, greatest(start_ms, a) AS t0, greatest(start_ms + 200, a) AS u0 FROM words w JOIN g USING (call_id, sequence) WHERE sequence % 5 <> 4)",
+        "e AS (SELECT call_id, sequence, unnest(range(len(ws))) AS k, unnest(ws) AS word, a, z, greatest(greatest(z - a, 0) // len(ws), 50) AS part FROM g WHERE sequence % 5 = 4 AND len(ws) > 0)",
+        body="SELECT call_id, sequence AS segment, row_number() OVER (PARTITION BY call_id, sequence ORDER BY pos) AS word_no, word, t0 AS start_ms, greatest(CASE WHEN length(word) > 3 THEN greatest(least(end_ms, z), u0 + 30) ELSE greatest(least(start_ms + 200, z), t0 + 30) END, t0 + 40) AS end_ms, CASE WHEN length(word) > 3 THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence FROM t UNION ALL SELECT call_id, sequence, k, word, a + k * part, greatest(least(a + k * part + part, z), a + k * part + 40), 0.9 FROM e"),
     "words_of_tokens": sql(V.SEGMENTS, V.WORDS, body="SELECT call_id, row_number() OVER (PARTITION BY call_id ORDER BY sequence, pos) AS word_no, word, start_ms, end_ms - CASE WHEN length(word) > 3 THEN 0 ELSE 200 END AS end_ms, CASE WHEN length(word) > 3 THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence FROM words"),
     "counting_windows": sql(V.SEGMENTS, "t AS (SELECT call_id, sequence, start_ms, end_ms, CASE WHEN end_ms - 2000 <= start_ms THEN 0 ELSE (end_ms - 2000 - start_ms) // 1000 END AS k FROM segments)", "u AS (SELECT *, CASE WHEN end_ms - 2000 > start_ms AND start_ms + 1000 * k + 2000 < end_ms THEN k + 1 ELSE k END AS last FROM t)", 'v AS (SELECT call_id, sequence, end_ms, start_ms, unnest(range(last + 1)) AS "window" FROM u)', 'x AS (SELECT call_id, sequence, "window", start_ms + 1000 * "window" AS window_start, least(start_ms + 1000 * "window" + 2000, end_ms) AS window_end FROM v WHERE least(start_ms + 1000 * "window" + 2000, end_ms) - start_ms - 1000 * "window" > 50)', "y AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY window_start, window_end) - 1 AS r, count(*) OVER (PARTITION BY call_id) AS n FROM x)", body='SELECT call_id, sequence, "window", window_start, window_end FROM y WHERE r % ceil(n / 64)::BIGINT = 0'),
     "fixed_chunks": sql(V.CALLS, "t AS (SELECT id AS call_id, duration_ms, unnest(range((duration_ms + 9999) // 10000)) AS chunk FROM calls WHERE duration_ms > 0)", body="SELECT call_id, chunk, chunk * 10000 AS start_ms, least(duration_ms - chunk * 10000, 10000) AS real_ms FROM t"),

@@ -106,6 +106,8 @@ QUERIES = {
     "search_filtered": lambda s, d: S.searched(V.search_documents(s, d), V.calls(s, d), QUERY, COLUMNS, (F.col("status") == "completed") & (F.col("direction") != "unknown"), 20).select("call_id", "score", "external_id"),
     "ask_context": lambda s, d: S.ask_context(V.search_documents(s, d), QUERY, COLUMNS, 5),
     "ask_citations": lambda s, d: S.cited(S.ask_context(V.search_documents(s, d), QUERY, COLUMNS, 5), [0, 2, 9]).select("source", "call_id"),
+    "ask_citations_ordered": lambda s, d: S.cited(S.ask_context(V.search_documents(s, d), QUERY, COLUMNS, 5), [9, 2, 0, 2]).select("place", "source", "call_id"),
+    "ask_citations_unknown": lambda s, d: S.cited(S.ask_context(V.search_documents(s, d), QUERY, COLUMNS, 5), [9, 70]).select("place", "source", "call_id"),
     "transcript_json_path": lambda s, d: V.transcripts(s, d).select("call_id", L.primary_language(F.col("transcript_json")).alias("language"), L.first_text(F.col("transcript_json")).alias("text")),
     "lenient_bool": lambda s, d: _json_values(s, d).select("id", L.boolean(F.col("v")).cast("string").alias("b"), L.boolean(F.col("k")).cast("string").alias("kb")),
     "lenient_number": lambda s, d: _json_values(s, d).select("id", L.number(F.col("v")).alias("n"), L.number(F.col("k")).alias("kn")),
@@ -153,6 +155,8 @@ SQL = {
     "search_filtered": sql(V.SEARCH, V.CALLS, _TERMS, _BM25, body="SELECT call_id, score, external_id FROM hits JOIN calls ON id = call_id WHERE status = 'completed' AND direction <> 'unknown' ORDER BY score DESC, created_at DESC, call_id LIMIT 20"),
     "ask_context": sql(V.SEARCH, _TERMS, _BM25, body="SELECT row_number() OVER (ORDER BY score DESC, call_id) AS source, call_id, title, score FROM hits JOIN search_documents USING (call_id) ORDER BY score DESC, call_id LIMIT 5"),
     "ask_citations": sql(V.SEARCH, _TERMS, _BM25, "a AS (SELECT row_number() OVER (ORDER BY score DESC, call_id) AS source, call_id FROM hits)", body="SELECT * FROM a WHERE source IN (1, 2)"),
+    "ask_citations_ordered": sql(V.SEARCH, _TERMS, _BM25, "a AS (SELECT row_number() OVER (ORDER BY score DESC, call_id) AS source, call_id FROM hits)", body="SELECT CASE source WHEN 2 THEN 2 ELSE 3 END AS place, source, call_id FROM a WHERE source IN (1, 2)"),
+    "ask_citations_unknown": sql(V.SEARCH, _TERMS, _BM25, "a AS (SELECT row_number() OVER (ORDER BY score DESC, call_id) AS source, call_id FROM hits)", body="SELECT source AS place, source, call_id FROM a WHERE source <= 5"),
     "transcript_json_path": sql(V.TRANSCRIPTS, body="SELECT call_id, lower(primary_language) AS language, sample_text AS text FROM transcripts"),
     "lenient_bool": sql(_VALUES, body=f"SELECT id, ({_CASES.format('v')})::VARCHAR AS b, ({_CASES.format('k')})::VARCHAR AS kb FROM vals"),
     "lenient_number": sql(_VALUES, body="SELECT id, TRY_CAST(regexp_replace(trim(v), '^\\++', '') AS DOUBLE) AS n, TRY_CAST(regexp_replace(trim(k), '^\\++', '') AS DOUBLE) AS kn FROM vals"),
