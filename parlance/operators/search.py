@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -44,7 +45,7 @@ def postings(docs: DataFrame, columns: tuple[str, ...], key: str = "call_id") ->
 def _prefixes(query: str) -> list[str]:
     out = []
     for t in query_terms(query):
-        plain = t.lower().translate(_FOLD)  # as ``folded`` does with texts
+        plain = re.sub(r"^[\W_]+|[\W_]+$", "", t.lower().translate(_FOLD))  # as ``folded`` does with texts
         out += [plain] if plain and plain not in out else []
     return out
 
