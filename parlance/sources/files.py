@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 def recordings(spark: SparkSession, folder: str) -> DataFrame:
     """Audio files of a folder (not of those in it): name, size, type, and what the name tells. Contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", ENDINGS).load(folder).select("path", "length", "modificationTime")
-    name = F.url_decode(F.replace(F.substring_index("path", "/", -1), F.lit("+"), F.lit("%2B")))
+    name = F.substring_index("path", "/", -1)
     return files.select("path", name.alias("external_id"), F.col("length").alias("file_size_bytes"), mime_of(name).alias("mime_type"), parsed_filename(name).alias("parsed"))
 
 
@@ -37,26 +36,6 @@ def stored(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", F.octet_length("content").cast("bigint").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def wav_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """Rate, channels and duration of WAV files; null for files that are none."""
-    import io
-    import wave
-
-    @F.pandas_udf("rate int, channels int, duration_ms bigint")
-    def header(raw: pd.Series) -> pd.DataFrame:
-        def one(b: bytes) -> tuple:
-            try:
-                with wave.open(io.BytesIO(b)) as w:
-                    return w.getframerate(), w.getnchannels(), w.getnframes() * 1000 // w.getframerate()
-            except (wave.Error, EOFError):
-                return None, None, None
-
-        return pd.DataFrame([one(b) for b in raw], columns=["rate", "channels", "duration_ms"]).astype("Int64")
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{wav,WAV}").load(folder)
-    return files.select("path", header("content").alias("h")).select("path", "h.*")
-
-
 def watched(spark: SparkSession, folder: str) -> DataFrame:
     """The folder as a stream: each file once, by the query's checkpoint."""
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", ENDINGS).load(folder)

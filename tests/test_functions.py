@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from parlance.functions import emotions, lenient, vectors
 from parlance.functions import text as T
 from parlance.operators import calls, clustering, conversation, exports, joins, queue, search, signal
-from parlance.sources import files
+from parlance.sources import files, headers
 
 
 def one(spark, column, **values):
@@ -180,7 +180,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("x")
     found = files.recordings(spark, str(tmp_path))
     assert [(r.external_id, r.mime_type, r.parsed.contact) for r in found.collect()] == [("Call Ann_250820_142338.wav", "audio/wav", "Ann")]
-    assert files.wav_headers(spark, str(tmp_path)).first().duration_ms == 1000
+    assert headers.headers(spark, str(tmp_path)).first().duration_ms == 1000
     none = spark.createDataFrame([], "external_id string")
     assert files.import_summary(found, files.new_recordings(found, none)).first().asDict() == {"found": 1, "imported": 1, "skipped": 0}
     assert files.safe_key("../a//b/..") == "a/b"
