@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +19,15 @@ def job_counts(events: DataFrame, delay: str = "1 hour", span: str = "1 day") ->
 
 
 class Segmenter(StatefulProcessor):
-    """Keeps each call's open segment; a change of speaker or a long pause closes it."""
+    """Keeps each call's open segment; a change of speaker or a long pause closes it. With ``idle_ms`` it is forgotten after that time."""
+
+    def __init__(self, idle_ms: int | None = None) -> None:
+        self.idle_ms = idle_ms
 
     SCHEMA = "call_id bigint, sequence bigint, speaker_id int, start_ms bigint, end_ms bigint, n_words bigint, text string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "sequence bigint, speaker_id int, start_ms bigint, end_ms bigint, n_words bigint, text string")
+        self.open = handle.getValueState("open", "sequence bigint, speaker_id int, start_ms bigint, end_ms bigint, n_words bigint, text string", ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         words = pd.concat(list(rows)).sort_values("ordinal")
@@ -45,9 +49,26 @@ class Segmenter(StatefulProcessor):
         pass
 
 
-def segments(words: DataFrame) -> DataFrame:
-    """Segments as words come, in update mode: (call_id, sequence) is the key that a sink replaces."""
-    return words.groupBy("call_id").transformWithStateInPandas(Segmenter(), Segmenter.SCHEMA, "Update", "None")
+def segments(words: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Segments as words come, in update mode: (call_id, sequence) is the key that a sink replaces.
+
+    A stream that runs on should say after how long without words a call is
+    forgotten (``idle_ms``, by the machine's clock); one over what is there
+    already ends with its input and keeps its state till then.
+    """
+    return words.groupBy("call_id").transformWithStateInPandas(Segmenter(idle_ms), Segmenter.SCHEMA, "Update", "ProcessingTime" if idle_ms else "None")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """State of single keys needs a store that can look them up; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
 
 
 def run_to_end(stream: DataFrame, folder: str, mode: str) -> DataFrame:
