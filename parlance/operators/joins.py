@@ -105,25 +105,86 @@ def unit(c: str) -> Column:
     return F.when(n < 1e-6, F.array().cast("array<double>")).otherwise(F.transform(F.col(c), lambda x: x / n))
 
 
+#: Width of a ring about a pivot, in radians, and what a bound gives way to rounding.
+RING, SLACK = 0.05, 1e-6
+
+
+def pivots_of(exemplars: DataFrame, most: int) -> DataFrame:
+    """A row for each organisation and length of vectors: up to ``most`` of its exemplars, those with the least hashes.
+
+    A cut on the hash leaves some four times as many, so that none but these
+    come together.
+    """
+    group = ["organization_id", "size"]
+    sizes = exemplars.groupBy(*group).agg(F.count("*").alias("n"))
+    h = F.pmod(F.xxhash64("exemplar"), F.lit(2**32))
+    few = exemplars.join(sizes, group).where(h * F.col("n") <= F.lit(2**32 * 4 * most))
+    order = Window.partitionBy(*group).orderBy(h, "exemplar")
+    few = few.withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= most)
+    return few.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("r_", "exemplar", F.col("known").alias("v")))).alias("pivots"))
+
+
+def candidates(probes: DataFrame, exemplars: DataFrame, limit: float, pivots: int = 64) -> DataFrame:
+    """Pairs (id, exemplar) that have to be compared to find each probe's nearest exemplar within ``limit`` (below 1), and no other.
+
+    Angles between unit vectors meet the triangle inequality. An exemplar stands
+    in the cell of its nearest pivot, in a ring by its angle to it. A probe has
+    no nearer exemplar than its nearest pivot, which is one; so with that angle
+    as its reach it needs the rings between its own angle less and plus the
+    reach, of the cells that have such rings. Vectors of other lengths or next
+    to zero are at distance 1 and need none.
+    """
+    turned = lambda a, b: F.acos(F.greatest(F.least(dot(a, b), F.lit(1.0)), F.lit(-1.0)))
+    group = ["organization_id", "size"]
+    e = exemplars.withColumn("size", F.size("known")).where("size > 0")
+    centres = pivots_of(e, pivots)
+    few = centres.agg(F.coalesce(F.sum(F.size("pivots") * F.col("size")), F.lit(0)).alias("n")).first().n <= FEW_NUMBERS
+    sent = lambda df: F.broadcast(df) if few else df
+    near = e.join(sent(centres), group).withColumn("angles", F.transform("pivots", lambda p: turned(F.col("known"), p["v"])))
+    near = near.withColumn("cell", F.array_position("angles", F.array_min("angles")).cast("int")).withColumn("angle", F.array_min("angles"))
+    near = near.select(*group, "exemplar", "name", "known", "cell", "angle", F.floor(F.col("angle") / RING).alias("ring"))
+    reach = near.groupBy(*group, "cell").agg(F.min("ring").alias("lo"), F.max("ring").alias("hi"))
+    bounds = reach.groupBy(*group).agg(F.collect_list(F.struct("cell", "lo", "hi")).alias("cells"))
+    p = probes.withColumn("size", F.size("own")).where("size > 0").join(sent(centres.join(bounds, group)), group)
+    p = p.withColumn("angles", F.transform("pivots", lambda x: turned(F.col("own"), x["v"])))
+    others = F.array_min(F.filter(F.zip_with("angles", "pivots", lambda a, x: F.when(x["exemplar"] != F.col("id"), a)), lambda a: a.isNotNull()))
+    p = p.withColumn("reach", F.least(F.coalesce(others, F.lit(3.2)), F.acos(F.lit(1.0 - limit))) + SLACK)
+    ring = lambda x: F.floor(x / RING)
+    of = lambda c: F.element_at("angles", c["cell"])
+    spans = F.transform("cells", lambda c: F.struct(c["cell"].alias("cell"), F.greatest(c["lo"], ring(of(c) - F.col("reach"))).alias("a"), F.least(c["hi"], ring(of(c) + F.col("reach"))).alias("b")))
+    p = p.select(*group, "id", "own", "angles", "reach", F.explode(F.filter(spans, lambda x: x["a"] <= x["b"])).alias("s"))
+    p = p.select(*group, "id", "own", "reach", F.col("s.cell").alias("cell"), F.element_at("angles", F.col("s.cell")).alias("at"), F.explode(F.sequence("s.a", "s.b")).alias("ring"))
+    rows = p.join(near, [*group, "cell", "ring"])
+    return rows.where((F.abs(F.col("at") - F.col("angle")) <= F.col("reach")) & (F.col("id") != F.col("exemplar"))).select("organization_id", "id", "own", "exemplar", "name", "known")
+
+
 def identified(probes: DataFrame, exemplars: DataFrame, limit: float = SAME_VOICE) -> DataFrame:
     """Each probe's nearest named exemplar of its own organisation within ``limit``, the first of equals.
 
     Voice prints don't cross organisations: the organisation is the join key.
     Vectors are brought to length 1 once. Exemplars are sent to all tasks only
-    if their numbers are few; else an organisation's exemplars are dealt out in
-    parts, and each probe goes to every part: it has to see all of them.
+    if their numbers are few; else only ``candidates`` are compared, which
+    gives the same. At a limit of 1 or more vectors that can't be compared
+    match too, and an organisation's exemplars are dealt out in parts.
     """
     e = exemplars.where("name IS NOT NULL").select("organization_id", F.col("id").alias("exemplar"), "name", unit("embedding").alias("known"))
     p = probes.select("organization_id", "id", unit("embedding").alias("own"))
     numbers = e.agg(F.coalesce(F.sum(F.size("known")), F.lit(0)).alias("n")).first().n
     if numbers <= FEW_NUMBERS:
         rows = p.join(F.broadcast(e), "organization_id")
+    elif limit < 1:
+        rows = candidates(p, e, limit)
     else:
         parts = -(-numbers // FEW_NUMBERS)
         e = e.withColumn("part", F.pmod(F.xxhash64("exemplar"), F.lit(parts)).cast("int"))
         rows = p.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(e, ["organization_id", "part"])
+    return nearest(rows.where("id <> exemplar"), limit)
+
+
+def nearest(pairs: DataFrame, limit: float) -> DataFrame:
+    """Of compared pairs each probe's nearest exemplar within ``limit``, the first of equals."""
     near = F.when((F.size("own") == F.size("known")) & (F.size("own") > 0), F.greatest(F.least(1 - dot(F.col("own"), F.col("known")), F.lit(2.0)), F.lit(0.0))).otherwise(F.lit(1.0))
-    rows = rows.where("id <> exemplar").withColumn("distance", near).where(F.col("distance") <= limit)
+    rows = pairs.withColumn("distance", near).where(F.col("distance") <= limit)
     best = F.min_by(F.struct("exemplar", "name", "distance"), F.struct("distance", "exemplar"))
     return rows.groupBy("id").agg(best.alias("b")).select("id", "b.exemplar", "b.name", F.round("b.distance", 6).alias("distance"))
 
