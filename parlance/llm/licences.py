@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -81,6 +82,32 @@ NOT_NOTICES = (
     "The university MIT published a general report under embargo.",
     "All rights and conditions of sale are listed in the document.",
 )
+#: Notices of licences that share most words with a family's and are none of it; the unknown class learns them too.
+RIVALS = (
+    "This work is licensed under the GNU Affero General Public License, version 3.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Licensed under CC BY-ND 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "Licensed under CC BY-NC-SA 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "Licensed under CC BY-NC-ND 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "Licensed under the EUPL, Version 1.2.",
+    "Licensed under the European Union Public License, version 1.2.",
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "Released under the ISC License.",
+    "Licensed under the Zlib license.",
+)
+#: What turns a notice into its opposite, before the verb.
+NEGATIONS = ("not", "no longer", "never")
+
+
+def negated(text: str) -> list[str]:
+    """A notice's opposites, if it says that something is licensed or released."""
+    verb = re.search("licensed under|released under|dedicated to", text.lower())
+    return [f"{text[: verb.start()]}{n} {text[verb.start() :].lower()}" for n in NEGATIONS] if verb else []
+
+
 FAMILIES = tuple(TEMPLATES)
 UNKNOWN = len(FAMILIES)
 _DROP = b".,;:!?\"'()[]{}#*$%&|<>=/"
@@ -93,6 +120,7 @@ class Scan:
 
     sample: int = 300
     variants: int = 24
+    together: int = 150
     window: int = 48
     shared: int = 2
     probability: float = 0.5
@@ -141,8 +169,8 @@ class Classifier:
     one half gives scores for the other; the temperature is the best for all of
     these, and ``held_out`` the share of them that it gets right (a family's
     other template has few words in common with the first). The model that is
-    kept is then fitted to all rows, of which it gets ``fitted`` right. Rows are
-    sparse: places and one value.
+    kept is then fitted to all rows; of those with one notice at most it gets
+    ``fitted`` right. Rows are sparse: places and one value.
     """
 
     def __init__(self, rows: list[Row], seed: int, halves: dict[str, int]) -> None:
@@ -157,7 +185,7 @@ class Classifier:
         self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0), key=loss)
         self.held_out = float((scores.argmax(1) == y).mean())
         self._fit(rows, y)
-        self.fitted = float(np.mean([self.scores(ws).argmax() == c for ws, c, _ in rows]))
+        self.fitted = float(np.mean([self.scores(ws).argmax() == c for ws, c, of in rows if not of.startswith("together")]))
 
     def _fit(self, rows: list[Row], y: np.ndarray) -> None:
         seen: dict = {}
@@ -199,7 +227,7 @@ class Classifier:
 
 
 def training_rows(texts: list[str], scan: Scan = Scan()) -> tuple[list[Row], dict[str, int]]:
-    """Variants of the templates by family, and the sample's lines and NOT_NOTICES as unknown; and each origin's half.
+    """Variants of the templates by family; the sample's lines, NOT_NOTICES, RIVALS and negated templates as unknown; and each origin's half.
 
     A family's templates are in the halves in turn, so that each half has some.
     """
@@ -216,10 +244,19 @@ def training_rows(texts: list[str], scan: Scan = Scan()) -> tuple[list[Row], dic
     for k, text in enumerate(NOT_NOTICES):
         halves[text] = k % 2
         rows += [(around([w for w in words(text) if rng.random() > 0.1]), UNKNOWN, text) for _ in range(scan.variants)]
+    for k, text in enumerate([*RIVALS, *[x for ts in TEMPLATES.values() for t in ts for x in negated(t)]]):
+        ws, halves[text] = words(text), k % 2
+        rows += [(ws, UNKNOWN, text)] * 2 + [(around([w for w in ws if rng.random() > 0.03]), UNKNOWN, text) for _ in range(scan.variants // 3)]
     for c, family in enumerate(FAMILIES):
         for k, text in enumerate(TEMPLATES[family]):
             ws, halves[text] = words(text), k % 2
             rows += [(ws, c, text)] * 4 + [(around([w for w in ws if rng.random() > 0.08]), c, text) for _ in range(scan.variants)]
+    # two notices in one window are one of each
+    every = [(c, t) for c, family in enumerate(FAMILIES) for t in TEMPLATES[family]]
+    for k in range(scan.together):
+        (a, first), (b, second) = (every[i] for i in rng.choice(len(every), 2, replace=False))
+        halves[f"together {k}"] = k % 2
+        rows += [(words(first) + words(second), c, f"together {k}") for c in (a, b)]
     return rows, halves
 
 

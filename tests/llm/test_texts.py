@@ -142,3 +142,31 @@ def test_distance():
     p = np.array([1, 0, 3])
     assert quality.distance(p, p) == 0 and quality.distance(np.array([1, 0]), np.array([0, 1])) == 1
     assert quality.distance(np.array([0, 0]), np.array([0, 1])) == 0
+
+
+class Idle:
+    """A classifier that says yes to every family."""
+
+    def probabilities(self, ws):
+        return np.ones(len(licences.FAMILIES) + 1) / (len(licences.FAMILIES) + 1)
+
+
+#: Texts that word triples alone would confirm, none of them a notice of a known family.
+CONFUSABLE = (
+    *licences.RIVALS[:8],
+    "The code is not licensed under the MIT license.",
+    "This work is no longer licensed under the GNU General Public License, version 3.",
+    "It was never released under the MIT License, whatever others say.",
+    "This program is free software: you can redistribute it and/or modify it\nunder the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+)
+
+
+def test_the_classifier_decides(spark):
+    model = licences.fitted(frame(spark, [(i, " ".join(f"plain{(i * k) % 91}" for k in range(40))) for i in range(1, 60)]))
+    idle = [licences.scanned(t, Idle())[3] for t in CONFUSABLE]
+    assert [licences.scanned(t, model)[3] for t in CONFUSABLE] == [None] * len(CONFUSABLE) and sum(x is not None for x in idle) == 9
+    rest = "plain text of another kind stands before and after it"
+    for family, texts in licences.TEMPLATES.items():
+        for t in texts:
+            for text in (t, f"{rest} {t} {rest}", f"{rest}\n{t}\n{rest}"):
+                assert family in (licences.scanned(text, model)[3] or "").split(","), (family, text)
