@@ -62,15 +62,21 @@ def _where(jobs: DataFrame, which: Column, changes: dict[str, Column]) -> DataFr
     return jobs.withColumns({c: F.when(which, v).otherwise(F.col(c)) for c, v in changes.items()})
 
 
-def completed(jobs: DataFrame, which: Column) -> DataFrame:
-    return _where(jobs, which, {"status": F.lit("completed"), "last_error": F.lit(None).cast("string"), **_unlocked()})
+def _over(jobs: DataFrame, when: Column) -> dict[str, Column]:
+    """The end's time, for tables that keep it."""
+    return {"completed_at": when} if "completed_at" in jobs.columns else {}
+
+
+def completed(jobs: DataFrame, which: Column, now: str | None = None) -> DataFrame:
+    over = _over(jobs, at(now)) if now else {}
+    return _where(jobs, which, {"status": F.lit("completed"), "last_error": F.lit(None).cast("string"), **over, **_unlocked()})
 
 
 def failed(jobs: DataFrame, which: Column, error: Column, delay_seconds: Column, now: str) -> DataFrame:
-    """With a delay the job is pending again after it, with none (null) it has failed."""
+    """With a delay the job is pending again after it, with none (null) it has failed and is over (``completed_at``, if the table has it)."""
     again = delay_seconds.isNotNull()
     later = at(now) + F.make_dt_interval(secs=F.coalesce(delay_seconds, F.lit(0)).cast("decimal(18,6)"))
-    return _where(jobs, which, {"status": F.when(again, "pending").otherwise("failed"), "run_after": F.when(again, later).otherwise(F.col("run_after")), "last_error": error, **_unlocked()})
+    return _where(jobs, which, {"status": F.when(again, "pending").otherwise("failed"), "run_after": F.when(again, later).otherwise(F.col("run_after")), "last_error": error, **_over(jobs, F.when(again, F.col("completed_at") if "completed_at" in jobs.columns else None).otherwise(at(now))), **_unlocked()})
 
 
 def stale(now: str, seconds: int) -> Column:

@@ -34,6 +34,13 @@ def _saved(s, d):
     return _index(s, d).saved(f"{scratch(s)}/index")
 
 
+def _stored_results(s, d):
+    """All calls' plug-in results as a table, sorted by call: a call's results are a pruned scan."""
+    folder = f"{scratch(s)}/results"
+    plugins.run_plugins(V.table(s, d, "documents").select(F.col("doc_id").alias("call_id"), "text")).repartitionByRange("call_id").sortWithinPartitions("call_id", "plugin").write.parquet(folder)
+    return s.read.parquet(folder)
+
+
 def _totals(index):
     """An index by column: entries' words, terms and a checksum of them."""
     p = index.postings.groupBy("column").agg(F.count("*").alias("postings"), F.sum("tf").alias("tf"), F.sum(F.length("term")).alias("letters"))
@@ -125,7 +132,7 @@ QUERIES = {
     "analysis_by_call": lambda s, d: _analysis_json(s, d).where("call_id = 9").select("call_id", "title", F.get_json_object("analysis_json", "$.resolved").alias("resolved")),
     "organization_name": lambda s, d: V.table(s, d, "region").where("r_regionkey = 2").select(F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("name")),
     "job_lookup": lambda s, d: V.jobs(s, d).where("id = 11").select("id", "call_id", "kind", "status", "attempt"),
-    "plugin_results_of_call": lambda s, d: plugins.run_plugins(V.table(s, d, "documents").where("doc_id = 9").select(F.col("doc_id").alias("call_id"), "text")).select("plugin", F.get_json_object("payload", "$.words").cast("bigint").alias("words")).orderBy("plugin"),
+    "plugin_results_of_call": lambda s, d: _stored_results(s, d).where("call_id = 9").select("plugin", F.get_json_object("payload", "$.words").cast("bigint").alias("words")).orderBy("plugin"),
     "speakers_of_call": lambda s, d: V.voice_prints(s, d).where("call_id = 5").withColumn("blob", vectors.encoded(F.col("embedding"))).select("speaker_id", "name", F.octet_length("blob").cast("bigint").alias("bytes"), F.round(vectors.decoded(F.col("blob"))[0], 4).alias("x")).orderBy("speaker_id"),
     "update_status": lambda s, d: R.set_status(_stamped(s, d), 7, "failed", NOW).select("id", "status", F.date_format("updated_at", STAMP).alias("updated_at")),
     "replace_tags": lambda s, d: R.set_tags(_stamped(s, d), 7, ["vip", 'a "b"']).select("id", "tags", F.size(R.tags_of(F.col("tags"))).alias("n")),
@@ -145,7 +152,7 @@ QUERIES = {
     "index_deleted": lambda s, d: _totals(_index(s, d).without(V.index_rows(s, d).select((F.col("call_id") * 3).alias("call_id")))),
     "index_search": lambda s, d: _saved(s, d).ranked(QUERY).withColumn("score", F.round("score", 6)),
     "index_search_filtered": lambda s, d: I.searched(_saved(s, d), V.calls(s, d), QUERY, organization_id=2, created_from="1993-01-01", created_to="1997-12-31", direction="incoming", status="completed", limit=20, offset=1).select("call_id", "score"),
-    "index_search_blank": lambda s, d: I.searched(_index(s, d), V.calls(s, d), " *() ").select("call_id", "score"),
+    "index_search_blank": lambda s, d: V.calls(s, d).join(I.searched(_index(s, d), V.calls(s, d), " *() ").select(F.col("call_id").alias("id"), "score"), "id", "left").groupBy("status").agg(F.count("*").alias("calls"), F.count("score").alias("hits")),
     "call_list_search": lambda s, d: I.listed(V.calls(s, d), _saved(s, d), "place7").select("id", "external_id"),
     "call_list_search_id": lambda s, d: I.listed(V.calls(s, d), _saved(s, d), "call-12").select("id", "external_id"),
     "answers_coerced": _coerced,
@@ -213,7 +220,7 @@ SQL = {
     "index_deleted": sql(V.INDEX_ROWS, "r AS (SELECT * FROM index_rows WHERE call_id NOT IN (SELECT 3 * doc_id FROM documents))", _flat("r"), body=_TOTALS),
     "index_search": sql(V.INDEX_ROWS, _flat("index_rows"), _HITS, body="SELECT * FROM hits"),
     "index_search_filtered": sql(V.INDEX_ROWS, V.CALLS, _flat("index_rows"), _HITS, body="SELECT call_id, score FROM hits JOIN calls ON id = call_id WHERE organization_id = 2 AND created_at BETWEEN TIMESTAMP '1993-01-01' AND TIMESTAMP '1997-12-31' AND direction = 'incoming' AND status = 'completed' ORDER BY score DESC, created_at DESC, call_id LIMIT 20 OFFSET 1"),
-    "index_search_blank": "SELECT 0::BIGINT AS call_id, 0.0::DOUBLE AS score WHERE false",
+    "index_search_blank": sql(V.CALLS, body="SELECT status, count(*) AS calls, 0::BIGINT AS hits FROM calls GROUP BY 1"),
     "call_list_search": sql(V.CALLS, body="SELECT id, external_id FROM calls WHERE external_id LIKE '%place7%' OR id IN (SELECT doc_id FROM documents WHERE doc_id % 20 = 7)"),
     "call_list_search_id": sql(V.CALLS, V.INDEX_ROWS, _flat("index_rows"), body="SELECT id, external_id FROM calls WHERE external_id LIKE '%call-12%' OR id IN (SELECT call_id FROM flat WHERE len(list_filter(terms, lambda t: starts_with(t, 'call-12'))) > 0)"),
     "answers_coerced": "SELECT doc_id AS call_id, "

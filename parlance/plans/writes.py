@@ -35,8 +35,8 @@ def _cascade(s, d):
 
 
 def _voices(s, d):
-    old = V.voice_prints(s, d).where("id < 300").withColumn("embedding", F.slice("embedding", 1, 1))
-    new = V.voice_prints(s, d).where("id >= 200").withColumn("embedding", F.array(F.lit(0.5)))
+    old = V.voice_prints(s, d).where("id % 3 <> 0").withColumn("embedding", F.slice("embedding", 1, 1))
+    new = V.voice_prints(s, d).where("id % 3 <> 1").withColumn("embedding", F.array(F.lit(0.5)))
     return C.voice_prints_merged(old, new).select("call_id", "speaker_id", "name", F.round(F.element_at("embedding", 1), 5).alias("x"))
 
 
@@ -116,7 +116,7 @@ SQL = {
     "toggle_favorite": sql(V.CALLS, body="SELECT id, CASE WHEN id = 7 THEN NOT is_favorite ELSE is_favorite END AS is_favorite FROM calls"),
     "commit_analysis": sql(V.CALLS, V.ANALYSES, body="SELECT id, CASE WHEN id IN (SELECT call_id FROM analyses WHERE call_id % 2 = 1) THEN 'completed' ELSE status END AS status FROM calls"),
     "delete_cascade": sql(V.CALLS, V.JOBS, V.VOICE_PRINTS, "g AS (SELECT id FROM calls WHERE status = 'processing')", body="SELECT 'jobs' AS name, count(*) AS n FROM jobs WHERE call_id IS NULL OR call_id NOT IN (FROM g) UNION ALL SELECT 'voice_prints', count(*) FROM voice_prints WHERE call_id NOT IN (FROM g) UNION ALL SELECT 'calls', count(*) FROM calls WHERE id NOT IN (FROM g)"),
-    "upsert_voice_prints": sql(V.VOICE_PRINTS, body="SELECT call_id, speaker_id, CASE WHEN id < 300 THEN name END AS name, CASE WHEN id >= 200 THEN 0.5 ELSE round(embedding[1], 5) END AS x FROM voice_prints"),
+    "upsert_voice_prints": sql(V.VOICE_PRINTS, body="SELECT call_id, speaker_id, CASE WHEN id % 3 <> 0 THEN name END AS name, CASE WHEN id % 3 <> 1 THEN 0.5 ELSE round(embedding[1], 5) END AS x FROM voice_prints"),
     "create_calls": sql(V.CALLS, body="SELECT id + 1000000 AS id, organization_id, CASE WHEN id % 12 = 0 THEN NULL ELSE 'new-' || id END AS external_id FROM calls WHERE id % 4 = 0 AND id % 8 <> 0"),
     "stream_job_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_segments": sql(V.SEGMENTS, V.WORDS, _SEG, body="SELECT call_id, part AS sequence, any_value(speaker_id) AS speaker_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_words, string_agg(word, ' ' ORDER BY sequence, pos) AS text FROM s2 GROUP BY 1, 2"),

@@ -64,3 +64,12 @@ def test_repeated_keys_are_reduced(spark):
     assert rows(calls.upserted(old, new, "call_id")) == [(1, "z", 2), (2, "b", 1), (3, "d", 1)]
     done, analyses = records.commit_analyses(spark.createDataFrame([Row(id=1, status="x")]), old, new)
     assert analyses.count() == analyses.select("call_id").distinct().count() == 3 and done.first().status == "completed"
+
+
+def test_failed_jobs_are_over(spark):
+    from parlance.operators import queue
+
+    jobs = spark.createDataFrame([(1, "running", None), (2, "running", None)], "id int, status string, completed_at timestamp_ntz").withColumns({"run_after": F.lit(None).cast("timestamp_ntz"), "last_error": F.lit(None).cast("string"), "locked_at": F.lit(None).cast("timestamp_ntz"), "locked_by": F.lit("w")})
+    got = {r.id: r for r in queue.failed(jobs, F.lit(True), F.lit("e"), F.when(F.col("id") == 1, 10), "2024-01-01 00:00:00").collect()}
+    assert (got[1].status, got[1].completed_at) == ("pending", None) and got[2].status == "failed" and str(got[2].completed_at) == "2024-01-01 00:00:00"
+    assert str(queue.completed(jobs, F.lit(True), "2024-01-02 00:00:00").first().completed_at) == "2024-01-02 00:00:00"
