@@ -138,6 +138,15 @@ def day_bars(daily: DataFrame) -> DataFrame:
     return daily.select("day", "n", F.greatest(F.lit(8), F.floor(100 * F.col("n") / F.max("n").over(Window.partitionBy()))).cast("bigint").alias("height"))
 
 
+def fresh_name(taken: list[str], name: str) -> str:
+    """``name``, with a number if there is one already."""
+    used, free, k = {t.lower() for t in taken}, name, 0
+    while free.lower() in used:
+        k += 1
+        free = f"{name}_{k}"
+    return free
+
+
 def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
     return rows.withColumn("r_", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("r_ = 1").drop("r_")
