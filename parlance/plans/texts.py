@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parlance.functions import lenient as L
 from parlance.functions import text as T
 from parlance.operators import exports as X
+from parlance.operators import ngrams
 from parlance.operators import search as S
 from parlance.sources import views as V
 from parlance.sources.views import NOW, sql
@@ -88,6 +89,7 @@ QUERIES = {
     "normalize_text": lambda s, d: _sample(s, d).select("call_id", T.normalised(F.col("t")).alias("text")),
     "detect_direction": lambda s, d: _sample(s, d).select("call_id", T.direction(F.expr("CASE WHEN call_id % 10 = 0 THEN 'שלום עולם abc' ELSE t END"), F.expr("CASE WHEN call_id % 3 = 0 THEN primary_language END")).alias("direction")),
     "detect_script_language": lambda s, d: _sample(s, d).select("call_id", T.script_language(F.expr("CASE call_id % 10 WHEN 0 THEN 'שלום עולם' WHEN 1 THEN 'Привет мир' WHEN 2 THEN '12 34' WHEN 3 THEN 'مرحبا بالعالم' WHEN 4 THEN 'سلام چطوری' ELSE t END")).alias("language")),
+    "ngram_language": lambda s, d: ngrams.detected(_docs(s, d).select("doc_id", "text"), "text", ngrams.profiles(_docs(s, d), "text", "lang")).select("doc_id", "language", "lead"),
     "agent_greeting": lambda s, d: V.segments(s, d).select("call_id", "sequence", T.is_greeting(F.expr("CASE WHEN sequence % 4 = 0 THEN concat('HOW CAN I HELP ', raw_text) ELSE raw_text END")).alias("greets")),
     "parse_filename": _parsed,
     "degenerate_text": lambda s, d: _docs(s, d).select("doc_id", T.is_degenerate(F.col("text")).alias("degenerate")),
