@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
+from parlance.sources.files import safe_key
+
 
 def _at(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -29,27 +33,53 @@ def read(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def publish(spark: SparkSession, folder: str, name: str, text: str) -> bool:
-    """Writes a small file beside its place and renames it; false if another writer was first.
+class Taken(FileExistsError):
+    """There is a file of that name already."""
+
 
-    A writer that dies leaves a hidden file at most.
+def put(spark: SparkSession, folder: str, key: str, chunks: Iterable[bytes], replace: bool = False) -> tuple[int, str]:
+    """Stores a file under ``key`` and returns its size and SHA-256, taken while it is written.
+
+    The chunks go to a hidden file beside the place, which is then renamed: a
+    reader sees the whole file or none, and a writer that dies leaves a hidden
+    file at most. A key can't lead out of the folder. A file that is there
+    already is an error, or with ``replace`` gives way.
     """
-    jvm = spark._jvm
-    staged, files = _at(spark, f"{folder}/.{name}.{uuid.uuid4().hex}")
-    files.mkdirs(staged.getParent())
-    stream = files.create(staged, False)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
-    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    jvm, key = spark._jvm, safe_key(key)
+    target, files = _at(spark, f"{folder}/{key}")
+    staged = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    files.mkdirs(target.getParent())
+    digest, size = hashlib.sha256(), 0
+    option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(option, 1 if replace else 0)
+    if replace:
+        how[0] = option.OVERWRITE
     try:
-        context.rename(staged, _at(spark, f"{folder}/{name}")[0], none)
-        return True
-    except Exception as e:  # noqa: BLE001  the gateway wraps all errors in one class
+        stream = files.create(staged, False)
+        try:
+            for chunk in chunks:
+                stream.write(bytearray(chunk))
+                digest.update(chunk)
+                size += len(chunk)
+        finally:
+            stream.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+        context.rename(staged, target, how)
+    except Exception as e:
         files.delete(staged, False)
         if "FileAlreadyExists" in str(e):
-            return False
+            raise Taken(key) from e
         raise
+    return size, digest.hexdigest()
+
+
+def publish(spark: SparkSession, folder: str, name: str, text: str) -> bool:
+    """Stores a small text file; false if another writer was first."""
+    try:
+        put(spark, folder, name, [text.encode()])
+        return True
+    except Taken:
+        return False
 
 
 def removed(spark: SparkSession, path: str) -> None:
