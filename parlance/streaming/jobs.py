@@ -18,6 +18,24 @@ def job_counts(events: DataFrame, delay: str = "1 hour", span: str = "1 day") ->
     return events.withWatermark("ts", delay).groupBy(F.window("ts", span).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
 
 
+def merged_regions(intervals: DataFrame, gap_ms: int = 300, least_ms: int = 200, pad_ms: int = 100, late: str = "10 seconds") -> DataFrame:
+    """Intervals of speech joined over gaps up to ``gap_ms`` as they come, in append mode.
+
+    Columns needed: call_id, at (when the interval begins), start_ms, end_ms and
+    total_ms. An interval is a session that ends ``gap_ms`` after it, so the gap
+    is each row's own; sessions that meet are one. Short ones are dropped, the
+    others widened within 0 and total_ms. A region comes out once the watermark,
+    ``late`` behind the newest interval, has passed it, and its state goes;
+    intervals that come later still are dropped and counted in the query's
+    progress.
+    """
+    # sessions that only touch are one, so a gap of just gap_ms joins
+    length = F.concat((F.col("end_ms") - F.col("start_ms") + gap_ms).cast("string"), F.lit(" milliseconds"))
+    rows = intervals.withWatermark("at", late).groupBy("call_id", F.session_window("at", length).alias("s"))
+    out = rows.agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("z"), F.max("total_ms").alias("total_ms")).where(F.col("z") - F.col("a") >= least_ms)
+    return out.select("call_id", F.greatest(F.col("a") - pad_ms, F.lit(0)).alias("start_ms"), F.least(F.col("z") + pad_ms, F.col("total_ms")).alias("end_ms"))
+
+
 class Segmenter(StatefulProcessor):
     """Keeps each call's open segment; a change of speaker or a long pause closes it. With ``idle_ms`` it is forgotten after that time."""
 
