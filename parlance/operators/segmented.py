@@ -10,9 +10,11 @@ writers one has to try again. Merging rewrites the newest segments as one.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -226,13 +228,38 @@ class Segmented:
         return rows.orderBy(*newest_first()).offset(want.offset).limit(want.limit), rows.agg(F.count("*").alias("total"))
 
 
-def positions(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """(call_id, column, term, positions, dl) of all words of some columns."""
+def positions(rows: DataFrame, columns: tuple[str, ...], held: int = 100_000) -> DataFrame:
+    """(call_id, column, term, positions, dl) of all words of some columns.
+
+    An entry's words are put together where it is read: words are never
+    shuffled one by one, only postings are, when they are sorted.
+    """
     if not columns:
         return rows.sparkSession.createDataFrame([], POSTINGS)
-    cols = F.array(*[F.struct(F.lit(c).alias("column"), terms_of(F.coalesce(F.col(c), F.lit(""))).alias("terms")) for c in columns])
-    flat = rows.select("call_id", "dl", F.explode(cols).alias("x")).select("call_id", "dl", F.col("x.column").alias("column"), F.posexplode("x.terms").alias("pos", "term"))
-    return flat.groupBy("call_id", "column", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"call_id": pa.int64(), "column": pa.string(), "term": pa.string(), "positions": pa.list_(pa.int32()), "dl": pa.int64()}
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * len(types)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values(), strict=True)], list(types))
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                call, dl = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                for c, name in enumerate(columns, 2):
+                    found: dict[str, list[int]] = {}
+                    for pos, term in enumerate(batch.column(c)[k].as_py()):
+                        found.setdefault(term, []).append(pos)
+                    out += [(call, name, term, at, dl) for term, at in found.items()]
+                if len(out) > held:
+                    yield flush()
+            yield flush()
+
+    terms = rows.select("call_id", "dl", *[terms_of(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns])
+    return terms.mapInArrow(run, POSTINGS)
 
 
 def snippets(rows: DataFrame, query: str, size: int = 15, before: str = "<b>", after: str = "</b>") -> DataFrame:
