@@ -50,7 +50,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id that holds them; lines that repeat within one document only stay. A null
     or empty text is one empty line (and becomes the empty text). Rows that
     repeat an id are one document. A null id counts as no document, so it makes
-    no line shared, but loses the lines that others share. Other columns,
+    no line shared, but loses the lines that others share. A very long text is
+    split whole, in memory in proportion to its length. Other columns,
     whatever their names, pass through; an empty table gives an empty table.
     """
     n_lines, n_dropped, th, of, drop, doc, lines = fresh(docs.columns, n_lines, n_dropped, "th", "of", "drop", "doc", "lines")

@@ -96,8 +96,11 @@ def chosen(docs: DataFrame, mix: Mix = MIX, domain: Column | None = None, id_col
     and, in epoch e, the longest prefix of that epoch's seeded order that fits
     into the rest. Rows without words are never taken. Null languages and
     sources are leaves of their own. Rows that repeat id, text and leaf are one
-    document: their words add up and they are taken together. An empty table
-    gives none.
+    document: their words add up and they are taken together. Equal keys of the
+    seeded order go by id, then by text hash. A very long text counts with all
+    its words, so one that is longer than its leaf's rest is never in a prefix.
+    Other columns, whatever their names, aren't looked at. An empty table gives
+    none.
     """
     domain = domain_of(F.col(source_col)) if domain is None else domain
     rows = docs.select(
@@ -126,7 +129,8 @@ def mixed(docs: DataFrame, mix: Mix = MIX, domain: Column | None = None, id_col:
     """``docs`` itself with every row as often as the mix takes it; the columns are those of ``docs``.
 
     Rows are told apart by id, text and leaf, as in ``chosen``, which says what
-    nulls, repeated rows, texts without words and an empty table give.
+    nulls, ties, repeated rows, very long texts, texts without words and an
+    empty table give. Columns of any name pass through.
     """
     names = fresh(docs.columns, "key", "th", "d", "l", "s", "copies", "epoch")
     key, th, d, lang, src, copies, epoch = names

@@ -201,7 +201,8 @@ def quality(docs: DataFrame, rules: Rules = RULES, text_col: str = "text", lang_
     to the reference of the document's language over all of ``docs``. Too short
     a document, or a language with too small a reference, is not judged by
     divergence (null distances). A null text has no words and fails; null
-    languages share one reference; a very long text is counted whole. Repeated
+    languages share one reference, equally common words are in it by their
+    letters; a very long text is counted whole. Repeated
     rows get equal verdicts and each count in the reference; an empty table
     gives an empty one. Other columns pass through; the new one gets a number
     if there is one of its name.
