@@ -35,11 +35,10 @@ Profiles = dict[str, dict[str, int]]
 
 def trigrams(text: str | None) -> Counter:
     """The letter trigrams of a text's words, with a blank at each end."""
-    out: Counter = Counter()
-    for word, n in Counter(_LETTERS.findall((text or "").lower())).items():
-        w = f" {word} "
-        for k in range(len(w) - 2):
-            out[w[k : k + 3]] += n
+    t = "  ".join(["", *_LETTERS.findall((text or "").lower()), ""])
+    out = Counter([t[k : k + 3] for k in range(len(t) - 2)])
+    for g in [g for g in out if "  " in g]:  # what lies across two words
+        del out[g]
     return out
 
 
