@@ -183,12 +183,17 @@ def covered(calls: DataFrame, jobs: DataFrame) -> DataFrame:
     return calls.where("status = 'processing'").join(live, "id", "left_semi").withColumn("status", F.lit("pending"))
 
 
-def appended_new(calls: DataFrame, new: DataFrame) -> DataFrame:
-    """New calls whose (organization_id, external_id) isn't there; a null external id never collides."""
+def created(calls: DataFrame, new: DataFrame) -> DataFrame:
+    """Of new calls those whose (organization_id, external_id) isn't there; a null external id never collides."""
     keys = ["organization_id", "external_id"]
     named = new.where("external_id IS NOT NULL").withColumn("r_", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where("r_ = 1").drop("r_")
     named = named.join(calls.select(*keys), keys, "left_anti").select(*calls.columns)
-    return calls.unionByName(named).unionByName(new.where("external_id IS NULL").select(*calls.columns))
+    return named.unionByName(new.where("external_id IS NULL").select(*calls.columns))
+
+
+def appended_new(calls: DataFrame, new: DataFrame) -> DataFrame:
+    """``calls`` and, of new ones, what ``created`` lets in."""
+    return calls.unionByName(created(calls, new))
 
 
 def updated(rows: DataFrame, key: str, value: object, **changes: Column) -> DataFrame:

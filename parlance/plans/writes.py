@@ -43,7 +43,7 @@ def _voices(s, d):
 def _created(s, d):
     c = V.calls(s, d).select("id", "organization_id", "external_id")
     new = c.where("id % 4 = 0").select((F.col("id") + 1_000_000).alias("id"), "organization_id", F.expr("CASE WHEN id % 8 = 0 THEN external_id WHEN id % 12 = 0 THEN NULL ELSE concat('new-', id) END").alias("external_id"))
-    return C.appended_new(c, new).where("id > 1000000")
+    return C.created(c, new)
 
 
 def _stream_counts(s, d):
