@@ -1,7 +1,7 @@
 """A kept text index: postings and lengths as tables, with replacing, retitling and deleting of entries.
 
-A search reads postings by ranges of terms (the tables are sorted by term, so
-a prefix is a pruned scan) and never the texts.
+A search reads postings by ranges of terms (they are sorted by term in blocks of
+some thousand entries, so a prefix is a scan of few pages) and never the texts.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.operators.search import K1, B, _prefixes, terms_of
+from parlance.operators.search import K1, B, _prefixes, postings, terms_of
 
 #: The columns of an entry that are searched.
 COLUMNS = ("title", "summary", "transcript", "topics", "entities", "reason", "resolution")
@@ -49,8 +49,8 @@ class Index:
         return Index(old(self.postings).unionByName(more.postings), old(self.lengths).unionByName(more.lengths))
 
     def saved(self, folder: str) -> Index:
-        """The index as tables in ``folder``, postings in ranges of terms."""
-        self.postings.repartitionByRange("term", "call_id").sortWithinPartitions("term", "call_id").write.parquet(f"{folder}/postings")
+        """The index as tables in ``folder``, postings as they come: a block's in the order of terms."""
+        self.postings.write.parquet(f"{folder}/postings")
         self.lengths.write.parquet(f"{folder}/lengths")
         return opened(self.postings.sparkSession, folder)
 
@@ -89,11 +89,10 @@ def _any(prefixes: list[str]) -> Column:
 
 
 def _built(rows: DataFrame, columns: tuple[str, ...]) -> Index:
-    cols = F.array(*[F.struct(F.lit(c).alias("column"), terms_of(F.coalesce(F.col(c), F.lit(""))).alias("terms")) for c in columns])
-    flat = rows.select("call_id", "organization_id", F.explode(cols).alias("x")).select("call_id", "organization_id", "x.column", "x.terms")
-    lengths = flat.select("call_id", "organization_id", "column", F.size("terms").cast("bigint").alias("n"))
-    postings = flat.select("call_id", "column", F.explode("terms").alias("term")).groupBy("call_id", "column", "term").agg(F.count("*").alias("tf"))
-    return Index(postings, lengths)
+    spread = rows.repartition("call_id")
+    cols = F.array(*[F.struct(F.lit(c).alias("column"), F.size(terms_of(F.coalesce(F.col(c), F.lit("")))).cast("bigint").alias("n")) for c in columns])
+    lengths = spread.select("call_id", "organization_id", F.explode(cols).alias("x")).select("call_id", "organization_id", "x.column", "x.n")
+    return Index(postings(rows, columns).drop("first_pos"), lengths)
 
 
 def built(rows: DataFrame) -> Index:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.functions.text import query_terms
 
@@ -35,11 +40,61 @@ def terms_of(c: Column) -> Column:
     return F.regexp_extract_all(folded(c), F.lit(WORD), F.lit(0))
 
 
+#: Words that a task sorts at once, at least one row's.
+MOST_WORDS = 2_000_000
+
+
+def occurrences(rows: DataFrame, kept: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
+    """(kept columns, column, term, tf, first_pos, positions) for each row's words in each column of texts.
+
+    A row's words are counted where it lies and are never shuffled; the rows
+    of some thousand texts stand together in the order of their terms.
+    """
+    words = rows.select(*kept, *[terms_of(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns])
+    types = {f.name: f.dataType for f in words.schema.fields}
+    schema = T.StructType([*[T.StructField(k, types[k]) for k in kept], *T.StructType.fromDDL("column string, term string, tf bigint, first_pos int, positions array<int>").fields])
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.columns[len(kept) :]
+        n = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists]).astype(np.int64)
+        words = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        cell = np.repeat(np.arange(len(n)), n)  # a column's row
+        pos = (np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        rank = np.empty(len(words.dictionary), np.int64)
+        rank[pc.array_sort_indices(words.dictionary).to_numpy()] = np.arange(len(rank))
+        code = words.indices.to_numpy(zero_copy_only=False)
+        at = rank[code] * max(len(n), 1) + cell
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        tf, cell, code, pos = np.diff(first, append=len(order)), cell[order][first], code[order][first], pos[order]
+        row, column = cell % max(batch.num_rows, 1), cell // max(batch.num_rows, 1)
+        names = pa.array(columns, pa.string()).take(pa.array(column))
+        held = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(pos))
+        out = [*[x.take(pa.array(row)) for x in batch.columns[: len(kept)]], names, words.dictionary.take(pa.array(code)), pa.array(tf), pa.array(pos[first]), held]
+        return pa.RecordBatch.from_arrays(out, [*kept, "column", "term", "tf", "first_pos", "positions"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.sum([pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in columns], axis=0)
+            part, start = (np.cumsum(n) - n) // MOST_WORDS, 0
+            for end in [*(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]:
+                yield counted(batch.slice(start, end - start))
+                start = end
+
+    return words.mapInArrow(run, schema)
+
+
+def repeats(rows: DataFrame, key: str) -> bool:
+    """Whether two rows have one key; reads the keys alone."""
+    return not rows.groupBy(key).count().where("count > 1").isEmpty()
+
+
 def postings(docs: DataFrame, columns: tuple[str, ...], key: str = "call_id") -> DataFrame:
     """(key, column, term, tf, first position) for all texts."""
-    cols = F.array(*[F.struct(F.lit(c).alias("column"), terms_of(F.coalesce(F.col(c), F.lit(""))).alias("terms")) for c in columns])
-    rows = docs.select(key, F.explode(cols).alias("x")).select(key, F.col("x.column").alias("column"), F.posexplode("x.terms").alias("pos", "term"))
-    return rows.groupBy(key, "column", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
+    rows = occurrences(docs.repartition(key), (key,), columns).select(key, "column", "term", "tf", "first_pos")
+    if not repeats(docs, key):
+        return rows
+    return rows.groupBy(key, "column", "term").agg(F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos"))
 
 
 def _prefixes(query: str) -> list[str]:

@@ -1,7 +1,8 @@
 """A text index of small immutable segments: an update writes its own rows, a search reads ranges of terms.
 
-A segment has postings sorted by term (with the words' positions and the
-entry's length), its entries, and marks for what it replaces in older segments.
+A segment has its entries sorted by call, postings (with the words' positions and
+the entry's length) sorted by term in blocks of some thousand entries, and marks
+for what it replaces in older segments.
 A manifest names the segments and the totals that ranking needs; it is
 published by a rename, so readers see an update whole or not at all, and of two
 writers one has to try again. Merging rewrites the newest segments as one.
@@ -10,22 +11,22 @@ writers one has to try again. Merging rewrites the newest segments as one.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.operators.calls import DisplayFilter, newest_first
 from parlance.operators.index import COLUMNS, _any, _begins
-from parlance.operators.search import K1, WORD, B, _prefixes, folded, terms_of
+from parlance.operators.search import K1, WORD, B, _prefixes, folded, occurrences, repeats, terms_of
 from parlance.sources import publish
 
 POSTINGS = "call_id bigint, column string, term string, positions array<int>, dl bigint"
 ENTRIES = "call_id bigint, organization_id bigint, title string, summary string, transcript string, title_n bigint, dl bigint, part string"
 GONE = "call_id bigint, part string"
+#: Marks of replaced entries that are sent to all tasks; more are joined by call.
+MOST_MARKS = 1_000_000
 #: The weight of a position, the limit of the sum of 1 / i ** 2, and the most positions of a word.
 WEIGHT, LIMIT, MOST_POSITIONS = 0.1, 1.64493406685, 256
 
@@ -58,6 +59,7 @@ class Segmented:
         if not any(s["gone"] for s in segments):
             return rows
         last = self._table("gone", GONE, segments).where(replaced).groupBy("call_id").agg(F.max("seg").alias("last_"))
+        last = F.broadcast(last) if sum(s["gone"] for s in segments) <= MOST_MARKS else last
         return rows.join(last, "call_id", "left").where("last_ IS NULL OR seg >= last_").drop("last_")
 
     def entries(self, segments: list[dict] | None = None) -> DataFrame:
@@ -80,16 +82,19 @@ class Segmented:
         if not publish.publish(self.spark, f"{self.folder}/manifest", f"v{now['version']:09d}.json", json.dumps(now)):
             raise Conflict(f"version {now['version']} is there already")
 
-    def _written(self, seg: int, kind: str, rows: DataFrame, *order: str) -> int:
+    def _written(self, seg: int, kind: str, rows: DataFrame) -> int:
         path = f"{self.folder}/{kind}/seg={seg}"
-        (rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows).write.mode("overwrite").parquet(path)
+        rows.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path).count()
 
     def _added(self, rows: DataFrame, gone: DataFrame, part: str, columns: tuple[str, ...]) -> dict:
         """Writes a segment and publishes it; what it writes is in proportion to ``rows`` and ``gone``."""
         known = self.manifest()
         seg, old = known["next"], self.entries(known["segments"])
-        new = {"seg": seg, "postings": self._written(seg, "postings", positions(rows, columns), "term", "call_id"), "entries": self._written(seg, "entries", rows.select(*[c.split()[0] for c in ENTRIES.split(", ")[:-1]], F.lit(part).alias("part")), "call_id")}
+        # postings are made of the entries as they have been written: in even parts, texts read once more and not shuffled again
+        held = self._written(seg, "entries", rows.withColumn("part", F.lit(part)))
+        stored = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/entries/seg={seg}")
+        new = {"seg": seg, "postings": self._written(seg, "postings", positions(stored, columns)), "entries": held}
         new["gone"] = self._written(seg, "gone", gone.select("call_id", F.lit(part).alias("part")).distinct()) if known["segments"] else 0
         marks, added = self._table("gone", GONE, [new]).select("call_id"), self._table("entries", ENTRIES, [new])
         less = old.join(marks.distinct(), "call_id", "left_semi").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
@@ -99,20 +104,21 @@ class Segmented:
 
     def replaced(self, rows: DataFrame) -> dict:
         """Entries (call_id, organization_id and COLUMNS) in place of those that their calls had; of repeated ids the greatest counts."""
-        one = rows.groupBy("call_id").agg(F.max(F.struct(*[c for c in rows.columns if c != "call_id"])).alias("r_")).select("call_id", "r_.*")
-        one = one.withColumn("title_n", F.size(terms_of(F.col("title"))).cast("bigint")).withColumn("dl", reduce(Column.__add__, [F.size(terms_of(F.col(c))) for c in COLUMNS]).cast("bigint"))
-        return self._added(one, one, "entry", COLUMNS)
+        one = rows if not repeats(rows, "call_id") else rows.groupBy("call_id").agg(F.max(F.struct(*[c for c in rows.columns if c != "call_id"])).alias("r_")).select("call_id", "r_.*")
+        sizes = [F.size(terms_of(F.col(c))).cast("bigint") for c in COLUMNS]
+        one = _by_call(one).withColumn("n_", F.array(*sizes)).withColumns({"title_n": F.get("n_", F.lit(0)), "dl": F.aggregate("n_", F.lit(0).cast("bigint"), lambda a, x: a + x)}).drop("n_")
+        return self._added(one, rows, "entry", COLUMNS)
 
     def retitled(self, titles: DataFrame) -> dict:
         """New titles (call_id, title) for entries that are there: only these are indexed anew."""
         new = titles.groupBy("call_id").agg(F.max("title").alias("new_"))
         own = self.entries().join(new, "call_id").withColumn("n_", F.size(terms_of(F.col("new_"))).cast("bigint"))
-        rows = own.withColumns({"title": F.col("new_"), "dl": F.col("dl") - F.col("title_n") + F.col("n_"), "title_n": F.col("n_"), "summary": F.lit(None).cast("string"), "transcript": F.lit(None).cast("string")})
+        rows = own.withColumns({"title": F.col("new_"), "dl": F.col("dl") - F.col("title_n") + F.col("n_"), "title_n": F.col("n_"), "summary": F.lit(None).cast("string"), "transcript": F.lit(None).cast("string")}).drop("new_", "n_", "seg", "part")
         return self._added(rows, rows, "title", ("title",))
 
     def without(self, calls: DataFrame) -> dict:
         """Deletes entries; those that aren't there don't matter."""
-        return self._added(self.spark.createDataFrame([], ENTRIES.replace("part string", "seg int")).withColumns({c: F.lit("") for c in COLUMNS if c not in ENTRIES}), calls, "entry", ())
+        return self._added(self.spark.createDataFrame([], ENTRIES).drop("part"), calls, "entry", ())
 
     def merged(self, most: int = 8, growth: int = 2) -> dict | None:
         """If there are more than ``most`` segments, the newest ones become one; None if there is nothing to do.
@@ -134,7 +140,7 @@ class Segmented:
         joined = whole.join(title, ["call_id"], "full").select("call_id", F.coalesce("organization_id", "o_").alias("organization_id"), F.when(F.col("n_").isNotNull(), F.col("t_")).otherwise(F.col("title")).alias("title"), "summary", "transcript", F.coalesce("n_", "title_n").alias("title_n"), F.coalesce("d_", "dl").alias("dl"), F.when(F.col("dl").isNull(), "title").otherwise("entry").alias("part"))
         # words' rows have their entry's length, which a new title changes
         words = self.postings(tail).join(title.select("call_id", "d_"), "call_id", "left").withColumn("dl", F.coalesce("d_", "dl")).drop("d_", "seg")
-        new = {"seg": seg, "postings": self._written(seg, "postings", words, "term", "call_id"), "entries": self._written(seg, "entries", joined, "call_id")}
+        new = {"seg": seg, "postings": self._written(seg, "postings", words.sortWithinPartitions("term", "call_id")), "entries": self._written(seg, "entries", _by_call(joined))}
         new["gone"] = self._written(seg, "gone", self._table("gone", GONE, tail).groupBy("call_id").agg(F.min("part").alias("part"))) if rest else 0
         self._publish(known, [*rest, new], known["entries"], known["words"])
         return new
@@ -209,7 +215,8 @@ class Segmented:
         top = found.orderBy(F.desc("score"), F.desc("created_at"), "call_id").offset(offset).limit(limit).collect()  # a page
         held = self.manifest()["segments"]
         ids = [r.call_id for r in top]
-        entries = self._table("entries", ENTRIES, held).where(F.col("call_id").isin(ids) if ids else F.lit(False))
+        # equalities prune pages one by one, a list of more than ten ids only the range of all
+        entries = self._table("entries", ENTRIES, held).where(reduce(Column.__or__, [F.col("call_id") == i for i in ids], F.lit(False)))
         whole = self._alive(entries.where("part = 'entry'"), held, F.col("part") == "entry")
         newer = self._alive(entries.where("part = 'title'"), held, F.lit(True)).select("call_id", F.col("title").alias("t_"))
         texts = whole.join(newer, "call_id", "left").select("call_id", F.coalesce("t_", "title").alias("title"), "summary", "transcript")
@@ -228,38 +235,15 @@ class Segmented:
         return rows.orderBy(*newest_first()).offset(want.offset).limit(want.limit), rows.agg(F.count("*").alias("total"))
 
 
-def positions(rows: DataFrame, columns: tuple[str, ...], held: int = 100_000) -> DataFrame:
-    """(call_id, column, term, positions, dl) of all words of some columns.
+def _by_call(rows: DataFrame) -> DataFrame:
+    return rows.repartitionByRange("call_id").sortWithinPartitions("call_id")
 
-    An entry's words are put together where it is read: words are never
-    shuffled one by one, only postings are, when they are sorted.
-    """
+
+def positions(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(call_id, column, term, positions, dl) of all words of some columns."""
     if not columns:
         return rows.sparkSession.createDataFrame([], POSTINGS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"call_id": pa.int64(), "column": pa.string(), "term": pa.string(), "positions": pa.list_(pa.int32()), "dl": pa.int64()}
-        out: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [()] * len(types)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values(), strict=True)], list(types))
-
-        for batch in batches:
-            for k in range(batch.num_rows):
-                call, dl = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                for c, name in enumerate(columns, 2):
-                    found: dict[str, list[int]] = {}
-                    for pos, term in enumerate(batch.column(c)[k].as_py()):
-                        found.setdefault(term, []).append(pos)
-                    out += [(call, name, term, at, dl) for term, at in found.items()]
-                if len(out) > held:
-                    yield flush()
-            yield flush()
-
-    terms = rows.select("call_id", "dl", *[terms_of(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns])
-    return terms.mapInArrow(run, POSTINGS)
+    return occurrences(rows, ("call_id", "dl"), columns).select("call_id", "column", "term", "positions", "dl")
 
 
 def snippets(rows: DataFrame, query: str, size: int = 15, before: str = "<b>", after: str = "</b>") -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from parlance.operators import calls as C
+from parlance.operators import search as S
+from parlance.operators import segmented as G
 from parlance.plans import registry
 
 from .compare import connection, rows
@@ -26,3 +28,35 @@ def test_appended_calls_keep_the_old_ones(spark):
     old, new = frame([(1, 1, "a"), (2, 1, None)]), frame([(3, 1, "a"), (4, 2, "a"), (5, 1, None)])
     assert {r.id for r in C.created(old, new).collect()} == {4, 5}
     assert {r.id for r in C.appended_new(old, new).collect()} == {1, 2, 4, 5}
+
+
+def brute_postings(rows):
+    out = {}
+    for key, text in rows:
+        for pos, term in enumerate((text or "").split()):
+            tf, first = out.get((key, term), (0, pos))
+            out[key, term] = tf + 1, min(first, pos)
+    return {(k, "text", t, *v) for (k, t), v in out.items()}
+
+
+def test_postings_shuffle_texts_and_no_words(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_WORDS", 7)
+    texts = [(i, " ".join(f"w{j * j % (i + 1)}" for j in range(i))) for i in range(40)] + [(100, None), (101, "")]
+    got = S.postings(spark.createDataFrame(texts, "call_id long, text string"), ("text",))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    assert {tuple(r) for r in got.collect()} == brute_postings(texts)
+    again = [*texts, (39, "w0 new w0"), (None, "x"), (None, "y x")]
+    got = S.postings(spark.createDataFrame(again, "call_id long, text string"), ("text",))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, brute_postings(again)))
+
+
+def test_index_postings_are_made_of_stored_entries(spark, tmp_path):
+    index = G.Segmented(spark, str(tmp_path))
+    entry = lambda i, text: (i, 0, "t", "s", text, "", "", "", "")
+    schema = "call_id long, organization_id long, title string, summary string, transcript string, topics string, entities string, reason string, resolution string"
+    index.replaced(spark.createDataFrame([entry(1, "b a b"), entry(2, "c"), entry(2, "d d")], schema))
+    got = {(r.call_id, r.term, tuple(r.positions), r.dl) for r in index.postings().where("column = 'transcript'").collect()}
+    assert got == {(1, "a", (1,), 5), (1, "b", (0, 2), 5), (2, "d", (0, 1), 4)} and index.manifest()["entries"] == 2
+    plan = index.page(spark.createDataFrame([(1, None)], "id long, created_at timestamp_ntz"), "b")._jdf.queryExecution().toString()
+    assert "EqualTo(call_id,1)" in plan
