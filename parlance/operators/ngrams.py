@@ -19,7 +19,7 @@ from parlance.operators.calls import fresh_name
 
 @dataclass(frozen=True)
 class Ngrams:
-    """Ranks of a profile; letters below which, and the lead over the second language (a share of its distance) below which, a text is unsure; trigrams that a task counts at a time."""
+    """Ranks of a profile; letters below which, and the lead over the second language (a share of its distance) below which, a text is unsure; distinct words that a task counts at a time."""
 
     ranks: int = 300
     least_letters: int = 40
@@ -44,25 +44,32 @@ def trigrams(text: str | None) -> Counter:
 
 def ranked(counts: Counter, ranks: int) -> dict[str, int]:
     """The commonest trigrams by rank; equal ones by their letters."""
-    return {g: r for r, (g, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:ranks])}
+    order = sorted(counts)
+    order.sort(key=counts.__getitem__, reverse=True)  # stable
+    return {g: r for r, g in enumerate(order[:ranks])}
 
 
 def profiles(texts: DataFrame, text: str, language: str, ngrams: Ngrams = NGRAMS) -> Profiles:
     """Of each language its commonest trigrams over all texts that say it: counted in Spark, of which ``ranks`` rows a language come back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        # a language's words are counted first: each is cut once, however often it stands in texts
+        words: dict[str, Counter] = {}
 
         def flush() -> pa.RecordBatch:
+            counts: Counter = Counter()
+            for lang, held in words.items():
+                for word, n in held.items():
+                    for k in range(len(word)):
+                        counts[lang, f" {word} "[k : k + 3]] += n
+            words.clear()
             cols = [[k[0] for k in counts], [k[1] for k in counts], list(counts.values())]
-            counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["language", "gram", "n"])
 
         for batch in batches:
             for lang, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for g, n in trigrams(t.as_py()).items():
-                    counts[lang, g] += n
-                if len(counts) > ngrams.held:
+                words.setdefault(lang, Counter()).update(_LETTERS.findall((t.as_py() or "").lower()))
+                if sum(map(len, words.values())) > ngrams.held:
                     yield flush()
         yield flush()
 
