@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ class LanguageModel(Protocol):
     def complete(self, prompt: str) -> str: ...
 
 
+#: Texts whose results a task holds at a time.
+ROWS = 1000
 _PLUGINS: dict[str, Callable[[str], Any]] = {}
 
 
@@ -40,20 +42,22 @@ def run_plugins(texts: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(call_id, plugin, payload, error): each plug-in on each text; a failing one spoils no other."""
     chosen = {n: _PLUGINS[n] for n in (names or sorted(_PLUGINS))}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples():
-                for name, f in chosen.items():
-                    try:
-                        value = f(row.text)
-                        if value is not None:
-                            out.append((row.call_id, name, json.dumps(value, sort_keys=True), None))
-                    except Exception as e:  # a plug-in may do anything
-                        out.append((row.call_id, name, None, f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(out, columns=["call_id", "plugin", "payload", "error"])
-
-    return texts.select("call_id", "text").mapInPandas(run, "call_id bigint, plugin string, payload string, error string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part, out = batch.slice(start, ROWS), []
+                for call, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    for name, f in chosen.items():
+                        try:
+                            value = f(text.as_py())
+                            if value is not None:
+                                out.append((call, name, json.dumps(value, sort_keys=True), None))
+                        except Exception as e:  # a plug-in may do anything
+                            out.append((call, name, None, f"{type(e).__name__}: {e}"[:200]))
+                cols = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.string()] * 3), strict=True)], ["call_id", "plugin", "payload", "error"])
+
+    return texts.select("call_id", "text").mapInArrow(run, "call_id bigint, plugin string, payload string, error string")
 
 
 @plugin("word_count")
