@@ -15,6 +15,8 @@ from parlance.operators.search import K1, B, _prefixes, postings, terms_of
 
 #: The columns of an entry that are searched.
 COLUMNS = ("title", "summary", "transcript", "topics", "entities", "reason", "resolution")
+#: Changed entries' ids that are sent to all tasks; more are joined by call.
+MOST_IDS = 1_000_000
 
 
 def entries(rows: DataFrame) -> DataFrame:
@@ -45,7 +47,11 @@ class Index:
         known = titles.join(self.lengths.select("call_id", "organization_id").distinct(), "call_id")
         more, title = _built(known, ("title",)), F.col("column") == "title"
         ids = known.select("call_id")
-        old = lambda rows: rows.where(~title).unionByName(rows.where(title).join(ids, "call_id", "left_anti"))
+        if titles.count() > MOST_IDS:
+            old = lambda rows: rows.where(~title).unionByName(rows.where(title).join(ids, "call_id", "left_anti"))
+        else:  # one look at the rows, which may have to be counted first
+            new = F.broadcast(ids.select(F.col("call_id").alias("id_")))
+            old = lambda rows: rows.join(new, (F.col("call_id") == F.col("id_")) & title, "left_anti")
         return Index(old(self.postings).unionByName(more.postings), old(self.lengths).unionByName(more.lengths))
 
     def saved(self, folder: str) -> Index:
@@ -89,9 +95,10 @@ def _any(prefixes: list[str]) -> Column:
 
 
 def _built(rows: DataFrame, columns: tuple[str, ...]) -> Index:
-    spread = rows.repartition("call_id")
-    cols = F.array(*[F.struct(F.lit(c).alias("column"), F.size(terms_of(F.coalesce(F.col(c), F.lit("")))).cast("bigint").alias("n")) for c in columns])
-    lengths = spread.select("call_id", "organization_id", F.explode(cols).alias("x")).select("call_id", "organization_id", "x.column", "x.n")
+    # words are counted last, so that what asks for ids alone reads no texts
+    flat = rows.select("call_id", "organization_id", *columns, F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+    n = F.coalesce(*[F.when(F.col("column") == c, F.size(terms_of(F.coalesce(F.col(c), F.lit(""))))) for c in columns])
+    lengths = flat.select("call_id", "organization_id", "column", n.cast("bigint").alias("n"))
     return Index(postings(rows, columns).drop("first_pos"), lengths)
 
 

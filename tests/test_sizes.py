@@ -3,9 +3,13 @@
 from pyspark.sql import functions as F
 
 from parlance.operators import calls as C
+from parlance.operators import index as I
+from parlance.operators import ngrams as N
+from parlance.operators import plugins
 from parlance.operators import search as S
 from parlance.operators import segmented as G
 from parlance.plans import registry
+from parlance.sources import views as V
 
 from .compare import connection, rows
 from .conftest import SF
@@ -60,3 +64,24 @@ def test_index_postings_are_made_of_stored_entries(spark, tmp_path):
     assert got == {(1, "a", (1,), 5), (1, "b", (0, 2), 5), (2, "d", (0, 1), 4)} and index.manifest()["entries"] == 2
     plan = index.page(spark.createDataFrame([(1, None)], "id long, created_at timestamp_ntz"), "b")._jdf.queryExecution().toString()
     assert "EqualTo(call_id,1)" in plan
+
+
+def test_ids_of_an_index_are_read_without_texts(spark):
+    lengths = I.built(I.entries(V.index_rows(spark, SF))).lengths
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint>" in plan(lengths.select("call_id", "organization_id").distinct())
+
+
+def test_plugins_hold_few_texts_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(plugins, "ROWS", 2)
+    texts = spark.createDataFrame([(i, "a " * i if i else None) for i in range(7)], "call_id long, text string")
+    got = plugins.run_plugins(texts, ["word_count"])
+    assert {(r.call_id, r.payload) for r in got.collect() if r.call_id} == {(i, f'{{"words": {i}}}') for i in range(1, 7)}
+    assert [r.error[:14] for r in got.where("payload IS NULL").collect()] == ["AttributeError"]
+    assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_profiles_count_words_that_repeat(spark):
+    texts = [("a", "ab abc ab"), ("a", "ab Zed"), ("b", "zed")]
+    known = N.profiles(spark.createDataFrame(texts, "l string, t string").coalesce(1), "t", "l")
+    assert known == {lang: N.ranked(N.trigrams(" ".join(t for k, t in texts if k == lang)), 300) for lang in "ab"}
