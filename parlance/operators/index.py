@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.operators.search import K1, B, _prefixes, postings, terms_of
+from parlance.operators.search import K1, B, _prefixes, n_words, postings
 
 #: The columns of an entry that are searched.
 COLUMNS = ("title", "summary", "transcript", "topics", "entities", "reason", "resolution")
@@ -97,7 +97,7 @@ def _any(prefixes: list[str]) -> Column:
 def _built(rows: DataFrame, columns: tuple[str, ...]) -> Index:
     # words are counted last, so that what asks for ids alone reads no texts
     flat = rows.select("call_id", "organization_id", *columns, F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
-    n = F.coalesce(*[F.when(F.col("column") == c, F.size(terms_of(F.coalesce(F.col(c), F.lit(""))))) for c in columns])
+    n = F.coalesce(*[F.when(F.col("column") == c, n_words(F.coalesce(F.col(c), F.lit("")))) for c in columns])
     lengths = flat.select("call_id", "organization_id", "column", n.cast("bigint").alias("n"))
     return Index(postings(rows, columns).drop("first_pos"), lengths)
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,24 +41,79 @@ def terms_of(c: Column) -> Column:
     return F.regexp_extract_all(folded(c), F.lit(WORD), F.lit(0))
 
 
-#: Words that a task sorts at once, at least one row's.
-MOST_WORDS = 2_000_000
+def n_words(c: Column) -> Column:
+    """How many ``terms_of`` a text has: as many as before its marks go."""
+    return F.regexp_count(c, F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\x{300}-\x{36F}]*+"))
+
+
+#: Words that a task sorts at once, at least one row's; and letters that it looks through at once for each of them.
+MOST_WORDS, LETTERS = 1_000_000, 6
+#: What stands for a mark, which goes without ending a word.
+_GONE = 0xFFFFFFFF
+SIGMA = "\u03a3"
+
+
+@lru_cache(maxsize=4)
+def _letters(spark: SparkSession) -> tuple[tuple[tuple[int, int], ...], tuple[tuple[int, int], ...]]:
+    """The ranges of letters and digits, and capitals with their lower case, as the engine knows them: a Python of another Unicode version knows others."""
+    every = spark.range(0x110000).where("id NOT BETWEEN 55296 AND 57343").withColumn("c", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "utf-32"))
+    is_letter = F.col("c").rlike(f"^{WORD}$")
+    rows = every.where(is_letter | (F.lower("c") != F.col("c"))).select("id", is_letter.alias("is_letter"), F.ascii(F.translate(F.lower("c"), "".join(map(chr, range(0x300, 0x370))), "")).alias("low")).collect()  # bounded by Unicode
+    ids = np.sort([r.id for r in rows if r.is_letter])
+    cuts = np.flatnonzero(np.diff(ids) > 1)
+    return tuple(zip(ids[np.append(0, cuts + 1)].tolist(), ids[np.append(cuts, len(ids) - 1)].tolist(), strict=True)), tuple((r.id, r.low) for r in rows if r.low not in (r.id, 0))
+
+
+@lru_cache(maxsize=4)
+def _plain(known: tuple[tuple[tuple[int, int], ...], tuple[tuple[int, int], ...]]) -> np.ndarray:
+    """For each code point what it is in a word, in lower case without marks: 0 outside of words."""
+    letters, capitals = known
+    out = np.zeros(0x110000, np.uint32)
+    for low, high in letters:
+        out[low : high + 1] = np.arange(low, high + 1)
+    for c, to in _FOLD.items():
+        out[c] = _GONE if to is None else to
+    for c, low in capitals:
+        out[c] = out[low]
+    return out
+
+
+def _words(texts: list[str], plain: np.ndarray) -> tuple[np.ndarray, pa.StringArray]:
+    """How many words each of some texts has, and all of them."""
+    at = plain[np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")]
+    cell = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, texts), np.int64, len(texts)))
+    if (gone := at == _GONE).any():
+        at, cell = at[~gone], cell[~gone]
+    within = at != 0
+    begins = within.copy()
+    begins[1:] &= ~within[:-1] | (cell[1:] != cell[:-1])
+    n, at, first = np.bincount(cell[begins], minlength=len(texts)), at[within], np.flatnonzero(begins[within])
+    if not len(at) or at.max() < 0x80:
+        data, offsets = at.astype(np.uint8), np.append(first, len(at))
+    else:
+        data = at.tobytes().decode("utf-32-le").encode()
+        width = 1 + (at >= 0x80) + (at >= 0x800) + (at >= 0x10000)
+        offsets = np.append((np.cumsum(width) - width)[first], len(data))
+    return n, pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
 
 
 def occurrences(rows: DataFrame, kept: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
     """(kept columns, column, term, tf, first_pos, positions) for each row's words in each column of texts.
 
     A row's words are counted where it lies and are never shuffled; the rows
-    of some thousand texts stand together in the order of their terms.
+    of some thousand texts stand together in the order of their terms. Words
+    are those of ``terms_of``, told apart over all letters of a batch at once.
     """
-    words = rows.select(*kept, *[terms_of(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns])
-    types = {f.name: f.dataType for f in words.schema.fields}
+    # what becomes of a capital sigma depends on its neighbours
+    text = lambda c: F.when(F.contains(F.col(c), F.lit(SIGMA)), F.lower(c)).otherwise(F.coalesce(F.col(c), F.lit("")))
+    texts = rows.select(*kept, *[text(c).alias(c) for c in columns])
+    types = {f.name: f.dataType for f in texts.schema.fields}
     schema = T.StructType([*[T.StructField(k, types[k]) for k in kept], *T.StructType.fromDDL("column string, term string, tf bigint, first_pos int, positions array<int>").fields])
+    letters, most = _letters(rows.sparkSession), MOST_WORDS * LETTERS
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.columns[len(kept) :]
-        n = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists]).astype(np.int64)
-        words = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        found = [_words([t.decode("utf-8", "replace") for t in x.cast(pa.binary()).to_pylist()], _plain(letters)) for x in batch.columns[len(kept) :]]
+        n, words = np.concatenate([x for x, _ in found]), pa.concat_arrays([x for _, x in found]).dictionary_encode()
         cell = np.repeat(np.arange(len(n)), n)  # a column's row
         pos = (np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
         rank = np.empty(len(words.dictionary), np.int64)
@@ -75,13 +131,13 @@ def occurrences(rows: DataFrame, kept: tuple[str, ...], columns: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = np.sum([pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in columns], axis=0)
-            part, start = (np.cumsum(n) - n) // MOST_WORDS, 0
+            n = np.sum([pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in columns], axis=0)
+            part, start = (np.cumsum(n) - n) // most, 0
             for end in [*(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]:
                 yield counted(batch.slice(start, end - start))
                 start = end
 
-    return words.mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def repeats(rows: DataFrame, key: str) -> bool:

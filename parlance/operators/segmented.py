@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators.calls import DisplayFilter, newest_first
 from parlance.operators.index import COLUMNS, _any, _begins
-from parlance.operators.search import K1, WORD, B, _prefixes, folded, occurrences, repeats, terms_of
+from parlance.operators.search import K1, WORD, B, _prefixes, folded, n_words, occurrences, repeats
 from parlance.sources import publish
 
 POSTINGS = "call_id bigint, column string, term string, positions array<int>, dl bigint"
@@ -54,13 +54,15 @@ class Segmented:
             return self.spark.createDataFrame([], f"{schema}, seg int")
         return self.spark.read.schema(f"{schema}, seg int").option("basePath", f"{self.folder}/{kind}").parquet(*held)
 
-    def _alive(self, rows: DataFrame, segments: list[dict], replaced: Column) -> DataFrame:
-        """Those of ``rows`` that no later segment replaces; ``replaced`` says which marks count."""
+    def _alive(self, rows: DataFrame, segments: list[dict], titles: Column) -> DataFrame:
+        """Those of ``rows`` that no later segment replaces, in one look at them; ``titles``: which of them a new title replaces too."""
         if not any(s["gone"] for s in segments):
             return rows
-        last = self._table("gone", GONE, segments).where(replaced).groupBy("call_id").agg(F.max("seg").alias("last_"))
+        entry = F.when(F.col("part") == "entry", F.col("seg"))
+        last = self._table("gone", GONE, segments).groupBy("call_id").agg(F.max("seg").alias("any_"), F.max(entry).alias("last_"))
         last = F.broadcast(last) if sum(s["gone"] for s in segments) <= MOST_MARKS else last
-        return rows.join(last, "call_id", "left").where("last_ IS NULL OR seg >= last_").drop("last_")
+        limit = F.when(titles, F.col("any_")).otherwise(F.col("last_"))
+        return rows.join(last, "call_id", "left").where(F.col("seg") >= F.coalesce(limit, F.lit(0))).drop("any_", "last_")
 
     def entries(self, segments: list[dict] | None = None) -> DataFrame:
         """The entries as they are now; a new title stands in an entry of its own kind, without the other texts."""
@@ -71,9 +73,7 @@ class Segmented:
         held = self.manifest()["segments"] if segments is None else segments
         rows = self._table("postings", POSTINGS, held)
         rows = rows if terms is None else rows.where(terms)
-        rows = self._alive(rows, held, F.col("part") == "entry")
-        titles = rows.where("column = 'title'")
-        return rows.where("column <> 'title'").unionByName(self._alive(titles, held, F.lit(True))) if any(s["gone"] for s in held) else rows
+        return self._alive(rows, held, F.col("column") == "title")
 
     # changes
 
@@ -105,14 +105,14 @@ class Segmented:
     def replaced(self, rows: DataFrame) -> dict:
         """Entries (call_id, organization_id and COLUMNS) in place of those that their calls had; of repeated ids the greatest counts."""
         one = rows if not repeats(rows, "call_id") else rows.groupBy("call_id").agg(F.max(F.struct(*[c for c in rows.columns if c != "call_id"])).alias("r_")).select("call_id", "r_.*")
-        sizes = [F.size(terms_of(F.col(c))).cast("bigint") for c in COLUMNS]
+        sizes = [n_words(F.col(c)).cast("bigint") for c in COLUMNS]
         one = _by_call(one).withColumn("n_", F.array(*sizes)).withColumns({"title_n": F.get("n_", F.lit(0)), "dl": F.aggregate("n_", F.lit(0).cast("bigint"), lambda a, x: a + x)}).drop("n_")
         return self._added(one, rows, "entry", COLUMNS)
 
     def retitled(self, titles: DataFrame) -> dict:
         """New titles (call_id, title) for entries that are there: only these are indexed anew."""
         new = titles.groupBy("call_id").agg(F.max("title").alias("new_"))
-        own = self.entries().join(new, "call_id").withColumn("n_", F.size(terms_of(F.col("new_"))).cast("bigint"))
+        own = self.entries().join(new, "call_id").withColumn("n_", n_words(F.col("new_")).cast("bigint"))
         rows = own.withColumns({"title": F.col("new_"), "dl": F.col("dl") - F.col("title_n") + F.col("n_"), "title_n": F.col("n_"), "summary": F.lit(None).cast("string"), "transcript": F.lit(None).cast("string")}).drop("new_", "n_", "seg", "part")
         return self._added(rows, rows, "title", ("title",))
 
@@ -135,11 +135,14 @@ class Segmented:
         rest, seg = held[: len(held) - len(tail)], known["next"]
         # an entry whose title alone was changed here keeps its own texts; one of an older segment stays a change of title
         both = self._table("entries", ENTRIES, tail)
-        whole = self._alive(both.where("part = 'entry'"), tail, F.col("part") == "entry").drop("seg", "part")
+        whole = self._alive(both.where("part = 'entry'"), tail, F.lit(False)).drop("seg", "part")
         title = self._alive(both.where("part = 'title'"), tail, F.lit(True)).select("call_id", F.col("organization_id").alias("o_"), F.col("title").alias("t_"), F.col("title_n").alias("n_"), F.col("dl").alias("d_"))
         joined = whole.join(title, ["call_id"], "full").select("call_id", F.coalesce("organization_id", "o_").alias("organization_id"), F.when(F.col("n_").isNotNull(), F.col("t_")).otherwise(F.col("title")).alias("title"), "summary", "transcript", F.coalesce("n_", "title_n").alias("title_n"), F.coalesce("d_", "dl").alias("dl"), F.when(F.col("dl").isNull(), "title").otherwise("entry").alias("part"))
         # words' rows have their entry's length, which a new title changes
-        words = self.postings(tail).join(title.select("call_id", "d_"), "call_id", "left").withColumn("dl", F.coalesce("d_", "dl")).drop("d_", "seg")
+        # few titles are sent to the words, which are many
+        sizes = title.select("call_id", "d_")
+        sizes = F.broadcast(sizes) if both.where("part = 'title'").count() <= MOST_MARKS else sizes
+        words = self.postings(tail).join(sizes, "call_id", "left").withColumn("dl", F.coalesce("d_", "dl")).drop("d_", "seg")
         new = {"seg": seg, "postings": self._written(seg, "postings", words.sortWithinPartitions("term", "call_id")), "entries": self._written(seg, "entries", _by_call(joined))}
         new["gone"] = self._written(seg, "gone", self._table("gone", GONE, tail).groupBy("call_id").agg(F.min("part").alias("part"))) if rest else 0
         self._publish(known, [*rest, new], known["entries"], known["words"])
@@ -154,6 +157,7 @@ class Segmented:
         rows = self.postings(held, _any(prefixes))
         if any(s["entries"] and s["gone"] for s in held):
             newer = self.entries(held).where("part = 'title'").select("call_id", F.col("dl").alias("dl_"))
+            newer = F.broadcast(newer) if sum(s["gone"] for s in held) <= MOST_MARKS else newer  # titles have marks
             rows = rows.join(newer, "call_id", "left").withColumn("dl", F.coalesce("dl_", "dl")).drop("dl_")
         return rows.select("call_id", "column", "term", "positions", "dl", F.array(*[_begins(p) for p in prefixes] or [F.lit(False)]).alias("of"))
 
@@ -217,7 +221,7 @@ class Segmented:
         ids = [r.call_id for r in top]
         # equalities prune pages one by one, a list of more than ten ids only the range of all
         entries = self._table("entries", ENTRIES, held).where(reduce(Column.__or__, [F.col("call_id") == i for i in ids], F.lit(False)))
-        whole = self._alive(entries.where("part = 'entry'"), held, F.col("part") == "entry")
+        whole = self._alive(entries.where("part = 'entry'"), held, F.lit(False))
         newer = self._alive(entries.where("part = 'title'"), held, F.lit(True)).select("call_id", F.col("title").alias("t_"))
         texts = whole.join(newer, "call_id", "left").select("call_id", F.coalesce("t_", "title").alias("title"), "summary", "transcript")
         page = self.spark.createDataFrame([tuple(r) for r in top], found.select("call_id", "score", "created_at").schema)

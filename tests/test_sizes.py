@@ -85,3 +85,27 @@ def test_profiles_count_words_that_repeat(spark):
     texts = [("a", "ab abc ab"), ("a", "ab Zed"), ("b", "zed")]
     known = N.profiles(spark.createDataFrame(texts, "l string, t string").coalesce(1), "t", "l")
     assert known == {lang: N.ranked(N.trigrams(" ".join(t for k, t in texts if k == lang)), 300) for lang in "ab"}
+
+
+def test_postings_are_looked_at_once(spark, tmp_path):
+    index = G.Segmented(spark, str(tmp_path))
+    entry = lambda i, text: (i, 0, "t", "s", text, "", "", "", "")
+    rows = lambda *r: spark.createDataFrame(list(r), "call_id long, organization_id long, title string, summary string, transcript string, topics string, entities string, reason string, resolution string")
+    index.replaced(rows(*[entry(i, f"old{i} x") for i in range(20)]))
+    index.replaced(rows(entry(3, "new x")))
+    index.retitled(spark.createDataFrame([(3, "later"), (4, "later")], "call_id long, title string"))
+    got = index.postings()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("positions:array<int>") == 1 and "Union" not in plan
+    found = {(r.call_id, r.column, r.term) for r in got.where("call_id in (3, 4)").collect()}
+    assert found == {(3, "title", "later"), (4, "title", "later"), (3, "summary", "s"), (4, "summary", "s"), (3, "transcript", "new"), (3, "transcript", "x"), (4, "transcript", "old4"), (4, "transcript", "x")}
+
+
+def test_words_over_all_letters_of_a_batch(spark):
+    letters = ["a", "B", "é", "É", "ü", "İ", "ı", "Σ", "ς", " ", "_", "x1", "２", "Ⅻ", "e\u0301", "\u0345", "\u0870", "\U0001f600", "\U00010400", "日", "\0", "\n"]
+    texts = [(i, "".join(letters[(i * k + k * k) % len(letters)] for k in range(i % 40))) for i in range(400)]
+    rows = spark.createDataFrame([*texts, (999, None)], "call_id long, text string")
+    got = {(r.call_id, r.term, tuple(r.positions)) for r in S.occurrences(rows, ("call_id",), ("text",)).collect()}
+    flat = rows.select("call_id", F.posexplode(S.terms_of(F.col("text"))).alias("pos", "term")).groupBy("call_id", "term").agg(F.array_sort(F.collect_list("pos")).alias("p"))
+    assert got == {(r.call_id, r.term, tuple(r.p)) for r in flat.collect()}
+    assert rows.where(S.n_words(F.col("text")) != F.size(S.terms_of(F.col("text")))).count() == 0
