@@ -90,18 +90,24 @@ def _grouped(s, d):
 def _tokens(s, d):
     """Words cut into a recogniser's tokens: up to three characters with a blank in front, then the rest."""
     w = V.words(s, d).withColumn("n", F.col("sequence") * 200_000 + F.col("pos") * 2)
-    first = w.select("call_id", F.col("n").alias("ordinal"), F.concat(F.lit(" "), F.substring("word", 1, 3)).alias("token"), "start_ms", (F.col("start_ms") + 200).alias("end_ms"), F.lit(0.9).alias("probability"))
-    rest = w.where("length(word) > 3").select("call_id", (F.col("n") + 1).alias("ordinal"), F.expr("substring(word, 4)").alias("token"), (F.col("start_ms") + 200).alias("start_ms"), "end_ms", F.lit(0.5).alias("probability"))
-    return first.unionByName(rest)
+    token = lambda n, text, start, end, p: F.struct(n.alias("ordinal"), text.alias("token"), start.alias("start_ms"), end.alias("end_ms"), F.lit(p).alias("probability"))
+    half = F.col("start_ms") + 200
+    first = token(F.col("n"), F.concat(F.lit(" "), F.substring("word", 1, 3)), F.col("start_ms"), half, 0.9)
+    rest = token(F.col("n") + 1, F.expr("substring(word, 4)"), half, F.col("end_ms"), 0.5)
+    # exploded where the words are, so that a call's tokens stay together and aren't shuffled
+    return w.select("call_id", F.explode(F.when(F.length("word") > 3, F.array(first, rest)).otherwise(F.array(first))).alias("t")).select("call_id", "t.*")
 
 
 def _tokens_of_segments(s, d):
     """Tokens with control tokens among them, and segments; every fifth segment has control tokens only."""
     w = V.words(s, d).withColumn("n", F.col("pos") * 3)
-    first = w.select("call_id", F.col("sequence").alias("segment"), "n", F.concat(F.lit(" "), F.substring("word", 1, 3)).alias("token"), "start_ms", (F.col("start_ms") + 200).alias("end_ms"), F.lit(0.9).alias("probability"))
-    rest = w.where("length(word) > 3").select("call_id", F.col("sequence").alias("segment"), F.col("n") + 1, F.expr("substring(word, 4)"), F.col("start_ms") + 200, "end_ms", F.lit(0.5))
-    marks = w.select("call_id", F.col("sequence").alias("segment"), F.col("n") + 2, F.concat(F.lit("[_TT_"), F.col("pos").cast("string"), F.lit("]")), "start_ms", "end_ms", F.lit(0.1))
-    tokens = first.union(rest).where("segment % 5 <> 4").union(marks).withColumnRenamed("n", "ordinal")
+    token = lambda n, text, start, end, p: F.struct(n.alias("ordinal"), text.alias("token"), start.alias("start_ms"), end.alias("end_ms"), F.lit(p).alias("probability"))
+    half = F.col("start_ms") + 200
+    first = token(F.col("n"), F.concat(F.lit(" "), F.substring("word", 1, 3)), F.col("start_ms"), half, 0.9)
+    rest = token(F.col("n") + 1, F.expr("substring(word, 4)"), half, F.col("end_ms"), 0.5)
+    mark = token(F.col("n") + 2, F.concat(F.lit("[_TT_"), F.col("pos").cast("string"), F.lit("]")), F.col("start_ms"), F.col("end_ms"), 0.1)
+    of = F.when(F.col("segment") % 5 == 4, F.array(mark)).when(F.length("word") > 3, F.array(first, rest, mark)).otherwise(F.array(first, mark))
+    tokens = w.withColumnRenamed("sequence", "segment").select("call_id", "segment", F.explode(of).alias("t")).select("call_id", "segment", "t.*")
     segments = V.segments(s, d).select("call_id", F.col("sequence").alias("segment"), (F.col("start_ms") + 100).alias("start_ms"), (F.col("end_ms") - 300).alias("end_ms"), F.col("raw_text").alias("text"))
     return C.words_of_tokens(tokens, segments).select("call_id", "segment", "word_no", "word", "start_ms", "end_ms", F.round("confidence", 6).alias("confidence"))
 

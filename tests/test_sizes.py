@@ -109,3 +109,8 @@ def test_words_over_all_letters_of_a_batch(spark):
     flat = rows.select("call_id", F.posexplode(S.terms_of(F.col("text"))).alias("pos", "term")).groupBy("call_id", "term").agg(F.array_sort(F.collect_list("pos")).alias("p"))
     assert got == {(r.call_id, r.term, tuple(r.p)) for r in flat.collect()}
     assert rows.where(S.n_words(F.col("text")) != F.size(S.terms_of(F.col("text")))).count() == 0
+
+
+def test_a_calls_tokens_stay_together(spark):
+    plan = registry.QUERIES["words_of_tokens"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Union" not in plan
