@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Distance up to which two voices are one.
 SAME_VOICE = 0.45
-#: Numbers of all exemplars' vectors that may be sent to all tasks (64 MB); more exemplars are dealt out in parts.
+#: Numbers of all exemplars' vectors up to which all pairs are compared as products of blocks.
 FEW_NUMBERS = 8_000_000
 
 
@@ -162,23 +165,75 @@ def identified(probes: DataFrame, exemplars: DataFrame, limit: float = SAME_VOIC
     """Each probe's nearest named exemplar of its own organisation within ``limit``, the first of equals.
 
     Voice prints don't cross organisations: the organisation is the join key.
-    Vectors are brought to length 1 once. Exemplars are sent to all tasks only
-    if their numbers are few; else only ``candidates`` are compared, which
-    gives the same. At a limit of 1 or more vectors that can't be compared
-    match too, and an organisation's exemplars are dealt out in parts.
+    Vectors are brought to length 1 once. Up to a number of exemplars, and at a
+    limit of 1 or more, where vectors that can't be compared match too, all
+    pairs are compared as products of blocks (``nearest_in_blocks``); else only
+    ``candidates`` are, which gives the same.
     """
     e = exemplars.where("name IS NOT NULL").select("organization_id", F.col("id").alias("exemplar"), "name", unit("embedding").alias("known"))
     p = probes.select("organization_id", "id", unit("embedding").alias("own"))
     numbers = e.agg(F.coalesce(F.sum(F.size("known")), F.lit(0)).alias("n")).first().n
-    if numbers <= FEW_NUMBERS:
-        rows = p.join(F.broadcast(e), "organization_id")
-    elif limit < 1:
-        rows = candidates(p, e, limit)
-    else:
-        parts = -(-numbers // FEW_NUMBERS)
-        e = e.withColumn("part", F.pmod(F.xxhash64("exemplar"), F.lit(parts)).cast("int"))
-        rows = p.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(e, ["organization_id", "part"])
-    return nearest(rows.where("id <> exemplar"), limit)
+    if numbers > FEW_NUMBERS and limit < 1:
+        return nearest(candidates(p, e, limit).where("id <> exemplar"), limit)
+    return nearest(nearest_in_blocks(p, e), limit)
+
+
+#: Vectors in a block, and what a product of blocks may differ by from a sum in order.
+BLOCK, ROUNDING = 4096, 1e-9
+
+
+def nearest_in_blocks(probes: DataFrame, exemplars: DataFrame) -> DataFrame:
+    """Pairs among which each probe's nearest exemplar is, the first of equals too: those that come next to it in a block's product.
+
+    Probes and exemplars are dealt out in blocks by the hash of their ids, and
+    each block of one meets each of the other of its organisation, whatever the
+    number of either. A task holds two blocks at a time.
+    """
+    n = lambda df, name: df.groupBy("organization_id").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+    parts = n(probes, "ps").join(n(exemplars, "es"), "organization_id")
+
+    def dealt(df: DataFrame, of: str, key: str, own: str, other: str, mine: str, theirs: str):
+        rows = df.withColumnRenamed("organization_id", of).join(parts.withColumnRenamed("organization_id", of), of)
+        rows = rows.withColumn(mine, F.pmod(F.xxhash64(key), F.col(own))).withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)))
+        return rows.drop("ps", "es").groupBy(of, f"{of[0]}p", f"{of[0]}e")
+
+    p = dealt(probes, "p_of", "id", "ps", "es", "pp", "pe")
+    e = dealt(exemplars, "e_of", "exemplar", "es", "ps", "ee", "ep")
+    schema = f"organization_id {dict(probes.dtypes)['organization_id']}, id {dict(probes.dtypes)['id']}, own array<double>, exemplar {dict(exemplars.dtypes)['exemplar']}, name string, known array<double>"
+    return p.cogroup(e).applyInArrow(_close, schema)
+
+
+def _close(own: pa.Table, known: pa.Table) -> pa.Table:
+    """For each probe of a block the exemplars that are as near as any of the block, by rounding."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    a, b = own.column("own").combine_chunks(), known.column("known").combine_chunks()
+    ids, others = own.column("id").to_numpy(), known.column("exemplar").to_numpy()
+    na, nb = (pc.fill_null(x.value_lengths(), -1).to_numpy() for x in (a, b))
+    for size in np.unique(na):  # the others are at distance 1, all alike: the first of them counts
+        at, to = np.flatnonzero(na == size), np.flatnonzero((nb == size) & (size > 0))
+        far = np.flatnonzero((nb != size) | (size <= 0))
+        far = far[np.argsort(others[far], kind="stable")[:2]]
+        for k in range(len(far)):
+            left.append(at)
+            right.append(np.full(len(at), far[k]))
+        if len(to):
+            to = to[np.argsort(others[to], kind="stable")]
+            y = np.stack([b[int(i)].values.to_numpy() for i in to])
+            # of equal vectors the first two, since one may be the probe itself
+            copies = pd.Series([v.tobytes() for v in y])
+            few = (copies.groupby(copies).cumcount() < 2).to_numpy()
+            to, y = to[few], y[few]
+            for start in range(0, len(at), 512):
+                mine = at[start : start + 512]
+                like = np.nan_to_num(np.stack([a[int(i)].values.to_numpy() for i in mine]) @ y.T, nan=-1.0)
+                like[ids[mine][:, None] == others[to][None, :]] = -np.inf
+                i, j = np.nonzero(like >= np.clip(like.max(axis=1), -1, 1)[:, None] - ROUNDING)
+                left.append(mine[i])
+                right.append(to[j])
+    left, right = np.concatenate(left), np.concatenate(right)
+    apart = ids[left] != others[right]
+    mine, theirs = own.take(pa.array(left[apart])), known.take(pa.array(right[apart]))
+    return pa.table([mine.column("p_of"), mine.column("id"), mine.column("own"), theirs.column("exemplar"), theirs.column("name"), theirs.column("known")], ["organization_id", "id", "own", "exemplar", "name", "known"])
 
 
 def nearest(pairs: DataFrame, limit: float) -> DataFrame:

@@ -59,3 +59,17 @@ def test_few_pairs_are_compared(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.collect())) and found.count() > 1400
     print("share of pairs compared:", share)
     assert share < 0.1
+
+
+@pytest.mark.parametrize("limit", [0.45, 1.5])
+def test_blocks_equal_all_pairs(spark, limit, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 37)
+    vectors = [*clustered(6, 80, 12, 0.4), np.zeros(12), [1.0, 2.0], [2.0, 4.1], [], *[np.ones(12)] * 60]
+    rows = voices(spark, vectors)
+    e = rows.where("name IS NOT NULL").select("organization_id", F.col("id").alias("exemplar"), "name", joins.unit("embedding").alias("known"))
+    p = rows.select("organization_id", "id", joins.unit("embedding").alias("own"))
+    every = p.join(e, "organization_id").where("id <> exemplar")
+    want = sorted(map(tuple, joins.nearest(every, limit).collect()))
+    assert sorted(map(tuple, joins.identified(rows, rows, limit).collect())) == want and len(want) > 100
+    found, most = joins.nearest_in_blocks(p, e).count(), every.count()
+    assert found < 0.2 * most, (found, most)
