@@ -36,43 +36,48 @@ class Holder(StatefulProcessor):
         self.handle = handle
         self.lease = handle.getValueState("lease", "worker string, attempt bigint, ends bigint")
 
-    def _ended(self, out: list, job: int) -> None:
-        """Gives the job back: its lock is over."""
-        worker, attempt, ends = self.lease.get()
-        out.append((job, "pending", worker, attempt, _stamp(ends), None))
-        self._clear(ends)
-
-    def _clear(self, ends: int) -> None:
-        self.handle.deleteTimer(ends)
-        self.lease.clear()
+    @staticmethod
+    def _ended(out: list, job: int, held: tuple) -> None:
+        """The job is given back: its lock is over."""
+        out.append((job, "pending", held[0], held[1], _stamp(held[2]), None))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """The lease is read and written once for all of a job's events in a batch, since each look at state goes to the far side."""
         events = pd.concat(list(rows)).sort_values(["at", "kind", "worker"], kind="stable")
         out: list = []
+        before = held = tuple(self.lease.get()) if self.lease.exists() else None
+        now = None if self.event_time else timerValues.getCurrentProcessingTimeInMs()
         for e in events.itertuples():
-            clock = int(e.at.value // 1_000_000) if self.event_time else timerValues.getCurrentProcessingTimeInMs()
-            if self.lease.exists() and self.lease.get()[2] <= clock:
-                self._ended(out, key[0])
-            held = self.lease.get() if self.lease.exists() else None
+            clock = int(e.at.value // 1_000_000) if now is None else now
+            if held is not None and held[2] <= clock:
+                self._ended(out, key[0], held)
+                held = None
             mine = held is not None and held[0] == e.worker
             if (e.kind == "lease" and held is None) or (e.kind == "heartbeat" and mine):
-                if held is not None:
-                    self.handle.deleteTimer(held[2])
-                attempt, ends = int(e.attempt) if held is None else held[1], clock + self.lock_ms
-                self.lease.update((e.worker, attempt, ends))
-                self.handle.registerTimer(ends)
-                out.append((key[0], "running", e.worker, attempt, e.at, _stamp(ends)))
+                held = (e.worker, int(e.attempt) if held is None else held[1], clock + self.lock_ms)
+                out.append((key[0], "running", e.worker, held[1], e.at, _stamp(held[2])))
             elif e.kind in ("complete", "fail") and mine:
                 out.append((key[0], "completed" if e.kind == "complete" else "failed", e.worker, held[1], e.at, None))
-                self._clear(held[2])
+                held = None
             else:
                 out.append((key[0], "refused", e.worker, int(e.attempt), e.at, None))
+        if held != before:
+            if before is not None:
+                self.handle.deleteTimer(before[2])
+            if held is None:
+                self.lease.clear()
+            else:
+                self.lease.update(held)
+                self.handle.registerTimer(held[2])
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         out: list = []
         if self.lease.exists() and self.lease.get()[2] <= expiredTimerInfo.getExpiryTimeInMs():
-            self._ended(out, key[0])
+            held = tuple(self.lease.get())
+            self._ended(out, key[0], held)
+            self.handle.deleteTimer(held[2])
+            self.lease.clear()
         yield self._frame(out)
 
     def _frame(self, out: list) -> pd.DataFrame:

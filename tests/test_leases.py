@@ -4,6 +4,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from parlance.streaming import jobs, leases
@@ -90,3 +91,17 @@ def test_a_missed_heartbeat_gives_the_job_back(spark, tmp_path):
 def test_the_machines_clock(spark, tmp_path):
     changes, _ = streamed(spark, tmp_path, [[(1, "lease", "a", 1, 0), (1, "complete", "b", 1, 1), (1, "complete", "a", 1, 2)]])
     assert [r.status for r in changes.orderBy("at").collect()] == ["running", "refused", "completed"]
+
+
+def test_state_is_read_and_written_once_a_batch():
+    calls = []
+
+    class Far:
+        def __getattr__(self, name):
+            return lambda *x: calls.append(name) or (("a", 1, 5) if name == "get" else name == "exists")
+
+    holder = leases.Holder(LOCK * 1000, True)
+    holder.handle = holder.lease = Far()
+    rows = pd.DataFrame([(1, "lease", "a", 1, pd.Timestamp(stamped(10 * i))) for i in range(50)], columns=["job_id", "kind", "worker", "attempt", "at"])
+    (out,) = holder.handleInputRows((1,), iter([rows]), None)
+    assert len(out) == 55 and len(calls) <= 5  # the old lock's end and those of the four leases before the last
