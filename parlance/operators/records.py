@@ -81,13 +81,25 @@ def delete_recordings(recordings: DataFrame, gone: DataFrame) -> DataFrame:
     return recordings.join(gone.select("id").distinct(), "id", "left_anti").select(*recordings.columns)
 
 
+#: Rows that a task of a join sorts, about.
+ROWS_A_TASK = 500_000
+
+
 def set_audio_metadata(calls: DataFrame, recordings: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Durations, channels and rates (by call_id) on calls and their recordings: (calls, recordings)."""
+    """Durations, channels and rates (by call_id) on calls and their recordings: (calls, recordings).
+
+    Rows are dealt out by call over as many parts as they need, so that what a
+    task sorts doesn't grow with them.
+    """
     m = measured.select("call_id", *[F.col(c).alias(f"new_{c}") for c in ("duration_ms", "channels", "sample_rate")])
     take = lambda c: F.coalesce(f"new_{c}", c).alias(c)
 
     def with_new(rows: DataFrame, key: str) -> DataFrame:
-        both = rows.join(m.withColumnRenamed("call_id", key), key, "left")
+        parts = -(-rows.count() // ROWS_A_TASK)
+        if parts > 1:
+            both = rows.repartition(parts, key).join(m.withColumnRenamed("call_id", key).repartition(parts, key), key, "left")
+        else:
+            both = rows.join(m.withColumnRenamed("call_id", key), key, "left")
         return both.select(*[take(c) if f"new_{c}" in m.columns else F.col(c) for c in rows.columns])
 
     return with_new(calls, "id"), with_new(recordings, "call_id")

@@ -114,3 +114,12 @@ def test_words_over_all_letters_of_a_batch(spark):
 def test_a_calls_tokens_stay_together(spark):
     plan = registry.QUERIES["words_of_tokens"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Union" not in plan
+
+
+def test_metadata_is_dealt_out_by_rows(spark, monkeypatch):
+    from parlance.operators import records as R
+
+    monkeypatch.setattr(R, "ROWS_A_TASK", 1000, raising=False)
+    got = registry.QUERIES["set_audio_metadata"](spark, SF)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert same(spark, "set_audio_metadata", SF)
